@@ -237,3 +237,10 @@ NO_ANSWER = (
 # Selection.
 MINIMUM_SCORES = {"text": 0.15, "colpali": 0.20, "salesforce": 0.2}
 DEFAULT_MINIMUM_SCORE = 0.2
+
+# Knowledge base records.
+ARTICLE_FILTER = {"status": "Online", "language": "en_US", "record_type": "Product Documentation"}
+ARTICLE_SOURCE = "Salesforce Knowledge Article"
+CASE_SOURCE = "Salesforce Case"
+DEFAULT_ARTICLES = 100
+DEFAULT_CASES = 200

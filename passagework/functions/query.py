@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from passagework.functions import constants as K
-from passagework.functions.text import contains_any, empty_strings, first_label
+from passagework.functions.text import contains_any, empty_strings, first_label, let
 
 
 def _string_array(values: list[str]) -> Column:
@@ -61,17 +61,29 @@ def intent_confidence(low: Column, action: Column, service: Column) -> Column:
 
 
 def extract_intent(text: Column) -> Column:
-    """Struct action, service, context, is_valid, confidence, scenario_detected."""
-    low = F.lower(text)
-    action, service = intent_action(low), intent_service(low)
-    scenario = contains_any(low, K.SCENARIO_PHRASES)
-    return F.struct(
-        action.alias("action"),
-        service.alias("service"),
-        intent_context(low).alias("context"),
-        (action.isNotNull() & service.isNotNull()).alias("is_valid"),
-        intent_confidence(low, action, service).alias("confidence"),
-        scenario.alias("scenario_detected"),
+    """Struct action, service, context, is_valid, confidence, scenario_detected.
+
+    The lower-case text and the labels are bound once; repeating their
+    expressions per use would outgrow the generated code.
+    """
+
+    def labelled(low, found):
+        action, service = found["action"], found["service"]
+        return F.struct(
+            action.alias("action"),
+            service.alias("service"),
+            intent_context(low).alias("context"),
+            (action.isNotNull() & service.isNotNull()).alias("is_valid"),
+            intent_confidence(low, action, service).alias("confidence"),
+            contains_any(low, K.SCENARIO_PHRASES).alias("scenario_detected"),
+        )
+
+    return let(
+        F.lower(text),
+        lambda low: let(
+            F.struct(intent_action(low).alias("action"), intent_service(low).alias("service")),
+            lambda found: labelled(low, found),
+        ),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
 from operator import or_
 
@@ -51,7 +52,12 @@ def stripped_lines(text: Column) -> Column:
 
 
 def contains_any(lowered: Column, terms: list[str]) -> Column:
-    """True when one of the terms is part of the (already lower-case) text."""
+    """True when one of the terms is part of the (already lower-case) text.
+
+    A long list becomes one pattern, which keeps the generated code small.
+    """
+    if len(terms) > 8:
+        return F.rlike(lowered, F.lit("|".join(re.escape(t) for t in terms)))
     return reduce(or_, [F.contains(lowered, F.lit(t)) for t in terms], F.lit(False))
 
 

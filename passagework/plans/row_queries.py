@@ -133,7 +133,7 @@ def sheets(spark, folder):
     return documents(spark, folder).select("doc_id", F.array_join(row, "\n").alias("content"))
 
 
-SQL_SHEETS = """(SELECT doc_id, i, source || ' ' || (n % 7) AS company, n * 7919 + i - 1 AS revenue,
+SQL_SHEETS = r"""(SELECT doc_id, i, source || ' ' || (n % 7) AS company, n * 7919 + i - 1 AS revenue,
   CAST(regexp_extract(source, '\d+') AS BIGINT) AS src, lang FROM (
   SELECT doc_id, source, lang, length(unnest(string_split(text, chr(10)))) AS n,
     generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
