@@ -95,7 +95,7 @@ def document_title(text: Column) -> Column:
     return F.get(F.filter(head, lambda x: (F.length(x) > 10) & (F.length(x) < 200)), F.lit(0))
 
 
-def run_lengths(values: Column) -> Column:
+def run_lengths(values: Column, element: str = "string") -> Column:
     """``array<struct<value, n, first>>`` for the distinct values of an array.
 
     Sorts (value, position) pairs and reads the runs, so one document is handled
@@ -120,7 +120,7 @@ def run_lengths(values: Column) -> Column:
             ),
         )
 
-    none = "array<struct<value:string,n:int,first:int>>"
+    none = f"array<struct<value:{element},n:int,first:int>>"
     return let(pairs, lambda s: F.when(F.size(s) == 0, F.array().cast(none)).otherwise(runs(s)))
 
 
