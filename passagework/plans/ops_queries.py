@@ -143,21 +143,21 @@ def corpus_stats(spark, folder):
 def evaluation_results(spark, folder):
     """Search results as the passages of evaluation records: two retrievers, five passages each."""
     a = B.exact_topk(as_queries(spark, folder), vectors(spark, folder), 5)
-    b = a.filter(F.col("rank") > 1).withColumn("score", F.col("score") * 0.9)
+    b = a.filter(F.col("rank") > 1)
     both = a.withColumn("retriever_type", F.lit("text")).unionByName(b.withColumn("retriever_type", F.lit("visual")))
     return both.withColumn("completeness_score", F.lit(1.0))
 
 
 SQL_EVAL = f"""e AS (SELECT query_id, 'text' AS retriever_type, score FROM ({_sql_topk(5)}) UNION ALL
-    SELECT query_id, 'visual', score * 0.9 FROM ({_sql_topk(5)}) WHERE rank > 1),
+    SELECT query_id, 'visual', score FROM ({_sql_topk(5)}) WHERE rank > 1),
   s AS (SELECT query_id, retriever_type, avg(r) AS relevance_score, max(r) AS accuracy_score, 1.0::DOUBLE AS completeness_score,
     avg(r) * 0.4::DOUBLE + 0.3::DOUBLE + max(r) * 0.3::DOUBLE AS overall_score FROM (SELECT *, round(score, 3) AS r FROM e) GROUP BY ALL)"""
 _SCORES = ("relevance_score", "accuracy_score", "completeness_score", "overall_score")
-_SQL_SCORES = ", ".join(f"round({c}, 4) AS {c}" for c in _SCORES)
+_SQL_SCORES = ", ".join(f"round({c}, 6) AS {c}" for c in _SCORES)
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(c, 4) for c in _SCORES})
+    return df.withColumns({c: F.round(c, 6) for c in _SCORES})
 
 
 @query("eval_scores", f"WITH {SQL_EVAL} SELECT query_id, retriever_type, {_SQL_SCORES} FROM s")
@@ -167,15 +167,15 @@ def eval_scores(spark, folder):
 
 @query(
     "retriever_ranking",
-    f"""WITH {SQL_EVAL} SELECT query_id, retriever_type, round(overall_score, 4) AS overall_score,
+    f"""WITH {SQL_EVAL} SELECT query_id, retriever_type, round(overall_score, 6) AS overall_score,
       row_number() OVER (PARTITION BY query_id ORDER BY overall_score DESC, retriever_type) AS place FROM s""",
 )
 def retriever_ranking(spark, folder):
     scores = EV.eval_scores(evaluation_results(spark, folder).withColumn("score", F.round("score", 6)))
-    return EV.retriever_ranking(scores).select("query_id", "retriever_type", F.round("overall_score", 4).alias("overall_score"), "place")
+    return EV.retriever_ranking(scores).select("query_id", "retriever_type", F.round("overall_score", 6).alias("overall_score"), "place")
 
 
-@query("scan_eval_results", f"WITH {SQL_EVAL} SELECT query_id, retriever_type, count(*) AS passages, round(sum(round(score, 6)), 4) AS total FROM e GROUP BY ALL")
+@query("scan_eval_results", f"WITH {SQL_EVAL} SELECT query_id, retriever_type, count(*) AS passages, round(sum(round(score, 6)), 6) AS total FROM e GROUP BY ALL")
 def scan_eval_results(spark, folder):
     """Evaluation records written as JSON and scanned back."""
     path = scratch_path(spark, "evaluations")
@@ -189,7 +189,7 @@ def scan_eval_results(spark, folder):
     per.select(F.array(record).alias("evaluations")).write.json(path)
     rows = SF.evaluation_results(SF.scan_evaluations(spark, path, multi_line=False))
     return rows.groupBy(F.col("query").cast("bigint").alias("query_id"), "retriever_type").agg(
-        F.count("*").alias("passages"), F.round(F.sum("score"), 4).alias("total")
+        F.count("*").alias("passages"), F.round(F.sum("score"), 6).alias("total")
     )
 
 

@@ -86,7 +86,7 @@ def windowed_query_stats(log: DataFrame, out: str, width: str = "1 day", delay:
         log.withWatermark("at", delay)
         .groupBy(F.window("at", width).alias("w"), "kind")
         .agg(*stats_columns())
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "*")
+        .withColumns({"start": F.col("w.start"), "end": F.col("w.end")})
         .drop("w")
     )
     return (
