@@ -15,6 +15,10 @@ def _string_array(values: list[str]) -> Column:
 
 def expand_query(text: Column) -> Column:
     """Appends related terms, distinct and in alphabetical order."""
+    return let(text, _expanded)
+
+
+def _expanded(text: Column) -> Column:
     low = F.lower(text)
     found = []
     for triggers, choices in K.EXPANSIONS:
@@ -22,8 +26,10 @@ def expand_query(text: Column) -> Column:
         for words, added in reversed(choices):
             terms = F.when(contains_any(low, words), _string_array(added)).otherwise(terms)
         found.append(F.when(contains_any(low, triggers), terms).otherwise(empty_strings()))
-    terms = F.array_sort(F.array_distinct(F.concat(*found)))
-    return F.when(F.size(terms) > 0, F.concat(text, F.lit(" "), F.array_join(terms, " "))).otherwise(text)
+    return let(
+        F.array_sort(F.array_distinct(F.concat(*found))),
+        lambda t: F.when(F.size(t) > 0, F.concat(text, F.lit(" "), F.array_join(t, " "))).otherwise(text),
+    )
 
 
 def query_type(text: Column) -> Column:

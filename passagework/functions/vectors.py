@@ -23,15 +23,19 @@ def norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     return let(
-        norm(v),
-        lambda n: F.when(n == 0, as_double(v)).otherwise(F.transform(as_double(v), lambda x: x / n)),
+        as_double(v),
+        lambda d: let(norm(d), lambda n: F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))),
     )
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 when a side is all zeros."""
     return let(
-        norm(a) * norm(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
+        F.struct(as_double(a).alias("a"), as_double(b).alias("b")),
+        lambda v: let(
+            norm(v["a"]) * norm(v["b"]),
+            lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(v["a"], v["b"]) / n),
+        ),
     )
 
 

@@ -225,8 +225,10 @@ def chunk_expression(text: Column, strategy: str, size: int = 1000, overlap: int
         raise ValueError("overlap cannot be negative")
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown chunking strategy: {strategy}")
-    chunks = STRATEGIES[strategy](text, size, overlap)
-    return F.when(strip(text) == "", F.array().cast(CHUNKS)).otherwise(chunks)
+    return let(
+        text,
+        lambda t: F.when(strip(t) == "", F.array().cast(CHUNKS)).otherwise(STRATEGIES[strategy](t, size, overlap)),
+    )
 
 
 def explode_chunks(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.functions.text import run_lengths, word_count, words
+from passagework.functions.text import let, word_count, words
 from passagework.functions.vectors import l2_normalize
+from passagework.session import written
 
 DIMENSION = 64
 Embedder = Callable[[DataFrame], DataFrame]  # text -> text, embedding
@@ -16,7 +17,7 @@ Embedder = Callable[[DataFrame], DataFrame]  # text -> text, embedding
 
 def bucket(token: Column, dimension: int) -> Column:
     """Stable bucket of a token, from its md5."""
-    head = F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10)
+    head = F.conv(F.substring(F.md5(token), 1, 8), 16, 10)
     return (head.cast("bigint") % dimension).cast("int")
 
 
@@ -26,33 +27,52 @@ def term_counts(text: Column, dimension: int = DIMENSION) -> Column:
     One extra of every bucket makes each a run of the sorted array, in order.
     """
     found = F.transform(words(F.lower(text)), lambda w: bucket(w, dimension))
-    everything = F.concat(F.sequence(F.lit(0), F.lit(dimension - 1)), found)
-    return F.transform(run_lengths(everything, "int"), lambda r: (r["n"] - 1).cast("double"))
+    everything = F.sort_array(F.concat(F.sequence(F.lit(0), F.lit(dimension - 1)), found))
 
+    def run_sizes(s):
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        )
+        return let(
+            starts,
+            lambda st: F.transform(st, lambda at, j: F.coalesce(F.get(st, j + 1), F.size(s)) - at - 1),
+        )
 
-def fit_idf(df: DataFrame, text: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    return let(everything, run_sizes)
+
+
+def count_terms(df: DataFrame, text: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    """Adds ``terms``; narrow. The one heavy look at the texts: the weights and vectors only read ``terms``."""
+    return df.withColumn("terms", term_counts(F.col(text), dimension))
+
+
+def fit_idf(counted: DataFrame) -> DataFrame:
     """One row: the array of inverse document frequencies, ln((N + 1) / (n + 1)).
 
-    Partial counts leave each partition, at most ``dimension`` rows.
+    Partial counts leave each partition, at most one row per bucket.
     """
-    used = df.select(F.posexplode(term_counts(F.col(text), dimension)).alias("bucket", "n"))
-    per = used.groupBy("bucket").agg(
-        F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with")
-    )
+    used = counted.select(F.posexplode("terms").alias("bucket", "n"))
+    per = used.groupBy("bucket").agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("with"))
     idf = per.select("bucket", F.log((F.col("total") + 1) / (F.col("with") + 1)).alias("w"))
     return idf.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "w"))), lambda s: s["w"]).alias("idf"))
 
 
-def embed(df: DataFrame, idf: DataFrame, text: str = "text", dimension: int = DIMENSION) -> DataFrame:
-    """Adds ``embedding``: the unit TF-IDF vector; a blank text gets the zero vector."""
-    weighted = df.withColumn("_idf", idf.select("idf").scalar()).withColumn(
-        "_v", F.zip_with(term_counts(F.col(text), dimension), "_idf", lambda n, w: n * w)
-    )
-    return weighted.withColumn("embedding", l2_normalize(F.col("_v"))).drop("_idf", "_v")
+def embed(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """Replaces ``terms`` by ``embedding``: the unit TF-IDF vector; a blank text gets the zero vector."""
+    weighted = counted.withColumn("_idf", idf.select("idf").scalar())
+    vector = l2_normalize(F.zip_with("terms", "_idf", lambda n, w: n * w))
+    return weighted.withColumn("embedding", vector).drop("_idf", "terms")
+
+
+def index_texts(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows with embedding, idf) of a corpus. Counts and weights are written once and read from then on."""
+    counted = written(count_terms(df, text), "terms")
+    idf = written(fit_idf(counted), "idf")
+    return embed(counted, idf), idf
 
 
 def cache_key(text: Column, model: str) -> Column:
-    return F.md5(F.encode(F.concat(F.lit(model + ":"), text), "UTF-8"))
+    return F.md5(F.concat(F.lit(model + ":"), text))
 
 
 def cached_embed(texts: DataFrame, cache: DataFrame, embedder: Embedder, model: str) -> tuple[DataFrame, DataFrame]:

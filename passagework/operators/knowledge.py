@@ -20,6 +20,7 @@ from passagework.functions.query import extract_intent
 from passagework.functions.text import (
     contains_any, count_contained, empty_strings, first_label, let, long_words, strip, strip_html, words,
 )
+from passagework.session import written
 
 QUERY = "query_id"
 
@@ -83,9 +84,13 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int) -> Dat
     by_phrase = asked.filter(F.size("w") == 0).select(QUERY, "phrase")
     postings = _title_tokens(articles)
 
-    # Words: newest articles per word, then per query.
-    parts = by_word.filter(F.col("part") != "").select("part").distinct()
+    longest = F.array_max(F.transform(words(F.col("phrase")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    phrases = by_phrase.withColumn("part", longest)
+    spoken = phrases.filter(F.col("part").isNotNull())
+    parts = by_word.filter(F.col("part") != "").select("part").union(spoken.select("part")).distinct()
     pairs = contained_in_tokens(parts, postings.select("token").distinct())
+
+    # Words: newest articles per word, then per query.
     per_word = newest_per(
         pairs.join(newest_per(postings, ["token"], limit), "token").select("part", "article_id", "modified").distinct(),
         ["part"], limit,
@@ -93,14 +98,10 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int) -> Dat
     word_hits = by_word.join(per_word, "part").select(QUERY, "article_id", "modified")
 
     # Phrases of short words: found over their longest word, then checked in the title.
-    longest = F.array_max(F.transform(words(F.col("phrase")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    phrases = by_phrase.withColumn("part", longest)
-    spoken = phrases.filter(F.col("part").isNotNull())
-    phrase_pairs = contained_in_tokens(spoken.select("part").distinct(), postings.select("token").distinct())
     titles = articles.select("article_id", F.lower("title").alias("title"))
     per_phrase = newest_per(
         spoken.select("phrase", "part").distinct()
-        .join(phrase_pairs, "part")
+        .join(pairs, "part")
         .join(postings, "token")
         .join(titles, "article_id")
         .filter(F.contains(F.col("title"), F.col("phrase")))
@@ -145,7 +146,8 @@ def keyword_search(queries: DataFrame, articles: DataFrame, limit: int = 5, fall
     words_n = F.greatest(F.lit(1), F.size("w"))
     body = F.lower(strip_html(F.col("body"), unescape=False))
 
-    found = title_candidates(queries, articles, limit)
+    # Small and used three times below: ids only, at most limit rows per query.
+    found = written(title_candidates(queries, articles, limit), "title-hits")
     title = F.lower(F.regexp_replace("title", "<[^>]+>", ""))
     scored = (
         found.select(QUERY, "article_id")
@@ -165,7 +167,7 @@ def keyword_search(queries: DataFrame, articles: DataFrame, limit: int = 5, fall
         "title_matches", "content_matches", F.lit("title_search").alias("search_method"),
     )
 
-    missed = asked.join(by_title.select(QUERY).distinct(), QUERY, "left_anti")
+    missed = asked.join(found.select(QUERY).distinct(), QUERY, "left_anti")
     recent = with_each_of_newest(missed, articles, 3 * limit).withColumn("b", body)
     matches = count_contained(F.col("b"), F.col("w")) + F.when(F.contains("b", "q"), 2).otherwise(0)
     by_content = (
@@ -353,7 +355,10 @@ def intent_search(queries: DataFrame, articles: DataFrame, limit: int = 5) -> Da
     asked = with_intent(queries).filter(F.col("intent.is_valid")).withColumn(
         "terms", search_terms(F.col("query"), F.col("intent.action"))
     )
-    first = _shown(_scored(intent_candidates(asked, articles, limit, True), asked, articles), "action_and_service")
+    asked = written(asked, "intents")
+    first = written(
+        _shown(_scored(intent_candidates(asked, articles, limit, True), asked, articles), "action_and_service"), "stage-one"
+    )
 
     open_queries = asked.join(first.select(QUERY).distinct(), QUERY, "left_anti")
     wide = intent_candidates(open_queries, articles, 2 * limit, False)

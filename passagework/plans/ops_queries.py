@@ -41,16 +41,18 @@ def scan_text(spark, folder):
 
 @query(
     "scan_text_files",
-    "SELECT md5(text || chr(10)) AS file_hash, octet_length(encode(text)) + 1 AS size_bytes, length(text) + 1 AS n_chars, '.txt' AS extension FROM documents",
+    """SELECT '.txt' AS extension, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars,
+      count(*) > 0 AS found FROM documents""",
 )
 def scan_text_files(spark, folder):
-    """Documents written as one file each and read back as files."""
+    """Documents written as text files of a bounded number of documents and read back as files."""
     path = scratch_path(spark, "files")
-    spread(table(spark, folder, "documents")).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    spread(table(spark, folder, "documents")).select("text").write.option("maxRecordsPerFile", 1000).text(path)
     files = SF.read_files(spark, path, "*.txt")
-    inventory = SF.file_inventory(files.withColumn("n_chars", F.length(SF.decoded_text(F.col("content")))))
     texts = SF.scan_text(files).select("path", F.length("text").alias("n_chars"))
-    return inventory.join(texts, "path").select("file_hash", "size_bytes", "n_chars", "extension")
+    return SF.file_inventory(files).join(texts, "path").groupBy("extension").agg(
+        F.sum("size_bytes").alias("bytes"), F.sum("n_chars").cast("bigint").alias("chars"), (F.count("*") > 0).alias("found")
+    )
 
 
 @query("scan_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -12,6 +12,7 @@ from passagework.operators import blocks as B
 from passagework.operators import embedding as E
 from passagework.operators import knowledge as KB
 from passagework.operators import selection as R
+from passagework.session import written
 
 CANDIDATE = ["query_id", "position", "source_type", "success", "answer", "score"]
 
@@ -21,12 +22,13 @@ def search_text(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
 
     ``queries``: query_id, query; ``chunks``: id, text and, when known, filename, page.
     """
-    idf = E.fit_idf(chunks)
-    hits = B.exact_topk(E.embed(queries.withColumnRenamed("query", "text"), idf), E.embed(chunks, idf), k)
+    indexed, idf = E.index_texts(chunks)
+    asked = E.embed(E.count_terms(queries, "query"), idf)
+    hits = written(B.exact_topk(asked, indexed, k), "hits")
     for c in ("filename", "page"):
-        if c not in chunks.columns:
-            chunks = chunks.withColumn(c, F.lit(None).cast("string"))
-    return hits.join(chunks.select("id", F.col("text").alias("content"), "filename", "page"), "id")
+        if c not in indexed.columns:
+            indexed = indexed.withColumn(c, F.lit(None).cast("string"))
+    return hits.join(indexed.select("id", F.col("text").alias("content"), "filename", "page"), "id")
 
 
 def text_query(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

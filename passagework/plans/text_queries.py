@@ -106,7 +106,7 @@ def strip_html(spark, folder):
 
 @query("content_hash", "SELECT doc_id, md5(text) AS file_hash FROM documents")
 def content_hash(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("file_hash"))
+    return table(spark, folder, "documents").select("doc_id", F.md5("text").alias("file_hash"))
 
 
 @query(

@@ -290,9 +290,8 @@ def passages(spark, folder):
 
 
 def text_search(spark, folder, k=5):
-    chunks = text_chunks(spark, folder)
-    idf = E.fit_idf(chunks)
-    return B.exact_topk(E.embed(passages(spark, folder), idf), E.embed(chunks, idf), k)
+    indexed, idf = E.index_texts(text_chunks(spark, folder))
+    return B.exact_topk(E.embed(E.count_terms(passages(spark, folder)), idf), indexed, k)
 
 
 @query(
@@ -300,8 +299,7 @@ def text_search(spark, folder, k=5):
     f"""WITH {SQL_CHUNKS}, {SQL_IDF}, {sql_tfidf('chunks', 'idf', 'c')} SELECT id, round(sum(x), 6) AS total, round(max(x), 6) AS largest FROM c_v GROUP BY id""",
 )
 def embed_text(spark, folder):
-    chunks = text_chunks(spark, folder)
-    v = E.embed(chunks, E.fit_idf(chunks))
+    v, _ = E.index_texts(text_chunks(spark, folder))
     return v.select(
         "id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
         F.round(F.array_max("embedding"), 6).alias("largest"),
@@ -319,10 +317,10 @@ SQL_CACHE = """known AS (SELECT DISTINCT md5('tfidf:' || text) AS key FROM docum
 
 def _cached(spark, folder):
     docs = spread(table(spark, folder, "documents")).select("doc_id", "lang", "text")
-    idf = E.fit_idf(docs)
+    idf = E.fit_idf(E.count_terms(docs))
     old = docs.filter(F.col("lang") != "en").withColumn("key", E.cache_key(F.col("text"), "tfidf")).dropDuplicates(["key"])
-    cache = E.embed(old, idf).select("key", "embedding")
-    return E.cached_embed(docs.select("doc_id", "text"), cache, lambda m: E.embed(m, idf), "tfidf")
+    cache = E.embed(E.count_terms(old), idf).select("key", "embedding")
+    return E.cached_embed(docs.select("doc_id", "text"), cache, lambda m: E.embed(E.count_terms(m), idf), "tfidf")
 
 
 @query(

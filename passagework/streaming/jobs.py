@@ -39,7 +39,7 @@ def stream_ingest(
     _put(spark.createDataFrame([], "key string"), f"{out}/keys", -1)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("key", F.md5(F.encode("text", "UTF-8")))
+        keyed = batch.withColumn("key", F.md5("text"))
         seen = batch.sparkSession.read.schema(KEYS).parquet(f"{out}/keys").filter(F.col("batch") != batch_id)
         once = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("key", "d.doc_id", "d.text")
         new = once.join(seen.select("key"), "key", "left_anti")
