@@ -415,36 +415,38 @@ def rescore_articles(results: DataFrame, queries: DataFrame) -> DataFrame:
 
 def answer_sentences(query: Column, content: Column, top: int = 4) -> Column:
     """The sentences of a cleaned article that answer the query best, else its first three."""
-    low = F.lower(query)
-    wanted = long_words(query)
-    action = first_label(low, K.ANSWER_ACTIONS)
     sentences = F.filter(F.transform(F.split(content, r"\."), strip), lambda s: F.length(s) > 15)
+    asked = let(
+        F.lower(query),
+        lambda low: F.struct(long_words(low).alias("words"), first_label(low, K.ANSWER_ACTIONS).alias("action")),
+    )
 
-    def score(s, asked):
-        text = F.lower(s)
+    def score(text, a):
         other = reduce(
             lambda x, y: x + y,
             [
-                F.when((action != name) & contains_any(text, terms), 1).otherwise(0)
+                F.when((a["action"] != name) & contains_any(text, terms), 1).otherwise(0)
                 for name, terms in K.ANSWER_ACTIONS.items()
             ],
         )
         return (
-            count_contained(text, asked)
-            + F.when(_label_says(action, text, K.ANSWER_ACTIONS), 3).otherwise(0)
+            count_contained(text, a["words"])
+            + F.when(_label_says(a["action"], text, K.ANSWER_ACTIONS), 3).otherwise(0)
             + F.when(contains_any(text, K.PROCEDURE_WORDS), 1).otherwise(0)
             - F.when(contains_any(text, K.FLUFF_WORDS), 2).otherwise(0)
             - other
         )
 
-    def pick(ss):
-        scored = let(
-            wanted,
-            lambda asked: F.transform(
-                ss, lambda s, i: F.struct((-score(s, asked)).alias("cost"), i.alias("i"), s.alias("s"))
+    def scored(ss, a):
+        return F.transform(
+            ss,
+            lambda s, i: F.struct(
+                (-let(F.lower(s), lambda text: score(text, a))).alias("cost"), i.alias("i"), s.alias("s")
             ),
         )
-        best = F.slice(F.sort_array(F.filter(scored, lambda x: x["cost"] < 0)), 1, top)
+
+    def pick(ss):
+        best = let(asked, lambda a: F.slice(F.sort_array(F.filter(scored(ss, a), lambda x: x["cost"] < 0)), 1, top))
         return let(
             best,
             lambda b: F.when(F.size(b) > 0, F.transform(b, lambda x: x["s"])).otherwise(F.slice(ss, 1, 3)),

@@ -77,7 +77,8 @@ def answer_all_sources(
     """Ask every source, rank the candidates, return the cleaned best answer and token counts."""
     asked = queries.select("query_id", expand_query(F.col("query")).alias("query"))
     text = text_query(asked, chunks, k)
-    found = gather_candidates(text, visual, knowledge_answers(queries, articles, asked))
+    # At most one row per source and query; written so that later filters do not compute the answers again.
+    found = written(gather_candidates(text, visual, knowledge_answers(queries, articles, asked)), "candidates")
     best = R.select_best(found.join(queries, "query_id"), queries)
     joined = best.join(queries, "query_id")
     cleaned = clean_answer(F.col("answer"), F.col("source_type"))
