@@ -15,11 +15,11 @@ def _string_array(values: list[str]) -> Column:
 
 def expand_query(text: Column) -> Column:
     """Appends related terms, distinct and in alphabetical order."""
-    return let(text, _expanded)
+    both = F.struct(text.alias("text"), F.lower(text).alias("low"))
+    return let(both, lambda x: _expanded(x["text"], x["low"]))
 
 
-def _expanded(text: Column) -> Column:
-    low = F.lower(text)
+def _expanded(text: Column, low: Column) -> Column:
     found = []
     for triggers, choices in K.EXPANSIONS:
         terms = empty_strings()
@@ -33,7 +33,7 @@ def _expanded(text: Column) -> Column:
 
 
 def query_type(text: Column) -> Column:
-    return F.coalesce(first_label(F.lower(text), K.QUERY_TYPES), F.lit("general"))
+    return let(F.lower(text), lambda low: F.coalesce(first_label(low, K.QUERY_TYPES), F.lit("general")))
 
 
 def intent_action(low: Column) -> Column:
@@ -95,9 +95,11 @@ def extract_intent(text: Column) -> Column:
 
 def chart_flags(text: Column) -> Column:
     """Struct chart, performance, explicit_chart."""
-    low = F.lower(text)
-    return F.struct(
-        contains_any(low, K.CHART_QUERY).alias("chart"),
-        contains_any(low, K.PERFORMANCE_QUERY).alias("performance"),
-        contains_any(low, K.EXPLICIT_CHART_QUERY).alias("explicit_chart"),
+    return let(
+        F.lower(text),
+        lambda low: F.struct(
+            contains_any(low, K.CHART_QUERY).alias("chart"),
+            contains_any(low, K.PERFORMANCE_QUERY).alias("performance"),
+            contains_any(low, K.EXPLICIT_CHART_QUERY).alias("explicit_chart"),
+        ),
     )

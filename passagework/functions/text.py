@@ -231,15 +231,17 @@ def split_pages(text: Column) -> Column:
 
 
 def content_type_label(content: Column) -> Column:
-    low = F.lower(content)
-    return (
-        F.when(
-            contains_any(low, K.CHART_CONTENT),
+    def label(low):
+        chart = (
             F.when(contains_any(low, K.PERFORMANCE_CONTENT), "performance_chart")
             .when(contains_any(low, K.COMPARISON_CONTENT), "comparison_chart")
-            .otherwise("data_chart"),
+            .otherwise("data_chart")
         )
-        .when(contains_any(low, K.TABLE_CONTENT), "data_table")
-        .when(contains_any(low, K.PIPELINE_CONTENT), "technical_diagram")
-        .otherwise("document_page")
-    )
+        return (
+            F.when(contains_any(low, K.CHART_CONTENT), chart)
+            .when(contains_any(low, K.TABLE_CONTENT), "data_table")
+            .when(contains_any(low, K.PIPELINE_CONTENT), "technical_diagram")
+            .otherwise("document_page")
+        )
+
+    return let(F.lower(content), label)

@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 2048  # query rows of one matrix product
-SHARD_ROWS = 65536  # vector rows of one shard
+SHARD_ROWS = 131072  # vector rows of one shard
 SLICE_ROWS = 8192  # vector rows multiplied at a time
-BROADCAST_QUERIES = 4096  # a larger query set is never broadcast
+BROADCAST_QUERIES = 4096  # a larger query set is never broadcast ...
+BROADCAST_BYTES = 64 << 20  # ... and neither are wider vectors
 
 RESULT = "query_id bigint, id bigint, score double"
 
@@ -85,6 +86,14 @@ def _spread_over_cores(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _small(queries: DataFrame, limit: int) -> pa.Table | None:
+    """The queries, when they are proven to be at most ``limit`` rows and few bytes; else None."""
+    if not limit:
+        return None
+    head = queries.limit(limit + 1).toArrow()
+    return head if head.num_rows <= limit and head.nbytes <= BROADCAST_BYTES else None
+
+
 def _broadcast_topk(names: np.ndarray, queries: np.ndarray, vectors: DataFrame, k: int) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((names, queries))
 
@@ -117,13 +126,16 @@ def keyed_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int)
     """k best per query and key group; both sides must be bounded per group."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = left.column("query_id").to_numpy()
-        running = _Running(_matrix(left.column("embedding")), k) if left.num_rows else None
-        if running is None or not right.num_rows:
-            empty = np.zeros(0, np.int64)
-            return pa.table({"query_id": pa.array(empty), "id": pa.array(empty), "score": pa.array(np.zeros(0))})
-        running.add(right.column("id").to_numpy(), _matrix(right.column("embedding")))
-        return _table(names, running)
+        empty = np.zeros(0, np.int64)
+        out = [pa.table({"query_id": pa.array(empty), "id": pa.array(empty), "score": pa.array(np.zeros(0))})]
+        for at in range(0, left.num_rows, QUERY_BLOCK):
+            part = left.slice(at, QUERY_BLOCK)
+            running = _Running(_matrix(part.column("embedding")), k)
+            for v_at in range(0, right.num_rows, SLICE_ROWS):
+                some = right.slice(v_at, SLICE_ROWS)
+                running.add(some.column("id").to_numpy(), _matrix(some.column("embedding")))
+            out.append(_table(part.column("query_id").to_numpy(), running))
+        return pa.concat_tables(out)
 
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, RESULT)
 
@@ -137,8 +149,8 @@ def exact_topk(
     """
     q = queries.select(F.col("query_id").cast("bigint"), "embedding")
     v = vectors.select(F.col("id").cast("bigint"), "embedding")
-    head = q.limit(broadcast_limit + 1).toArrow() if broadcast_limit else None
-    if head is not None and head.num_rows <= broadcast_limit:
+    head = _small(q, broadcast_limit)
+    if head is not None:
         if not head.num_rows:
             return merge_topk(vectors.sparkSession.createDataFrame([], RESULT), k)
         names = head.column("query_id").to_numpy()
@@ -201,20 +213,24 @@ def approximate_topk(
     parts = F.broadcast(
         v.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"))
     )
-    blocks = max(1, -(-q.count() * nprobe // QUERY_BLOCK // len(centroids)))
+    probes = q.withColumn("cell", F.explode("cells")).drop("cells")
+    blocks = F.broadcast(
+        probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    )
     asked = (
-        q.withColumn("cell", F.explode("cells"))
-        .drop("cells")
-        .join(parts, "cell")
+        probes.join(parts, "cell")
+        .join(blocks, "cell")
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
     )
     held = (
         v.join(parts, "cell")
+        .join(blocks, "cell")
         .withColumn("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
-    return merge_topk(keyed_topk(asked.drop("parts"), held.drop("parts"), ["cell", "shard", "qb"], k), k)
+    keys = ["cell", "shard", "qb"]
+    return merge_topk(keyed_topk(asked.drop("parts", "blocks"), held.drop("parts", "blocks"), keys, k), k)
 
 
 # ---------------------------------------------------------------- several vectors per page
@@ -336,8 +352,8 @@ def visual_topk(queries: DataFrame, patches: DataFrame, k: int, broadcast_limit:
             }
         )
 
-    head = q.limit(broadcast_limit + 1).toArrow() if broadcast_limit else None
-    if head is not None and 0 < head.num_rows <= broadcast_limit:
+    head = _small(q, broadcast_limit)
+    if head is not None and head.num_rows:
         shared = p.sparkSession.sparkContext.broadcast(
             (head.column("query_id").to_numpy(), _matrix(head.column("embedding")))
         )

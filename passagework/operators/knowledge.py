@@ -352,10 +352,10 @@ def _shown(scored: DataFrame, method: str) -> DataFrame:
 
 def intent_search(queries: DataFrame, articles: DataFrame, limit: int = 5) -> DataFrame:
     """Staged search for queries with a valid intent; later stages see only unmatched queries."""
-    asked = with_intent(queries).filter(F.col("intent.is_valid")).withColumn(
+    # One row per query; written so that the intent is not worked out again at each use.
+    asked = written(with_intent(queries), "intents").filter(F.col("intent.is_valid")).withColumn(
         "terms", search_terms(F.col("query"), F.col("intent.action"))
     )
-    asked = written(asked, "intents")
     first = written(
         _shown(_scored(intent_candidates(asked, articles, limit, True), asked, articles), "action_and_service"), "stage-one"
     )
@@ -400,12 +400,21 @@ def compare_searches(queries: DataFrame, a: DataFrame, b: DataFrame) -> DataFram
 
 def rescore_articles(results: DataFrame, queries: DataFrame) -> DataFrame:
     """The best article per query after bonuses for service and action in the title."""
-    low, title = F.lower("query"), F.lower("title")
-    service = first_label(low, K.ANSWER_SERVICES)
-    action = first_label(low, K.ANSWER_TITLE_ACTIONS)
-    bonus = F.when(service.isNotNull() & F.contains(title, service), 0.3).otherwise(0.0) + F.when(
-        _label_says(action, title, K.ANSWER_TITLE_ACTIONS), 0.4
-    ).otherwise(0.0)
+    asked = let(
+        F.lower("query"),
+        lambda low: F.struct(
+            first_label(low, K.ANSWER_SERVICES).alias("service"),
+            first_label(low, K.ANSWER_TITLE_ACTIONS).alias("action"),
+        ),
+    )
+
+    def added(x):
+        service, title = x["asked"]["service"], x["title"]
+        return F.when(service.isNotNull() & F.contains(title, service), 0.3).otherwise(0.0) + F.when(
+            _label_says(x["asked"]["action"], title, K.ANSWER_TITLE_ACTIONS), 0.4
+        ).otherwise(0.0)
+
+    bonus = let(F.struct(asked.alias("asked"), F.lower("title").alias("title")), added)
     joined = results.join(queries.select(QUERY, "query"), QUERY)
     scored = joined.withColumn("context_score", F.col("relevance_score") + bonus)
     order = Window.partitionBy(QUERY).orderBy(F.desc("context_score"), "rank")
