@@ -99,4 +99,5 @@ def index_summary(chunks: DataFrame, pages: DataFrame | None = None) -> DataFram
         F.count("*").alias("visual_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("pages_indexed")
     ).withColumn("visual_ready", F.col("visual_documents") > 0)
     # Two one-row tables side by side.
-    return text.withColumn("k", F.lit(1)).join(visual.withColumn("k", F.lit(1)), "k").drop("k")
+    both = text.unionByName(visual, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -88,7 +88,8 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int) -> Dat
     phrases = by_phrase.withColumn("part", longest)
     spoken = phrases.filter(F.col("part").isNotNull())
     parts = by_word.filter(F.col("part") != "").select("part").union(spoken.select("part")).distinct()
-    pairs = contained_in_tokens(parts, postings.select("token").distinct())
+    # As large as the vocabularies, not as the tables; used by words and phrases.
+    pairs = written(contained_in_tokens(parts, postings.select("token").distinct()), "word-tokens")
 
     # Words: newest articles per word, then per query.
     per_word = newest_per(

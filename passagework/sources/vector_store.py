@@ -84,14 +84,15 @@ def store_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 
 def multimodal_stats(text_vectors: DataFrame, patches: DataFrame) -> DataFrame:
-    """One row with the sizes of both parts; each part is reduced before they meet."""
+    """One row with the sizes of both parts; each part is reduced to one row before they meet."""
     t = text_vectors.agg(F.count("*").alias("text_vectors"), F.max(F.size("embedding")).alias("text_dimension"))
     p = patches.agg(
         F.countDistinct("doc_id").alias("visual_documents"),
         F.count("*").alias("visual_patches"),
         F.max(F.size("embedding")).alias("visual_dimension"),
     )
-    return t.withColumn("k", F.lit(1)).join(p.withColumn("k", F.lit(1)), "k").drop("k").withColumn(
+    both = t.unionByName(p, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
         "metadata_entries", F.col("text_vectors") + F.col("visual_patches")
     )
 
