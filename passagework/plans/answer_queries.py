@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework.functions import constants as K
-from passagework.functions.query import chart_flags
+from passagework.functions.query import chart_flags, expand_query
 from passagework.operators import answers as A
 from passagework.operators import evaluation as EV
 from passagework.operators import selection as R
 from passagework.plans import pipeline as P
 from passagework.plans import sql_parts as S
-from passagework.plans.knowledge_queries import _pick, articles, user_queries
+from passagework.plans.knowledge_queries import (
+    SQL_BONUS,
+    SQL_EXPANDED,
+    _pick,
+    articles,
+    sql_intent_search,
+    user_queries,
+)
 from passagework.plans.registry import query, spread, table
 from passagework.plans.vector_queries import SQL_SEARCH, passages, text_chunks, text_search
 
@@ -270,6 +277,30 @@ def text_query(spark, folder):
     return answered.select("query_id", "success", "chunks_used", F.round("confidence", 6).alias("confidence"), "answer")
 
 
+def _sql_candidates() -> str:
+    """Both sources see the expanded query; the article is chosen by the original one."""
+    text = SQL_SEARCH.replace(
+        "asked AS (SELECT item_id AS id, text FROM benchmark)", "asked AS (SELECT query_id AS id, query AS text FROM expanded)"
+    )
+    intents = sql_intent_search(3).replace(S.SQL_QUERIES, "expanded")
+    return f"""WITH expanded AS MATERIALIZED (SELECT query_id, expanded AS query FROM ({SQL_EXPANDED})), {text}, {intents},
+    o AS (SELECT query_id, lower(query) AS low FROM {S.SQL_QUERIES}),
+    best AS (SELECT * FROM (SELECT query_id, relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score + {SQL_BONUS} DESC, rank) AS n
+      FROM intent_hits JOIN o USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)
+    SELECT a.id AS query_id, 0 AS position, 'text' AS source_type, round(coalesce(max(CASE WHEN h.rank <= 3 AND h.score > 0.2 THEN h.score END), 0), 6) AS score
+    FROM asked a LEFT JOIN hits h ON h.query_id = a.id GROUP BY a.id
+    UNION ALL SELECT query_id, 2, 'salesforce', round(CAST(relevance_score AS DOUBLE), 6) FROM best"""
+
+
+@query("gather_candidates", _sql_candidates())
+def gather_candidates(spark, folder):
+    asked, kb = user_queries(spark, folder), articles(spark, folder)
+    expanded = asked.select("query_id", expand_query(F.col("query")).alias("query"))
+    text = P.text_query(expanded, files_of_chunks(spark, folder))
+    found = P.gather_candidates(text, None, P.knowledge_answers(asked, kb, expanded))
+    return found.select("query_id", "position", "source_type", F.round("score", 6).alias("score"))
+
+
 @query("query_all_sources")
 def query_all_sources(spark, folder):
     return P.answer_all_sources(user_queries(spark, folder), files_of_chunks(spark, folder), articles(spark, folder))

@@ -45,11 +45,11 @@ def _sql_expansion() -> str:
     return f"list_sort(list_distinct(list_concat({', '.join(parts)})))"
 
 
-@query(
-    "expand_query",
-    f"""SELECT query_id, CASE WHEN len(terms) > 0 THEN query || ' ' || array_to_string(terms, ' ') ELSE query END AS expanded
-    FROM (SELECT query_id, query, {_sql_expansion()} AS terms FROM (SELECT *, lower(query) AS low FROM {S.SQL_QUERIES}))""",
-)
+SQL_EXPANDED = f"""SELECT query_id, CASE WHEN len(terms) > 0 THEN query || ' ' || array_to_string(terms, ' ') ELSE query END AS expanded
+  FROM (SELECT query_id, query, {_sql_expansion()} AS terms FROM (SELECT *, lower(query) AS low FROM {S.SQL_QUERIES}))"""
+
+
+@query("expand_query", SQL_EXPANDED)
 def expand_query(spark, folder):
     return user_queries(spark, folder).select("query_id", Q.expand_query(F.col("query")).alias("expanded"))
 
@@ -271,10 +271,10 @@ def search_ab_compare(spark, folder):
     return r.drop("a_better").withColumns({c: F.round(c, 6) for c in ("a_avg", "b_avg", "improvement")})
 
 
-_SQL_BONUS = f"""CASE WHEN coalesce(contains(lower(title), {S.first_label('low', K.ANSWER_SERVICES)}), false) THEN 0.3 ELSE 0 END
+SQL_BONUS = f"""CASE WHEN coalesce(contains(lower(title), {S.first_label('low', K.ANSWER_SERVICES)}), false) THEN 0.3 ELSE 0 END
   + CASE WHEN {S.label_says(f"({S.first_label('low', K.ANSWER_TITLE_ACTIONS)})", 'lower(title)', K.ANSWER_TITLE_ACTIONS)} THEN 0.4 ELSE 0 END"""
-SQL_BEST = f"""{SQL_INTENT}, best AS (SELECT * FROM (SELECT h.query_id, h.article_id, h.relevance_score, h.relevance_score + {_SQL_BONUS} AS context_score,
-    row_number() OVER (PARTITION BY h.query_id ORDER BY h.relevance_score + {_SQL_BONUS} DESC, rank) AS n
+SQL_BEST = f"""{SQL_INTENT}, best AS (SELECT * FROM (SELECT h.query_id, h.article_id, h.relevance_score, h.relevance_score + {SQL_BONUS} AS context_score,
+    row_number() OVER (PARTITION BY h.query_id ORDER BY h.relevance_score + {SQL_BONUS} DESC, rank) AS n
     FROM intent_hits h JOIN i USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)"""
 
 

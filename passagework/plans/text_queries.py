@@ -241,7 +241,31 @@ def chunk_sentences(spark, folder):
     return chunks.select("doc_id", "chunk_number", "content")
 
 
-@query("chunk_sentences_overlap")
+# Pieces end at . ! ? before any whitespace; acc[i] is the number of words before piece i (from 1), ends[j] the
+# pieces up to sentence j. A chunk is the pieces from ``lo`` up to its first new sentence, then whole sentences.
+SQL_OVERLAPPED = rf"""WITH RECURSIVE s AS (SELECT doc_id, {SQL_SENTENCES.format('text')} AS ss FROM documents),
+  e AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM s),
+  p0 AS (SELECT doc_id, j, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+    SELECT doc_id, j, string_split(regexp_replace(s, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM e)),
+  p1 AS (SELECT doc_id, j, p, row_number() OVER (PARTITION BY doc_id ORDER BY j, i) AS n, len({sql_words('p')}) AS w FROM p0),
+  p2 AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS upto FROM p1),
+  d AS (SELECT doc_id, list(p ORDER BY n) AS ps, list_concat([0], list(upto ORDER BY n)) AS acc FROM p2 GROUP BY doc_id),
+  b AS (SELECT doc_id, list_concat([0], list(n ORDER BY j)) AS ends FROM (SELECT doc_id, j, max(n) AS n FROM p2 GROUP BY ALL) GROUP BY doc_id),
+  t AS (SELECT s.doc_id, ss, ps, acc, ends FROM s JOIN d USING (doc_id) JOIN b USING (doc_id)),
+  walk AS (SELECT doc_id, 1 AS j, 0 AS chunk, CAST(0 AS BIGINT) AS lo, 1 AS head FROM t
+    UNION ALL
+    SELECT doc_id, j + 1, CASE WHEN flush THEN chunk + 1 ELSE chunk END,
+      CASE WHEN flush THEN lo + len(list_filter(acc[lo + 1 : ends[j + 1]], lambda x: acc[ends[j + 1] + 1] - x > {OVERLAP})) ELSE lo END,
+      CASE WHEN flush THEN j + 1 ELSE head END
+    FROM (SELECT walk.*, t.acc, t.ends, t.acc[t.ends[j + 2] + 1] - t.acc[lo + 1] > {SIZE} AS flush
+      FROM walk JOIN t USING (doc_id) WHERE j < len(t.ss))),
+  c AS (SELECT doc_id, chunk, any_value(lo) AS lo, any_value(head) AS head, max(j) AS tail FROM walk GROUP BY ALL)
+  SELECT doc_id, chunk AS chunk_number, array_to_string(list_concat(ps[lo + 1 : ends[head]], ss[head : tail]), ' ') AS content,
+    printf('sentence_chunk_%03d', chunk) AS chunk_id, chunk * {SIZE} AS start_index, (chunk + 1) * {SIZE} AS end_index,
+    'sentences' AS chunk_method, acc[ends[tail + 1] + 1] - acc[lo + 1] AS word_count FROM c JOIN t USING (doc_id)"""
+
+
+@query("chunk_sentences_overlap", SQL_OVERLAPPED)
 def chunk_sentences_overlap(spark, folder):
     return C.chunk(documents(spark, folder), strategy="sentences", size=SIZE, overlap=OVERLAP)
 
