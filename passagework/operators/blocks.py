@@ -81,11 +81,6 @@ def merge_topk(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _spread_over_cores(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _small(queries: DataFrame, limit: int) -> pa.Table | None:
     """The queries, when they are proven to be at most ``limit`` rows and few bytes; else None."""
     if not limit:
@@ -154,7 +149,7 @@ def exact_topk(
         if not head.num_rows:
             return merge_topk(vectors.sparkSession.createDataFrame([], RESULT), k)
         names = head.column("query_id").to_numpy()
-        partial = _broadcast_topk(names, _matrix(head.column("embedding")), _spread_over_cores(v), k)
+        partial = _broadcast_topk(names, _matrix(head.column("embedding")), v, k)
     else:
         shards = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-v.count() // SHARD_ROWS))
         partial = _grid_topk(q, v, k, shards, max(1, -(-q.count() // QUERY_BLOCK)))
@@ -371,7 +366,7 @@ def visual_topk(queries: DataFrame, patches: DataFrame, k: int, broadcast_limit:
             if kept is not None:
                 yield from kept.combine_chunks().to_batches()
 
-        partial = _spread_over_cores(p).mapInArrow(search, PAGE_RESULT)
+        partial = p.mapInArrow(search, PAGE_RESULT)
     else:
         shards = max(p.sparkSession.sparkContext.defaultParallelism, -(-p.count() // SHARD_ROWS))
         blocks = max(1, -(-q.count() // QUERY_BLOCK))

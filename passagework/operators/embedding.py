@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from passagework.functions.text import let, word_count, words
 from passagework.functions.vectors import l2_normalize
@@ -71,6 +72,35 @@ def index_texts(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame
     return embed(counted, idf), idf
 
 
+def embed_with(
+    df: DataFrame, fn: Callable[[list[str]], list[list[float]]], dimension: int, text: str = "text", batch: int = 10
+) -> DataFrame:
+    """Adds ``embedding`` from any embedder that maps a list of texts to vectors, ``batch`` texts per call.
+
+    Blank texts, and texts of a batch that fails, get the zero vector.
+    """
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+    zero = [0.0] * dimension
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        try:
+            return [[float(x) for x in v] for v in fn(texts)]
+        except Exception:
+            return [zero] * len(texts)
+
+    def run(frames):
+        for frame in frames:
+            out = [zero] * len(frame)
+            filled = [i for i, t in enumerate(frame[text]) if t and t.strip()]
+            for at in range(0, len(filled), batch):
+                part = filled[at : at + batch]
+                for i, v in zip(part, vectors([frame[text].iloc[i] for i in part])):
+                    out[i] = v
+            yield frame.assign(embedding=out)
+
+    return df.mapInPandas(run, schema)
+
+
 def cache_key(text: Column, model: str) -> Column:
     return F.md5(F.concat(F.lit(model + ":"), text))
 

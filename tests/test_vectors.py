@@ -153,6 +153,18 @@ def test_cache_meets_each_text_once(spark):
     assert (s.created, s.hits, s.misses, s.tokens, s.hit_rate) == (2, 2, 2, 5, 0.5)
 
 
+def test_own_embedder_runs_in_batches(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bb", " ", "bad", "cc"])], "i int, text string").coalesce(1)
+
+    def lengths(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[len(t), len(texts)] for t in texts]
+
+    got = [r.embedding for r in E.embed_with(df, lengths, 2, batch=2).orderBy("i").collect()]
+    assert got == [[1, 2], [2, 2], [0, 0], [0, 0], [0, 0]]
+
+
 def test_blank_text_is_the_zero_vector(spark):
     df = E.count_terms(spark.createDataFrame([("",), ("a b",)], "text string"))
     got = E.embed(df, E.fit_idf(df)).collect()
