@@ -8,7 +8,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,6 +22,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters do not repeat: a filter is not pushed below a generated column."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def empty_strings() -> Column:
     return F.array().cast(NO_STRINGS)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from passagework.functions import constants as K
 from passagework.functions.query import extract_intent
 from passagework.functions.text import (
-    contains_any, count_contained, empty_strings, first_label, let, long_words, strip, strip_html, words,
+    computed_once, contains_any, count_contained, empty_strings, first_label, let, long_words, strip, strip_html, words,
 )
 from passagework.session import written
 
@@ -121,12 +121,15 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int) -> Dat
     return newest_per(hits, [QUERY], limit)
 
 
-def with_each_of_newest(queries: DataFrame, articles: DataFrame, n: int) -> DataFrame:
-    """Every query with the n newest articles; the article side has n rows, so it is broadcast."""
+def with_each_of_newest(queries: DataFrame, articles: DataFrame, n: int, **added: Column) -> DataFrame:
+    """Every query with the n newest articles; the article side has n rows, so it is broadcast.
+
+    ``added`` columns are computed on those n rows only.
+    """
     recent = articles.orderBy(F.desc("modified"), "article_id").limit(n)
     numbered = recent.withColumn(
         "position", F.row_number().over(Window.orderBy(F.desc("modified"), "article_id"))
-    )
+    ).withColumns(added)
     asked = queries.withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(n))))
     return asked.join(F.broadcast(numbered), "position").drop("position")
 
@@ -169,10 +172,11 @@ def keyword_search(queries: DataFrame, articles: DataFrame, limit: int = 5, fall
     )
 
     missed = asked.join(found.select(QUERY).distinct(), QUERY, "left_anti")
-    recent = with_each_of_newest(missed, articles, 3 * limit).withColumn("b", body)
+    recent = with_each_of_newest(missed, articles, 3 * limit, b=body)
     matches = count_contained(F.col("b"), F.col("w")) + F.when(F.contains("b", "q"), 2).otherwise(0)
     by_content = (
-        recent.select(QUERY, "article_id", "modified", "title", words_n.alias("n"), matches.alias("content_matches"))
+        computed_once(recent, "content_matches", matches)
+        .select(QUERY, "article_id", "modified", "title", words_n.alias("n"), "content_matches")
         .filter(F.col("content_matches") > 0)
         .select(
             QUERY, "article_id", "modified", "title",
@@ -334,12 +338,14 @@ def conflicts_with_action(action: Column, title: Column) -> Column:
 
 
 def _scored(candidates: DataFrame, asked: DataFrame, articles: DataFrame) -> DataFrame:
-    return (
+    joined = (
         candidates.select(QUERY, "article_id")
         .join(articles, "article_id")
         .join(asked.select(QUERY, "query", "intent"), QUERY)
         .withColumns({"t": F.lower("title"), "b": F.lower(F.coalesce("body", F.lit("")))})
-        .withColumn("match", intent_relevance(F.col("query"), F.col("intent"), F.col("t"), F.col("b")))
+    )
+    return computed_once(
+        joined, "match", intent_relevance(F.col("query"), F.col("intent"), F.col("t"), F.col("b"))
     )
 
 
