@@ -235,7 +235,10 @@ NO_ANSWER = (
 )
 
 # Selection.
-MINIMUM_SCORES = {"text": 0.15, "colpali": 0.20, "salesforce": 0.2}
+TEXT_SOURCE = "text"
+PAGE_IMAGE_SOURCE = "colpali"
+KNOWLEDGE_SOURCE = "salesforce"
+MINIMUM_SCORES = {TEXT_SOURCE: 0.15, PAGE_IMAGE_SOURCE: 0.20, KNOWLEDGE_SOURCE: 0.2}
 DEFAULT_MINIMUM_SCORE = 0.2
 
 # Knowledge base records.

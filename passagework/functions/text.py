@@ -198,7 +198,7 @@ def clean_answer(answer: Column, source_type: Column) -> Column:
     t = F.regexp_replace(t, r"### Sheet: [^-]+ - Entry \d+\n\n", "")
     t = F.regexp_replace(t, r"\n\nKey fields: [^\n]+", "")
     t = F.regexp_replace(t, r"--- Page \d+ ---\n?", "")
-    t = F.when(source_type == "colpali", F.regexp_replace(t, r"\(from [^)]+\)", "")).otherwise(t)
+    t = F.when(source_type == K.PAGE_IMAGE_SOURCE, F.regexp_replace(t, r"\(from [^)]+\)", "")).otherwise(t)
     t = strip(F.regexp_replace(t, r"(?U)\n\s*\n\s*\n+", "\n\n"))
     return F.when(strip(answer) == "", answer).otherwise(t)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.functions import constants as K
 from passagework.functions.query import expand_query
 from passagework.functions.text import clean_answer, strip_html
 from passagework.operators import answers as A
@@ -14,9 +15,6 @@ from passagework.operators import knowledge as KB
 from passagework.operators import selection as R
 from passagework.session import written
 
-CANDIDATE = ["query_id", "position", "source_type", "success", "answer", "score"]
-
-
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """The k best chunks per query with content and file; contents are joined after the ranking.
 
@@ -57,14 +55,19 @@ def gather_candidates(
     ``text``: query_id, answer, confidence; ``visual``: query_id, rank, content, score;
     ``knowledge``: query_id, answer, score.
     """
+    def side(df: DataFrame, position: int, source: str, success: Column, answer: str, score: str) -> DataFrame:
+        return df.select(
+            "query_id", F.lit(position).alias("position"), F.lit(source).alias("source_type"),
+            success.alias("success"), F.col(answer).alias("answer"), F.col(score).alias("score"),
+        )
+
     parts = []
     if text is not None:
-        parts.append(text.select("query_id", F.lit(0).alias("position"), F.lit("text").alias("source_type"), "success", "answer", F.col("confidence").alias("score")))
+        parts.append(side(text, 0, K.TEXT_SOURCE, F.col("success"), "answer", "confidence"))
     if visual is not None:
-        top = visual.filter(F.col("rank") == 1)
-        parts.append(top.select("query_id", F.lit(1).alias("position"), F.lit("colpali").alias("source_type"), F.lit(True).alias("success"), F.col("content").alias("answer"), "score"))
+        parts.append(side(visual.filter(F.col("rank") == 1), 1, K.PAGE_IMAGE_SOURCE, F.lit(True), "content", "score"))
     if knowledge is not None:
-        parts.append(knowledge.select("query_id", F.lit(2).alias("position"), F.lit("salesforce").alias("source_type"), F.lit(True).alias("success"), "answer", "score"))
+        parts.append(side(knowledge, 2, K.KNOWLEDGE_SOURCE, F.lit(True), "answer", "score"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
