@@ -163,10 +163,6 @@ def parse_key_value_rows(spark, folder):
     return maps.select("c_custkey", F.explode("m").alias("key", "value"))
 
 
-SQL_PAGED = """(SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l, i:
-  '--- Page ' || i || ' ---' || chr(10) || l) AS parts FROM documents)"""
-
-
 @query(
     "page_split",
     rf"""SELECT doc_id, page, {sql_strip('l')} AS text FROM (
