@@ -273,9 +273,13 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Counts and hashed positions of the output of ``find``."""
     spans = F.col("found")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         *keep,
-        *(F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        *map(count, BASE_KINDS),
         F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))).cast("binary"), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
