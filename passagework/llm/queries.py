@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, pii_anchors, topk_columnar, trie_counts
+from passagework.llm import bpe, cotraining, pii_anchors, topk_columnar, trie_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,3 +60,8 @@ def op4_bpe_merge_queue(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trie_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
