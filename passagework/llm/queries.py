@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, cotraining, pii_anchors, topk_columnar, trie_counts
+from passagework.llm import bpe, cotraining, pii_anchors, spaced_seeds, topk_columnar, trie_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,30 @@ def op4_bpe_merge_queue(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op6_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return spaced_seeds.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op6_spaced_seed_decontamination"] = """
+WITH d AS (
+  SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p
+  FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)
+), i AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q
+  FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark) WHERE len(w) >= 5
+), m AS (
+  SELECT r, doc_id, item_id, n, p - q AS o, q FROM d JOIN i USING (word)
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY r, item_id, n, o ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near FROM m
+), g AS (
+  SELECT r, doc_id, item_id, n, o, count(*) AS matched FROM c GROUP BY ALL HAVING count(*) * 5 >= n * 4 OR (n >= 13 AND max(near) >= 11)
+)
+SELECT doc_id, item_id, matched AS matched_words, n AS item_words, greatest(o, 0) AS first_word
+FROM (SELECT *, row_number() OVER (PARTITION BY r, item_id, n ORDER BY matched DESC, greatest(o, 0)) AS k FROM g) WHERE k = 1
+"""
+
+
 @query
 def op7_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trie_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
