@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe, cotraining, pii_anchors, spaced_seeds, topk_columnar, trie_counts
+from passagework.llm import blob_ledger, bpe, cotraining, pii_anchors, spaced_seeds, topk_columnar, trie_counts
+
+from passagework.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +88,13 @@ def op7_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trie_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op8_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = blob_ledger.Ledger(spark, scratch_path(spark, "ledger"))
+    paths = ledger.scan(table(spark, folder, "documents"))
+    return blob_ledger.report(paths, ledger.findings())
+
+
 @query
 def op10_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
