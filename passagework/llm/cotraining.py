@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,13 +71,17 @@ def numbers(text: str | None, found: list[str], n_chars: int | None) -> list[flo
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights of a logistic regression with an intercept last, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    width = x.shape[1] + 1
+    w, ridge = np.zeros(width), np.full(width, penalty)
     ridge[-1] = 1e-6
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), grad)
+        grad, bend = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), 1000):  # copies stay small
+            part = np.hstack([x[at : at + 1000], np.ones((len(x[at : at + 1000]), 1))])
+            p = sigmoid(part @ w)
+            grad += part.T @ (p - y[at : at + 1000])
+            bend += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(bend, grad)
         size = float(np.abs(step).max())
         w -= step * min(1.0, 4.0 / max(size, 1e-9))
         if size < 1e-4:
@@ -225,32 +229,36 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, poo
         top = stats.where(gain >= SIGNIFICANT).orderBy(gain.desc(), "token").limit(tokens).select("token").collect()
         targets[t] = Target({r["token"]: i for i, r in enumerate(sorted(top, key=lambda r: r["token"]))})
 
-    sparse = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.IntegerType())]))
-    vocabulary = set().union(*(t.vocabulary for t in targets.values()))
-    schema = T.StructType([*fields(sample, *keys, "lang", "source"), T.StructField("bag", sparse), T.StructField("figures", T.ArrayType(T.DoubleType()))])
+    numbered = {t: i for i, t in enumerate(sorted(set().union(*(t.vocabulary for t in targets.values()))))}
+    whole, real = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
+    columns = [T.StructField("tokens", whole), T.StructField("n", whole), T.StructField("figures", real)]
+    schema = T.StructType([*fields(sample, *keys, "lang", "source"), *columns])
 
     def features(counts: list[Counter], langs: list, sources: list, figures: np.ndarray) -> list[pa.Array]:
-        bags = [[{"token": k, "n": c[k]} for k in sorted(vocabulary & c.keys())] for c in counts]
-        return [pa.array(bags, pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))), pa.array(figures.tolist(), pa.list_(pa.float64()))]
+        held = [sorted(numbered.keys() & c.keys()) for c in counts]
+        numbers = [[numbered[t] for t in h] for h in held], [[c[t] for t in h] for h, c in zip(held, counts, strict=True)]
+        return [*(pa.array(x, pa.list_(pa.int32())) for x in numbers), pa.array(figures.tolist(), pa.list_(pa.float64()))]
 
-    rows = _in_tasks(sample, (*keys, "lang", "source"), schema, features).collect()
-    rows.sort(key=lambda r: (r["doc_id"], str(r["figures"])))
-    return _fit_model(rows, targets, rounds)
+    rows = _in_tasks(sample, (*keys, "lang", "source"), schema, features).orderBy("doc_id", "figures").toArrow()
+    return _fit_model(rows, list(numbered), targets, rounds)
 
 
-def _fit_model(rows: list[Row], targets: dict[str, Target], rounds: int) -> Model:
-    figures = np.array([r["figures"] for r in rows]).reshape(-1, NUMBERS)
-    seen = Counter(x for r in rows for x in (f"lang {r['lang']}", f"source {r['source']}"))
+def _fit_model(rows: pa.Table, names: list[str], targets: dict[str, Target], rounds: int) -> Model:
+    figures = np.array(rows.column("figures").to_pylist()).reshape(-1, NUMBERS)
+    langs, sources = rows.column("lang").to_pylist(), rows.column("source").to_pylist()
+    seen = Counter(x for pair in zip(langs, sources, strict=True) for x in (f"lang {pair[0]}", f"source {pair[1]}"))
     categories = {name: i for i, (name, _) in enumerate(seen.most_common(256))}
-    centre = figures.mean(axis=0) if len(rows) else np.zeros(NUMBERS)
-    spread = figures.std(axis=0) + 1e-6 if len(rows) else np.ones(NUMBERS)
+    centre = figures.mean(axis=0) if len(figures) else np.zeros(NUMBERS)
+    spread = figures.std(axis=0) + 1e-6 if len(figures) else np.ones(NUMBERS)
     model = Model(categories, centre, spread, targets)
-    page = model.page([r["lang"] for r in rows], [r["source"] for r in rows], figures)
-    counts = [Counter({b["token"]: b["n"] for b in r["bag"]}) for r in rows]
-    known = np.array([r["low"] is not None for r in rows], dtype=bool)
+    page = model.page(langs, sources, figures)
+    held = np.zeros((len(figures), len(names)), dtype=np.float32)
+    for i, (at, n) in enumerate(zip(rows.column("tokens"), rows.column("n"), strict=True)):
+        held[i, at.values.to_numpy()] = np.log1p(n.values.to_numpy())
+    known = rows.column("low").is_valid().to_numpy()
     for name, target in targets.items():
-        x = bag(counts, target.vocabulary)
-        y = np.array([r[name] for r in rows if r[name] is not None], dtype=float)
+        x = held[:, [i for i, t in enumerate(names) if t in target.vocabulary]]
+        y = rows.column(name).drop_null().to_numpy().astype(float)
         cotrain(target, (x[known], page[known]), y, (x[~known], page[~known]), rounds)
     return model
 
