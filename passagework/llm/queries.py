@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import blob_ledger, bpe, cotraining, pii_anchors, spaced_seeds, topk_columnar, trie_counts
+from passagework.llm import blob_ledger, bpe, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts
 
 from passagework.session import scratch_path
 
@@ -95,6 +95,11 @@ def op8_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return blob_ledger.report(paths, ledger.findings())
 
 
+@query
+def op9_dart_minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "copies")
+
+
 @query
 def op10_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
