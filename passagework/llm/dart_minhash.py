@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,3 +261,14 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         .join(whole, "key")
         .select("doc_id", "digest", F.col("stands.doc_id").alias("class_id"), "copies", row.eqNullSafe(F.col("stands")).alias("first"))
     )
+
+
+def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``documents`` with one row of each class: the row with the least doc_id; of equal rows any one."""
+    stands = classes(documents, text, doc_id).where("first").select("doc_id", "digest").distinct()
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("__name")
+    kept = stands.select(F.col("doc_id").isNull().alias("__unnamed"), name(F.col("doc_id")), F.col("digest").alias("__digest"))
+    rows = documents.select("*", documents[doc_id].isNull().alias("__unnamed"), name(documents[doc_id]), text_digest(documents[text]).alias("__digest"))
+    key = ["__unnamed", "__name", "__digest"]
+    one = rows.join(kept.hint("shuffle_hash"), key).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    return one.where("__n = 1").select(*documents.columns)

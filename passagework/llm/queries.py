@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import blob_ledger, bpe, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts
+from passagework.llm import balanced_shards, blob_ledger, bpe, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index
 
 from passagework.session import scratch_path
 
@@ -27,6 +27,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_warc_capture_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_index.round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc_capture_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+
 @query
 def op2_pii_anchor_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return pii_anchors.digest(pii_anchors.find(table(spark, folder, "documents")))
@@ -59,6 +75,11 @@ def op4_bpe_merge_queue(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op5_balanced_label_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_shards.assign(table(spark, folder, "documents")).drop("digest")
+
+
 @query
 def op6_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return spaced_seeds.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
