@@ -18,8 +18,7 @@ from passagework.session import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the co-trained views call low or toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = cotraining.score(docs, cotraining.train(docs, labels), keep=tuple(docs.columns))
-    return scored.where("accepted").select(*docs.columns)
+    return cotraining.accept(docs, cotraining.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,3 +279,22 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
 
 def classify(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return score(documents, train(documents, labels, **options))
+
+
+def accept(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` without those that the model calls low or toxic; all columns stay as they are."""
+    schema = T.StructType(fields(documents, *documents.columns))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        m = shared.value
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts, langs, sources, sizes = (part.column(n).to_pylist() for n in NEEDED)
+            found = [tokens_of(t) for t in texts]
+            figures = np.array([numbers(*r) for r in zip(texts, found, sizes, strict=True)]).reshape(-1, NUMBERS)
+            counts, page = [content(f) for f in found], m.page(langs, sources, figures)
+            scores = [m.targets[t].score((bag(counts, m.targets[t].vocabulary), page)) for t in TARGETS]
+            yield part.filter(pa.array((scores[0] < 0.5) & (scores[1] < 0.5)))
+
+    return map_batches(documents, run, schema)
