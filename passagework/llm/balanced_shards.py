@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from passagework.llm.common import text_digest
 from passagework.session import written
 
-SHARDS, ROUNDS = 40, 3
+SHARDS, ROUNDS = 40, 6
 OVERHEAD = 16
 BUCKET_ROWS = 4096
 
@@ -77,7 +77,8 @@ def _round(rows: DataFrame, total: int, shards: int) -> tuple[DataFrame, int]:
     spark = rows.sparkSession
     linked, group = F.col("linked"), ["digest", "part"]
     votes = rows.where(linked).groupBy(*group, "shard").agg(F.count("*").alias("n"))
-    label = votes.groupBy(*group).agg((-F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"]).cast("int").alias("target"))
+    tie = F.xxhash64(*group, "shard").alias("tie")  # equal votes fall evenly on the shards
+    label = votes.groupBy(*group).agg(F.max(F.struct("n", tie, "shard"))["shard"].alias("target"))
     aimed = written(rows.join(label, group, "left").withColumn("target", F.coalesce("target", "shard")), "shard-aims")
     moves = {(r["shard"], r["target"]): r["n"] for r in aimed.where("shard != target").groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
     free = {r["shard"]: r["n"] for r in aimed.where(~linked).groupBy("shard").agg(F.count("*").alias("n")).collect()}
