@@ -84,13 +84,13 @@ def long_words(text: Column, longer_than: int = 2) -> Column:
     return F.filter(words(F.lower(text)), lambda w: F.length(w) > longer_than)
 
 
-def clean_content(text: Column) -> Column:
-    """Normalise whitespace and characters, drop very long lines, strip the rest."""
+def clean_content(text: Column, longest_line: int | None = None) -> Column:
+    """Normalise whitespace and characters, strip all lines; lines of ``longest_line`` characters or more go, if it is set."""
     t = F.regexp_replace(text, r"(?U)\n\s*\n", "\n\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, K.FORBIDDEN_CHARACTERS, "")
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    kept = F.filter(lines(t), lambda line: F.length(line) < K.LONGEST_LINE)
+    kept = lines(t) if longest_line is None else F.filter(lines(t), lambda line: F.length(line) < longest_line)
     return F.coalesce(strip(F.array_join(F.transform(kept, strip), "\n")), F.lit(""))
 
 

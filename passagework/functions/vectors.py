@@ -39,7 +39,7 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
-def is_valid_vector(v: Column, dimension: int) -> Column:
+def is_valid_vector(v: Column, dimension: int | Column) -> Column:
     """Right dimension and every value finite."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce((F.size(v) == dimension) & finite, F.lit(False))

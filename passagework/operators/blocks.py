@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.functions.vectors import is_valid_vector
+
 QUERY_BLOCK = 2048  # query rows of one matrix product
 SHARD_ROWS = 131072  # vector rows of one shard
 SLICE_ROWS = 8192  # vector rows multiplied at a time
@@ -28,6 +30,24 @@ BROADCAST_BYTES = 64 << 20  # ... and neither are wider vectors
 RESULT = "query_id bigint, id bigint, score double"
 
 
+def common_length(df: DataFrame) -> int:
+    """The length of one vector of finite values; 0 if there is none."""
+    row = df.filter(is_valid_vector(F.col("embedding"), F.size("embedding")) & (F.size("embedding") > 0)).select(F.size("embedding")).first()
+    return row[0] if row else 0
+
+
+def usable(df: DataFrame, dimension: int) -> DataFrame:
+    """Rows that a search may see: ``dimension`` finite values. Null, ragged and NaN vectors are left out."""
+    return df.filter(is_valid_vector(F.col("embedding"), dimension))
+
+
+def _cut_to_smaller(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable rows of both sides, cut to the smaller dimension."""
+    sizes = common_length(a), common_length(b)
+    cut = F.slice("embedding", 1, min(sizes)).alias("embedding")
+    return tuple(usable(df, n).withColumn("embedding", cut) for df, n in zip((a, b), sizes))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Arrow list column to a float64 matrix of unit rows; zero rows stay zero."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -142,8 +162,9 @@ def exact_topk(
 
     ``queries``: query_id, embedding; ``vectors``: id, embedding.
     """
-    q = queries.select(F.col("query_id").cast("bigint"), "embedding")
-    v = vectors.select(F.col("id").cast("bigint"), "embedding")
+    dimension = common_length(vectors)
+    q = usable(queries.select(F.col("query_id").cast("bigint"), "embedding"), dimension)
+    v = usable(vectors.select(F.col("id").cast("bigint"), "embedding"), dimension)
     head = _small(q, broadcast_limit)
     if head is not None:
         if not head.num_rows:
@@ -166,7 +187,7 @@ def train_cells(vectors: DataFrame, cells: int = 100, seed: int = 42, iterations
 
     from passagework.functions.vectors import l2_normalize
 
-    data = vectors.select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    data = usable(vectors, common_length(vectors)).select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(data)
     return np.array(model.clusterCenters())
 
@@ -202,7 +223,8 @@ def approximate_topk(
     A large cell is split into shards of bounded size, whose number is read from
     a count per cell, so a cell with a third of all rows is many small tasks.
     """
-    q = _nearest_cells(queries.select(F.col("query_id").cast("bigint"), "embedding"), centroids, nprobe)
+    asked = usable(queries.select(F.col("query_id").cast("bigint"), "embedding"), centroids.shape[1])
+    q = _nearest_cells(asked, centroids, nprobe)
     v = celled.select(F.col("id").cast("bigint"), "embedding", "cell")
     # One small row per cell: at most as many as there are centroids.
     parts = F.broadcast(
@@ -260,6 +282,7 @@ def maxsim_pages(requests: DataFrame, queries: DataFrame, patches: DataFrame) ->
     Patches of a document are spread over shards of bounded size, because a
     maximum of maxima is the maximum; so a document with very many patches is no hot group.
     """
+    queries, patches = _cut_to_smaller(queries, patches)
     sizes = patches.groupBy("doc_id").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"))
     blocks = requests.groupBy("doc_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = (
@@ -328,6 +351,7 @@ def visual_topk(queries: DataFrame, patches: DataFrame, k: int, broadcast_limit:
     """
     p = patches.select(F.col("doc_id").cast("bigint"), F.col("page").cast("int"), "embedding")
     q = queries.select(F.col("query_id").cast("bigint"), "embedding")
+    q, p = _cut_to_smaller(q, p)
 
     def shard_best(names, queries_m, batch):
         docs, pages, best = _page_scores(queries_m, names, batch)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import constants as K
 from passagework.functions.text import contains_any, format_money, format_revenue, let, lines, strip
+from passagework.sources.vector_store import assign_ids
 
 
 def filled(column: str) -> Column:
@@ -18,8 +19,8 @@ def filled(column: str) -> Column:
 def table_profile(df: DataFrame, order_by: str, samples: int = 3, width: int = 50, columns: list[str] | None = None) -> DataFrame:
     """Per column: row and column counts and the first non-null values in row order.
 
-    One scan and one aggregation without a key explosion: each partition keeps
-    only its first ``samples`` values per column before anything is exchanged.
+    Each partition keeps only its first ``samples`` values per column before
+    anything is exchanged; rows are counted once for all columns.
     """
     names = columns or [c for c in df.columns if c != order_by]
     long = df.select(
@@ -36,10 +37,10 @@ def table_profile(df: DataFrame, order_by: str, samples: int = 3, width: int = 5
         .groupBy("i", "column")
         .agg(F.sort_array(F.collect_list(F.struct("n", F.substring("v", 1, width).alias("v")))).alias("vs"))
     )
-    counts = long.groupBy("i", "column").agg(F.count("*").alias("n_rows"))
-    return counts.join(head, ["i", "column"], "left").select(
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, column string")
+    return listed.join(head, ["i", "column"], "left").select(
         "column",
-        "n_rows",
+        df.agg(F.count("*").alias("n")).scalar().alias("n_rows"),
         F.lit(len(names)).alias("n_columns"),
         F.coalesce(F.array_join(F.transform("vs", lambda s: s["v"]), ", "), F.lit("(empty column)")).alias("samples"),
     )
@@ -127,24 +128,23 @@ def row_entries(
     kind: str = "CSV",
     max_rows: int | None = None,
 ) -> DataFrame:
-    """The first ``max_rows`` rows as entry texts; ``hidden_rows`` tells how many were left out.
-
-    The row limit (50 for CSV, 100 for sheets) is part of what an entry list is.
-    """
+    """All rows as entry texts, or the first ``max_rows``; ``hidden_rows`` tells how many were left out."""
     names = columns or [c for c in df.columns if c != order_by]
-    limit = max_rows or (50 if kind == "CSV" else 100)
-    head = df.orderBy(order_by).limit(limit)
-    entry = Window.orderBy(order_by)
-    total = df.agg(F.count("*").alias("n"))
+    rows = df.select(F.struct("*").alias("row"), F.col(order_by).alias("_by"))
+    if max_rows is None:
+        numbered, hidden = assign_ids(rows, ["_by"], first_id=1), F.lit(0).cast("long")
+    else:
+        numbered = rows.orderBy("_by").limit(max_rows).withColumn("id", F.row_number().over(Window.orderBy("_by")))
+        hidden = F.greatest(df.agg(F.count("*").alias("n")).scalar() - max_rows, F.lit(0))
     keys = key_fields(names)
     title = F.concat(F.lit(f"### {kind}: {file} - Entry "), F.col("entry"))
-    return head.withColumn("entry", F.row_number().over(entry)).select(
+    return numbered.select(F.col("id").cast("int").alias("entry"), "row.*").select(
         "entry",
         F.concat(
             title, F.lit("\n\n"), describe_row(names), F.lit("\n\n"),
             F.when(keys != "", F.concat(F.lit("Key fields: "), keys, F.lit("\n"))).otherwise(""),
         ).alias("content"),
-        F.greatest(total.scalar() - limit, F.lit(0)).alias("hidden_rows"),
+        hidden.alias("hidden_rows"),
     )
 
 

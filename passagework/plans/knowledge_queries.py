@@ -378,9 +378,9 @@ SQL_RAW_CASES = """(SELECT o_orderkey AS id, 'C-' || o_orderkey AS case_number,
   CASE WHEN o_orderstatus = 'F' THEN 'Closed' ELSE 'Open' END AS status, o_orderpriority AS priority, o_orderdate AS created, o_orderdate AS closed FROM orders)"""
 _SQL_PUBLISHED = "status = 'Online' AND language = 'en_US' AND record_type = 'Product Documentation'"
 SQL_SCAN_ARTICLES = f"""SELECT id, title, CASE WHEN body = '' THEN 'No content available for ' || title ELSE body END AS content, created, modified
-  FROM {SQL_RAW_ARTICLES} WHERE {_SQL_PUBLISHED} ORDER BY modified DESC, id LIMIT 100"""
+  FROM {SQL_RAW_ARTICLES} WHERE {_SQL_PUBLISHED}"""
 SQL_SCAN_CASES = f"""SELECT id, case_number, subject AS title, description AS problem, description AS solution, priority, created, closed
-  FROM {SQL_RAW_CASES} WHERE status = 'Closed' AND description <> '' ORDER BY closed DESC, id LIMIT 200"""
+  FROM {SQL_RAW_CASES} WHERE status = 'Closed' AND description <> ''"""
 
 
 @query("scan_articles", SQL_SCAN_ARTICLES)
@@ -388,6 +388,12 @@ def scan_articles(spark, folder):
     return SRC.scan_articles(raw_articles(spark, folder)).select("id", "title", "content", "created", "modified")
 
 
+@query("scan_articles_newest", f"{SQL_SCAN_ARTICLES} ORDER BY modified DESC, id LIMIT {K.DEFAULT_ARTICLES}")
+def scan_articles_newest(spark, folder):
+    newest = SRC.scan_articles(raw_articles(spark, folder), K.DEFAULT_ARTICLES)
+    return newest.select("id", "title", "content", "created", "modified")
+
+
 @query("scan_closed_cases", SQL_SCAN_CASES)
 def scan_closed_cases(spark, folder):
     return SRC.scan_closed_cases(raw_cases(spark, folder)).select(
@@ -395,6 +401,13 @@ def scan_closed_cases(spark, folder):
     )
 
 
+@query("scan_closed_cases_newest", f"{SQL_SCAN_CASES} ORDER BY closed DESC, id LIMIT {K.DEFAULT_CASES}")
+def scan_closed_cases_newest(spark, folder):
+    return SRC.scan_closed_cases(raw_cases(spark, folder), K.DEFAULT_CASES).select(
+        "id", "case_number", "title", "problem", "solution", "priority", "created", "closed"
+    )
+
+
 @query(
     "incremental_scan",
     f"""SELECT 'article' AS kind, id, title, body AS content FROM {SQL_RAW_ARTICLES} WHERE status = 'Online' AND modified > 50000000000

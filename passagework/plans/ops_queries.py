@@ -303,7 +303,7 @@ def stream_sync(spark, folder):
 
 @query(
     "stream_ingest",
-    f"""WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), c AS (SELECT doc_id, {SQL_CLEAN.format('text')} AS t FROM d),
+    f"""WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), c AS (SELECT doc_id, {SQL_CLEAN.format('text', 'length(l) + 1')} AS t FROM d),
     w AS (SELECT doc_id, {S.words('t')} AS words FROM c)
     SELECT doc_id, CAST(greatest(0, ceil((len(words) - 200) / 160.0)) AS BIGINT) + 1 AS chunks FROM w WHERE len(words) > 0""",
 )

@@ -90,18 +90,26 @@ def key_fields(spark, folder):
     return people(spark, folder).select("c_custkey", R.key_fields(["name", "department", "role"]).alias("key_fields"))
 
 
-@query(
-    "row_entries",
-    """WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT row_number() OVER (ORDER BY c_custkey) AS entry, * FROM customer)
+SQL_ENTRIES = """WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT row_number() OVER (ORDER BY c_custkey) AS entry, * FROM customer)
     SELECT entry, '### CSV: customers - Entry ' || entry || chr(10) || chr(10) || c_name || ' in the ' || c_mktsegment || ' department.'
       || chr(10) || chr(10) || 'Key fields: name: ' || c_name || ' | department: ' || c_mktsegment || chr(10) AS content,
-      greatest(n - 50, 0) AS hidden_rows FROM r, n WHERE entry <= 50""",
-)
-def row_entries(spark, folder):
-    df = table(spark, folder, "customer").select(
+      greatest(n - {0}, 0) AS hidden_rows FROM r, n WHERE entry <= {0}"""
+
+
+def _customers(spark, folder):
+    return table(spark, folder, "customer").select(
         "c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("department")
     )
-    return R.row_entries(df, "customers", "c_custkey")
+
+
+@query("row_entries", SQL_ENTRIES.format("n"))
+def row_entries(spark, folder):
+    return R.row_entries(_customers(spark, folder), "customers", "c_custkey")
+
+
+@query("row_entries_first", SQL_ENTRIES.format("50"))
+def row_entries_first(spark, folder):
+    return R.row_entries(_customers(spark, folder), "customers", "c_custkey", max_rows=50)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from passagework.functions import constants as K
 from passagework.functions import text as T
 from passagework.operators import chunking as C
 from passagework.plans.registry import query, spread, table
@@ -50,15 +51,20 @@ SQL_CLEAN = (
     r"""regexp_replace(array_to_string(list_transform(list_filter(string_split(
 replace(replace(regexp_replace(regexp_replace(regexp_replace({0}, '\n\s*\n', chr(10)||chr(10), 'g'), '[ \t]+', ' ', 'g'),
 '[^\p{{L}}\p{{N}}\p{{M}}_\s\-.,!?:;()\[\]{{}}"''/\\@#$%^&*+=<>|~`]', '', 'g'), chr(13)||chr(10), chr(10)), chr(13), chr(10)), chr(10)),
-lambda l: length(l) < 1000), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')"""
+lambda l: length(l) < {1}), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')"""
 )
 
 
-@query("clean_content", f"SELECT doc_id, {SQL_CLEAN.format('text')} AS content FROM documents")
+@query("clean_content", f"SELECT doc_id, {SQL_CLEAN.format('text', 'length(l) + 1')} AS content FROM documents")
 def clean_content(spark, folder):
     return documents(spark, folder).select("doc_id", T.clean_content(F.col("text")).alias("content"))
 
 
+@query("clean_content_short_lines", f"SELECT doc_id, {SQL_CLEAN.format('text', K.LONGEST_LINE)} AS content FROM documents")
+def clean_content_short_lines(spark, folder):
+    return documents(spark, folder).select("doc_id", T.clean_content(F.col("text"), K.LONGEST_LINE).alias("content"))
+
+
 @query(
     "doc_metadata",
     f"""SELECT doc_id, len({sql_words('text')}) AS word_count, length(text) AS char_count,

@@ -268,7 +268,7 @@ def sql_tfidf(docs: str, fit: str, prefix: str) -> str:
     {prefix}_v AS (SELECT id, b, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM {prefix}_w QUALIFY sum(x * x) OVER (PARTITION BY id) > 0)"""
 
 
-SQL_CHUNKS = f"""chunks AS (SELECT doc_id * 1000 + k AS id, doc_id, array_to_string(words[k * {SIZE - OVERLAP} + 1 : k * {SIZE - OVERLAP} + {SIZE}], ' ') AS text
+SQL_CHUNKS = f"""chunks AS (SELECT doc_id * 1048576 + k AS id, doc_id, array_to_string(words[k * {SIZE - OVERLAP} + 1 : k * {SIZE - OVERLAP} + {SIZE}], ' ') AS text
   FROM (SELECT doc_id, words, unnest(range(0, CAST(greatest(0, ceil((len(words) - {SIZE}) / {SIZE - OVERLAP}.0)) AS BIGINT) + 1)) AS k
     FROM (SELECT doc_id, {S.words('text')} AS words FROM documents) WHERE len(words) > 0))"""
 SQL_IDF = f"""idf AS (SELECT b, ln(((SELECT count(*) FROM chunks) + 1) / (count(DISTINCT id) + 1)) AS idf FROM (
@@ -282,7 +282,8 @@ SQL_SEARCH = f"""{SQL_CHUNKS}, {SQL_IDF}, {sql_tfidf('chunks', 'idf', 'c')},
 
 def text_chunks(spark, folder):
     chunks = C.chunk(spread(table(spark, folder, "documents")), strategy="fixed", size=SIZE, overlap=OVERLAP)
-    return chunks.select((F.col("doc_id") * 1000 + F.col("chunk_number")).alias("id"), "doc_id", F.col("content").alias("text"))
+    packed = F.when(F.col("chunk_number") < 1 << 20, F.shiftleft("doc_id", 20) + F.col("chunk_number"))
+    return chunks.select(F.coalesce(packed, F.raise_error(F.lit("a document has too many chunks for packed ids"))).alias("id"), "doc_id", F.col("content").alias("text"))
 
 
 def passages(spark, folder):

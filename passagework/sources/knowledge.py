@@ -21,23 +21,27 @@ def published(articles: DataFrame) -> DataFrame:
     return articles
 
 
-def scan_articles(articles: DataFrame, limit: int = K.DEFAULT_ARTICLES) -> DataFrame:
-    """The newest published articles; an empty body is replaced by a note."""
+def scan_articles(articles: DataFrame, limit: int | None = None) -> DataFrame:
+    """The published articles, or the ``limit`` newest; an empty body is replaced by a note."""
     body = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.concat(F.lit("No content available for "), "title"))
-    newest = published(articles).orderBy(F.desc("modified"), "id").limit(limit)
+    newest = _newest(published(articles), "modified", limit)
     return newest.select(
         "id", "title", body.alias("content"), "created", "modified", "status", "language",
         F.lit(K.ARTICLE_SOURCE).alias("source"),
     )
 
 
+def _newest(df: DataFrame, column: str, limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy(F.desc(column), "id").limit(limit)
+
+
 def _solved(cases: DataFrame) -> DataFrame:
     return cases.filter((F.col("status") == "Closed") & (F.col("description") != ""))
 
 
-def scan_closed_cases(cases: DataFrame, limit: int = K.DEFAULT_CASES) -> DataFrame:
-    """The most recently closed cases with a description, which is also the solution."""
-    newest = _solved(cases).orderBy(F.desc("closed"), "id").limit(limit)
+def scan_closed_cases(cases: DataFrame, limit: int | None = None) -> DataFrame:
+    """The closed cases with a description, which is also the solution, or the ``limit`` last closed."""
+    newest = _newest(_solved(cases), "closed", limit)
     optional = [F.col(c) if c in cases.columns else F.lit("").alias(c) for c in ("product", "category")]
     return newest.select(
         "id", "case_number", F.col("subject").alias("title"), F.col("description").alias("problem"),

@@ -16,10 +16,12 @@ from passagework.operators.chunking import chunk
 from passagework.operators.evaluation import stats_columns, with_averages
 
 KEYS = "key string, batch bigint"
+FILES = 1000
 
 
-def read_folder(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, fmt: str = "parquet") -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def read_folder(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, fmt: str = "parquet", files: int = FILES) -> DataFrame:
+    """Files as they arrive; a micro-batch takes at most ``files`` of them, so a backlog is not one batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     return (reader.option("pathGlobFilter", glob) if glob else reader).format(fmt).load(folder)
 
 

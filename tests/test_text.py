@@ -13,7 +13,8 @@ def one(spark, column, **values):
 
 def test_clean_content(spark):
     raw = "  a\t\tb \n \n\n c☃d\r\n" + "x" * 1000 + "\nlast—line "
-    assert one(spark, T.clean_content(F.col("t")), t=raw) == "a b\n\ncd\nlastline"
+    assert one(spark, T.clean_content(F.col("t"), 1000), t=raw) == "a b\n\ncd\nlastline"
+    assert one(spark, T.clean_content(F.col("t")), t=raw) == "a b\n\ncd\n" + "x" * 1000 + "\nlastline"
     assert one(spark, T.clean_content(F.col("t")), t="") == ""
 
 
@@ -109,7 +110,8 @@ def test_describe_companies(spark):
 
 def test_entries_tell_hidden_rows(spark):
     df = spark.range(60).selectExpr("id", "concat('c', id) as company")
-    rows = R.row_entries(df, "firms", "id").orderBy("entry").collect()
+    assert R.row_entries(df, "firms", "id").agg(F.min("entry"), F.max("entry"), F.count("*"), F.sum("hidden_rows")).first() == (1, 60, 60, 0)
+    rows = R.row_entries(df, "firms", "id", max_rows=50).orderBy("entry").collect()
     assert len(rows) == 50 and {r.hidden_rows for r in rows} == {10}
     assert rows[0].content == "### CSV: firms - Entry 1\n\nc0.\n\nKey fields: company: c0\n"
 
