@@ -31,9 +31,11 @@ RESULT = "query_id bigint, id bigint, score double"
 
 
 def common_length(df: DataFrame) -> int:
-    """The length of one vector of finite values; 0 if there is none."""
-    row = df.filter(is_valid_vector(F.col("embedding"), F.size("embedding")) & (F.size("embedding") > 0)).select(F.size("embedding")).first()
-    return row[0] if row else 0
+    """The most frequent length of vectors of finite values; 0 if there is none."""
+    size = F.size("embedding")
+    sound = df.filter(is_valid_vector(F.col("embedding"), size) & (size > 0))
+    row = sound.groupBy(size.alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return row["size"] if row else 0
 
 
 def usable(df: DataFrame, dimension: int) -> DataFrame:

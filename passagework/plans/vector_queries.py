@@ -71,10 +71,10 @@ def vector_validity(spark, folder):
     )
 
 
-def _sql_topk(k: int) -> str:
+def _sql_topk(k: int, sound: str = "true") -> str:
     return f"""SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(s, 6) AS score,
       row_number() OVER (PARTITION BY a.vec_id ORDER BY round(s, 9) DESC, b.vec_id) AS rank
-      FROM embeddings a, embeddings b, LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s)) WHERE rank <= {k}"""
+      FROM embeddings a, (SELECT * FROM embeddings WHERE {sound}) b, LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s)) WHERE rank <= {k}"""
 
 
 def _rounded(df):
@@ -92,6 +92,27 @@ def exact_search_grid(spark, folder):
     return _rounded(B.exact_topk(as_queries(spark, folder), vectors(spark, folder), 5, broadcast_limit=0))
 
 
+SPOILED = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN slice(embedding, 1, 9) WHEN id % 13 = 0 THEN transform(embedding, (x, i) -> IF(i = 3, double('NaN'), x)) ELSE embedding END"
+
+
+def _spoiled(spark, folder):
+    """Vectors of which some are null, too short or hold NaN."""
+    return vectors(spark, folder).select("id", F.expr(SPOILED).alias("embedding"))
+
+
+_SQL_SOUND = _sql_topk(5, "vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0")
+
+
+@query("exact_search_spoiled", _SQL_SOUND)
+def exact_search_spoiled(spark, folder):
+    return _rounded(B.exact_topk(as_queries(spark, folder), _spoiled(spark, folder), 5))
+
+
+@query("exact_search_grid_spoiled", _SQL_SOUND)
+def exact_search_grid_spoiled(spark, folder):
+    return _rounded(B.exact_topk(as_queries(spark, folder), _spoiled(spark, folder), 5, broadcast_limit=0))
+
+
 @query(
     "find_most_similar",
     """WITH q AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (

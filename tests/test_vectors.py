@@ -170,3 +170,18 @@ def test_blank_text_is_the_zero_vector(spark):
     got = E.embed(df, E.fit_idf(df)).collect()
     assert set(got[0].embedding) == {0.0}
     assert np.linalg.norm(got[1].embedding) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_searches_leave_out_unusable_vectors(spark, limit):
+    good = [(k, [float(k % 5), 1.0, float(k)]) for k in range(6)]
+    bad = [(10, None), (11, [1.0, 2.0]), (12, [float("nan"), 0.0, 1.0]), (13, [1.0, None, 2.0]), (14, [float("inf"), 0.0, 0.0])]
+    vectors = spark.createDataFrame(bad + good, "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, None), (3, [1.0])], "query_id long, embedding array<double>")
+    got = B.exact_topk(queries, vectors, 6, limit).collect()
+    assert sorted(r.id for r in got) == list(range(6)) and {r.query_id for r in got} == {1}
+    patches = vectors.selectExpr("id as doc_id", "0 as page", "0 as patch_index", "embedding")
+    short = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<double>")  # cut to the smaller dimension
+    assert sorted(r.doc_id for r in B.visual_topk(short, patches, 9, limit).collect()) == list(range(6))
+    asked = spark.createDataFrame([(1, d) for d in (*range(6), 10, 12)], "query_id long, doc_id long")
+    assert sorted(r.doc_id for r in B.maxsim_pages(asked, short, patches).collect()) == list(range(6))
