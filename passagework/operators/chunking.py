@@ -28,6 +28,12 @@ def _piece(content: Column, start: Column, end: Column, method: str | Column) ->
     )
 
 
+def sums_before(lengths: Column) -> Column:
+    """At each place the sum of all numbers before it; one fold whose state is numbers only."""
+    start = F.array(F.lit(0))
+    return F.aggregate(lengths, start, lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+
 def fixed(text: Column, size: int, overlap: int) -> Column:
     """Word windows of ``size`` that advance by ``size - overlap``."""
     step = size - overlap
@@ -35,16 +41,15 @@ def fixed(text: Column, size: int, overlap: int) -> Column:
     def windows(w):
         last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / F.lit(step)).cast("int"))
         starts = F.sequence(F.lit(0), last)
-        # Length of each step of words; the running sum gives the character offsets.
-        widths = F.transform(starts, lambda k: F.length(F.array_join(F.slice(w, k * step + 1, step), " ")))
+        # Length of each step of words and the space before the next; the running sum gives the character offsets.
+        widths = F.transform(starts, lambda k: F.length(F.array_join(F.slice(w, k * step + 1, step), " ")) + 1)
 
-        def window(k, widths):
-            offset = F.aggregate(F.slice(widths, 1, k), F.lit(0), lambda a, x: a + x + 1)
-            start = F.greatest(offset - 1, F.lit(0))
+        def window(k, offsets):
+            start = F.greatest(F.get(offsets, k) - 1, F.lit(0))
             body = F.array_join(F.slice(w, k * step + 1, size), " ")
             return _piece(body, start, start + F.length(body), "fixed_tokens")
 
-        return let(widths, lambda ws: F.transform(starts, lambda k: window(k, ws)))
+        return let(sums_before(widths), lambda o: F.transform(starts, lambda k: window(k, o)))
 
     return let(words(text), lambda w: F.when(F.size(w) == 0, F.array().cast(CHUNKS)).otherwise(windows(w)))
 
@@ -186,11 +191,10 @@ def structured(text: Column, size: int, overlap: int) -> Column:
     )
 
     def entries(es):
-        def entry(e, i):
-            start = F.aggregate(F.slice(es, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-            return _piece(e, start, start + F.length(e), "structured_data_entry")
+        def placed(starts):
+            return F.transform(es, lambda e, i: _piece(e, F.get(starts, i), F.get(starts, i) + F.length(e), "structured_data_entry"))
 
-        return F.transform(es, entry)
+        return let(sums_before(F.transform(es, F.length)), placed)
 
     return let(
         found,
