@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from passagework.functions.text import let, word_count, words
 from passagework.functions.vectors import l2_normalize
@@ -77,26 +77,29 @@ def embed_with(
 ) -> DataFrame:
     """Adds ``embedding`` from any embedder that maps a list of texts to vectors, ``batch`` texts per call.
 
-    Blank texts, and texts of a batch that fails, get the zero vector.
+    Blank texts, and texts of a batch that fails, get the zero vector; ``embedding_error`` tells why a batch
+    failed and is null otherwise, so failed rows can be kept out of an index.
     """
-    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+    added = [StructField("embedding", ArrayType(DoubleType())), StructField("embedding_error", StringType())]
+    schema = StructType([*df.schema.fields, *added])
     zero = [0.0] * dimension
 
-    def vectors(texts: list[str]) -> list[list[float]]:
+    def vectors(texts: list[str]) -> tuple[list[list[float]], str | None]:
         try:
-            return [[float(x) for x in v] for v in fn(texts)]
-        except Exception:
-            return [zero] * len(texts)
+            return [[float(x) for x in v] for v in fn(texts)], None
+        except Exception as failed:  # the embedder is the caller's; what it raises is reported in the row
+            return [zero] * len(texts), f"{type(failed).__name__}: {failed}"
 
     def run(frames):
         for frame in frames:
-            out = [zero] * len(frame)
+            out, errors = [zero] * len(frame), [None] * len(frame)
             filled = [i for i, t in enumerate(frame[text]) if t and t.strip()]
             for at in range(0, len(filled), batch):
                 part = filled[at : at + batch]
-                for i, v in zip(part, vectors([frame[text].iloc[i] for i in part])):
-                    out[i] = v
-            yield frame.assign(embedding=out)
+                found, error = vectors([frame[text].iloc[i] for i in part])
+                for i, v in zip(part, found):
+                    out[i], errors[i] = v, error
+            yield frame.assign(embedding=out, embedding_error=errors)
 
     return df.mapInPandas(run, schema)
 

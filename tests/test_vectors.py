@@ -161,8 +161,9 @@ def test_own_embedder_runs_in_batches(spark):
             raise ValueError
         return [[len(t), len(texts)] for t in texts]
 
-    got = [r.embedding for r in E.embed_with(df, lengths, 2, batch=2).orderBy("i").collect()]
-    assert got == [[1, 2], [2, 2], [0, 0], [0, 0], [0, 0]]
+    rows = E.embed_with(df, lengths, 2, batch=2).orderBy("i").collect()
+    assert [r.embedding for r in rows] == [[1, 2], [2, 2], [0, 0], [0, 0], [0, 0]]
+    assert [r.embedding_error for r in rows] == [None, None, None, "ValueError: ", "ValueError: "]
 
 
 def test_blank_text_is_the_zero_vector(spark):
