@@ -28,10 +28,30 @@ def _piece(content: Column, start: Column, end: Column, method: str | Column) ->
     )
 
 
+#: Numbers that one inner fold of a running sum takes; a fold copies its state at every step.
+SUM_BLOCK = 256
+
+
 def sums_before(lengths: Column) -> Column:
-    """At each place the sum of all numbers before it; one fold whose state is numbers only."""
-    start = F.array(F.lit(0))
-    return F.aggregate(lengths, start, lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+    """At each place the sum of all numbers before it: sums inside blocks, shifted by the sums of whole blocks."""
+
+    def running(xs):
+        return F.aggregate(xs, F.array(F.lit(0)), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+    def blocks(xs):
+        last = F.greatest(F.lit(0), F.ceil(F.size(xs) / SUM_BLOCK).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda b: running(F.slice(xs, b * SUM_BLOCK + 1, SUM_BLOCK)))
+
+    def shifted(bs):
+        totals = running(F.transform(bs, lambda x: F.element_at(x, -1)))
+        return let(
+            totals,
+            lambda before: F.flatten(
+                F.transform(bs, lambda x, b: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + F.get(before, b)))
+            ),
+        )
+
+    return let(let(lengths, blocks), shifted)
 
 
 def fixed(text: Column, size: int, overlap: int) -> Column:
@@ -60,13 +80,16 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def _overlap_tail(text: Column, limit: int) -> Column:
-    """The longest run of closing sentences with at most ``limit`` words in all."""
-    pieces = F.reverse(F.split(text, r"(?<=[.!?])(?U:\s+)"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(False).alias("full"))
+def _places(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
 
-    def take(state, piece):
-        n = state["n"] + word_count(piece)
+def _closing_pieces(counts: Column, limit: int) -> Column:
+    """How many of the last pieces have at most ``limit`` words in all."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(False).alias("full"))
+
+    def take(state, count):
+        n = state["n"] + count
         stop = state["full"] | (n > limit)
         return F.struct(
             F.when(stop, state["n"]).otherwise(n).alias("n"),
@@ -74,39 +97,71 @@ def _overlap_tail(text: Column, limit: int) -> Column:
             stop.alias("full"),
         )
 
-    def tail(p):
-        kept = F.aggregate(p, start, take)["kept"]
-        return strip(F.array_join(F.reverse(F.slice(p, 1, kept)), " "))
+    return F.aggregate(F.reverse(counts), zero, take, lambda s: F.struct(s["n"].alias("n"), s["kept"].alias("kept")))
 
-    return let(pieces, tail)
 
+def _sentence_marks(x: Column, size: int, overlap: int) -> Column:
+    """For each chunk its first sentence, the first piece of that sentence, and the first piece of the overlap before it.
 
-def _packed_sentences(text: Column, size: int, overlap: int) -> Column:
-    """Greedy packing of whole sentences; contents only."""
-    zero = F.struct(empty_strings().alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def step(state, sentence):
-        count = word_count(sentence)
-        flush = (state["n"] + count > size) & (state["open"] != "")
-        carried = let(
-            _overlap_tail(state["open"], overlap),
-            lambda t: F.when(t == "", sentence).otherwise(F.concat(t, F.lit(" "), sentence)),
+    A fold copies its state at each step, so the state has numbers only: places, never texts.
+    """
+    ints = F.array().cast("array<int>")
+    zero = F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("tail"), ints.alias("starts"), ints.alias("pieces"), ints.alias("tails")
+    )
+
+    def step(state, i):
+        count = F.get(x["counts"], i)
+        flush = (i > 0) & (state["n"] + count > size)
+        begins = flush | (i == 0)
+        last = _closing_pieces(F.slice(x["lengths"], state["tail"] + 1, state["at"] - state["tail"]), overlap)
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"))
+        return let(
+            F.when(flush, last).otherwise(none),
+            lambda kept: let(
+                F.when(begins, state["at"] - kept["kept"]).otherwise(state["tail"]),
+                lambda tail: F.struct(
+                    (F.when(flush, kept["n"]).otherwise(state["n"]) + count).alias("n"),
+                    (state["at"] + F.get(x["widths"], i)).alias("at"),
+                    tail.alias("tail"),
+                    F.when(begins, F.array_append(state["starts"], i)).otherwise(state["starts"]).alias("starts"),
+                    F.when(begins, F.array_append(state["pieces"], state["at"])).otherwise(state["pieces"]).alias("pieces"),
+                    F.when(begins, F.array_append(state["tails"], tail)).otherwise(state["tails"]).alias("tails"),
+                ),
+            ),
         )
-        grown = F.when(state["open"] == "", sentence).otherwise(F.concat(state["open"], F.lit(" "), sentence))
+
+    return F.aggregate(_places(F.size(x["counts"])), zero, step)
+
+
+def _packed_sentences(text: Column, size: int, overlap: int) -> Column:
+    """Greedy packing of whole sentences; contents only. A chunk opens with the closing pieces of the one before it."""
+
+    def measured(s):
+        pieces = F.transform(s, lambda t: F.split(t, r"(?<=[.!?])(?U:\s+)"))
         return let(
-            F.when(flush, carried).otherwise(grown),
-            lambda now: F.struct(
-                F.when(flush, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
-                now.alias("open"),
-                F.when(flush, word_count(now)).otherwise(state["n"] + count).alias("n"),
+            pieces,
+            lambda ps: let(
+                F.flatten(ps),
+                lambda flat: F.struct(
+                    s.alias("sentences"), flat.alias("pieces"), F.transform(s, word_count).alias("counts"),
+                    F.transform(ps, F.size).alias("widths"), F.transform(flat, word_count).alias("lengths"),
+                ),
             ),
         )
 
-    return F.aggregate(
+    def contents(x, m):
+        def content(start, k):
+            end = F.coalesce(F.get(m["starts"], k + 1), F.size(x["sentences"]))
+            body = F.array_join(F.slice(x["sentences"], start + 1, end - start), " ")
+            tail = F.slice(x["pieces"], F.get(m["tails"], k) + 1, F.get(m["pieces"], k) - F.get(m["tails"], k))
+            return let(strip(F.array_join(tail, " ")), lambda t: F.when(t == "", body).otherwise(F.concat(t, F.lit(" "), body)))
+
+        return F.transform(m["starts"], content)
+
+    return let(
         split_sentences(text),
-        zero,
-        step,
-        lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])),
+        lambda s: let(measured(s), lambda x: let(_sentence_marks(x, size, overlap), lambda m: contents(x, m))),
     )
 
 
@@ -118,33 +173,40 @@ def sentences(text: Column, size: int, overlap: int, method: str = "sentences")
 
 
 def paragraphs(text: Column, size: int, overlap: int) -> Column:
-    """Packs paragraphs without overlap; an oversized one is split by sentences."""
+    """Packs paragraphs without overlap; an oversized one is split by sentences.
+
+    The fold finds where chunks start; its state has numbers only. Texts are joined once, afterwards.
+    """
     parts = F.filter(F.transform(F.split(text, r"\n(?U:\s*)\n"), strip), lambda p: p != "")
-    zero = F.struct(F.array().cast(CHUNKS).alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
-
-    def closed(state):
-        whole = _piece(state["open"], F.lit(0), F.length(state["open"]), "paragraphs")
-        return F.when(state["open"] == "", state["done"]).otherwise(F.array_append(state["done"], whole))
-
-    def step(state, paragraph):
-        count = word_count(paragraph)
-        big = F.struct(
-            F.concat(closed(state), sentences(paragraph, size, overlap, "paragraphs_split")).alias("done"),
-            F.lit("").alias("open"),
-            F.lit(0).alias("n"),
-        )
-        flushed = F.struct(closed(state).alias("done"), paragraph.alias("open"), count.alias("n"))
-        joined = F.when(state["open"] == "", paragraph).otherwise(
-            F.concat(state["open"], F.lit("\n\n"), paragraph)
-        )
-        grown = F.struct(state["done"].alias("done"), joined.alias("open"), (state["n"] + count).alias("n"))
-        return (
-            F.when(count > size, big)
-            .when((state["n"] + count > size) & (state["open"] != ""), flushed)
-            .otherwise(grown)
-        )
+    zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("starts"))
+
+    def starts(counts):
+        def step(state, i):
+            count = F.get(counts, i)
+            big = count > size
+            begins = state["closed"] | big | (state["n"] + count > size)
+            return F.struct(
+                F.when(begins, count).otherwise(state["n"] + count).alias("n"),
+                big.alias("closed"),
+                F.when(begins, F.array_append(state["starts"], i)).otherwise(state["starts"]).alias("starts"),
+            )
+
+        return F.aggregate(_places(F.size(counts)), zero, step, lambda s: s["starts"])
+
+    def pieces(p, counts, at):
+        def piece(start, k):
+            end = F.coalesce(F.get(at, k + 1), F.size(p))
+            whole = F.array_join(F.slice(p, start + 1, end - start), "\n\n")
+            return F.when(F.get(counts, start) > size, sentences(F.get(p, start), size, overlap, "paragraphs_split")).otherwise(
+                let(whole, lambda w: F.array(_piece(w, F.lit(0), F.length(w), "paragraphs")))
+            )
+
+        return F.flatten(F.transform(at, piece))
 
-    return F.aggregate(parts, zero, step, closed)
+    return let(
+        parts,
+        lambda p: let(F.transform(p, word_count), lambda counts: let(starts(counts), lambda at: pieces(p, counts, at))),
+    )
 
 
 def is_heading(line: Column) -> Column:
