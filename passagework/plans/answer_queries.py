@@ -89,12 +89,14 @@ def select_best(spark, folder):
 
 @query(
     "rejected_sources",
-    f"""WITH {SQL_RANKED} SELECT r.query_id, r.source_type, r.rank, starts_with('Lower combined score', 'Lower') AS explained
-    FROM r WHERE rank > 1""",
+    f"""WITH {SQL_RANKED} SELECT r.query_id, r.source_type, r.rank,
+      'Lower combined score (N vs N)' AS reason, round(r.combined_score, 6) AS combined_score, round(b.combined_score, 6) AS best_score FROM r JOIN r b USING (query_id) WHERE r.rank > 1 AND b.rank = 1""",
 )
 def rejected_sources(spark, folder):
     ranked = R.rank_candidates(candidates(spark, folder)).filter(F.col("rank") > 1)
-    return ranked.select("query_id", "source_type", "rank", F.startswith("reason", F.lit("Lower combined score")).alias("explained"))
+    scores = [F.round(c, 6).alias(c) for c in ("combined_score", "best_score")]
+    # Java and C round ties of three digits differently, so the numbers are compared as numbers.
+    return ranked.select("query_id", "source_type", "rank", F.regexp_replace("reason", r"\d\.\d{3}\b", "N").alias("reason"), *scores)
 
 
 @query(

@@ -29,19 +29,20 @@ def as_queries(spark, folder):
     return embeddings(spark, folder).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _whole(vector, scale=1e5):
+    """Every value of a vector as a whole number, so that all of them are compared."""
+    return F.transform(vector, lambda x: F.round(x.cast("double") * scale).cast("int"))
+
+
 @query(
     "l2_normalize",
-    f"""SELECT vec_id, round(list_sum({SQL_UNIT}), 6) AS total, round(({SQL_UNIT})[7], 6) AS seventh
+    f"""SELECT vec_id, list_transform({SQL_UNIT}, lambda x: CAST(round(x * 1e5) AS INT)) AS unit
     FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS v FROM embeddings)""",
 )
 def l2_normalize(spark, folder):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5))
     unit = embeddings(spark, folder).select("vec_id", V.l2_normalize(scaled).alias("u"))
-    return unit.select(
-        "vec_id",
-        F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-        F.round(F.get("u", F.lit(6)), 6).alias("seventh"),
-    )
+    return unit.select("vec_id", _whole("u").alias("unit"))
 
 
 @query(
@@ -244,28 +245,25 @@ def append_vectors(spark, folder):
 
 @query(
     "vector_table_roundtrip",
-    "SELECT label, count(*) AS n, min(vec_id) AS first, round(sum(embedding[1]::DOUBLE), 6) AS total FROM embeddings GROUP BY label",
+    "SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1e5) AS INT)) AS vector FROM embeddings",
 )
 def vector_table_roundtrip(spark, folder):
     path = scratch_path(spark, "vectors")
-    stored = vectors(spark, folder).join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cell")), "id")
+    stored = embeddings(spark, folder).select(F.col("vec_id").alias("id"), F.col("label").alias("cell"), "embedding")
     ST.write_vectors(stored, path, by_cell=True)
-    back = ST.read_vectors(spark, path)
-    return back.groupBy(F.col("cell").alias("label")).agg(
-        F.count("*").alias("n"), F.min("id").alias("first"),
-        F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 6).alias("total"),
-    )
+    return ST.read_vectors(spark, path).select("id", F.col("cell").alias("label"), _whole("embedding").alias("vector"))
 
 
 @query(
     "vector_by_id",
-    "SELECT o_orderkey, vec_id AS id, label, round(embedding[1]::DOUBLE, 4) AS head FROM orders JOIN embeddings ON vec_id = o_custkey",
+    f"""SELECT o_orderkey, vec_id AS id, label, list_transform({SQL_UNIT}, lambda x: CAST(round(x * 1e5) AS INT)) AS unit
+    FROM orders JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) ON vec_id = o_custkey""",
 )
 def vector_by_id(spark, folder):
     """Look-ups for a table of requests: an equi-join on the id."""
     asked = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
     store = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label", V.l2_normalize(F.col("embedding")).alias("e"))
-    return asked.join(store, "id").select("o_orderkey", "id", "label", F.round(F.get("e", F.lit(0)), 4).alias("head"))
+    return asked.join(store, "id").select("o_orderkey", "id", "label", _whole("e").alias("unit"))
 
 
 @query(
@@ -347,11 +345,19 @@ def _cached(spark, folder):
 
 @query(
     "embedding_cache",
-    f"WITH {SQL_CACHE} SELECT doc_id, a.key, k.key IS NOT NULL AS was_cached FROM all_rows a LEFT JOIN known k USING (key)",
+    f"""WITH {SQL_CACHE}, d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+    tok AS (SELECT id, {SQL_BUCKET.format('w')} AS b, count(*) AS n FROM (SELECT id, unnest({S.words('lower(text)')}) AS w FROM d) GROUP BY ALL),
+    weights AS (SELECT b, ln(((SELECT count(*) FROM d) + 1) / (count(*) + 1)) AS idf FROM tok GROUP BY b),
+    {sql_tfidf('d', 'weights', 'd')},
+    sums AS (SELECT id, sum(x) AS total, sum(x * b) AS weighted FROM d_v GROUP BY id)
+    SELECT doc_id, a.key, k.key IS NOT NULL AS was_cached, round(coalesce(total, 0), 5) AS total, round(coalesce(weighted, 0), 4) AS weighted
+    FROM all_rows a LEFT JOIN known k USING (key) LEFT JOIN sums ON id = doc_id""",
 )
 def embedding_cache(spark, folder):
     rows, _ = _cached(spark, folder)
-    return rows.select("doc_id", "key", "was_cached")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("embedding", lambda x, b: x * b), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", "key", "was_cached", F.round(total, 5).alias("total"), F.round(weighted, 4).alias("weighted"))
 
 
 @query(
