@@ -3,9 +3,10 @@
 Queries: query_id, query. Articles: article_id, title, body, modified (published only).
 
 Titles are matched by substring, as LIKE does. No query meets every article:
-words meet distinct title tokens over their rarest three characters, and each
-token or term keeps only its newest articles, which is enough because the newest
-n of a union lie in the union of the newest n of its parts.
+words meet distinct title tokens over their rarest three characters. With
+``newest`` set, each token or term keeps only so many articles, which is enough
+because the newest n of a union lie in the union of the newest n of its parts;
+without it every match is scored. Equal questions are searched once.
 """
 
 from __future__ import annotations
@@ -25,12 +26,29 @@ from passagework.session import written
 QUERY = "query_id"
 
 
-def newest_per(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The n newest articles per key; partitions drop the rest before the exchange."""
+def newest_per(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+    """The n newest articles per key, all without n; partitions drop the rest before the exchange."""
+    if n is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(F.desc("modified"), "article_id")
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
+def once_each(asked: DataFrame, what: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row for each distinct ``what``, (query_id, ask) telling which row stands for which query).
+
+    The least query id of equal questions stands for them. Partial minima, so a very frequent question is no hot group.
+    """
+    asks = written(asked.groupBy(*what).agg(F.min(QUERY).alias("ask")), "asks")
+    same = reduce(lambda a, b: a & b, (asked[c].eqNullSafe(asks[c]) for c in what))
+    return asks.withColumnRenamed("ask", QUERY), written(asked.join(asks, same).select(QUERY, "ask"), "asked")
+
+
+def for_all(found: DataFrame, stands: DataFrame) -> DataFrame:
+    """Results of the questions, repeated for every query that asks them."""
+    return stands.join(found.withColumnRenamed(QUERY, "ask"), "ask").drop("ask")
+
+
 def _grams(text: Column, n: Column | int) -> Column:
     """Distinct character n-grams."""
     n = F.lit(n) if isinstance(n, int) else n
@@ -68,10 +86,11 @@ def _title_tokens(articles: DataFrame) -> DataFrame:
     )
 
 
-def title_candidates(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
-    """Per query the ``limit`` newest articles whose title contains one of its long words.
+def title_candidates(queries: DataFrame, articles: DataFrame, limit: int | None) -> DataFrame:
+    """Per query the ``limit`` newest articles whose title contains one of its long words; all without a limit.
 
-    A query without long words is looked up as a whole phrase.
+    A query without long words is looked up as a whole phrase. A word or phrase of question marks only matches
+    every title, so it needs a limit; without one it matches none.
     """
     def plain(c):
         return F.regexp_replace(c, "[?!]", "")
@@ -112,7 +131,8 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int) -> Dat
     )
     phrase_hits = spoken.join(per_phrase, "phrase").select(QUERY, "article_id", "modified")
 
-    # A word or phrase of question marks only matches every title.
+    if limit is None:
+        return word_hits.unionByName(phrase_hits).distinct()
     everything = by_word.filter(F.col("part") == "").select(QUERY).union(
         phrases.filter(F.col("part").isNull()).select(QUERY)
     )
@@ -139,25 +159,60 @@ def _ranked(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def keyword_search(queries: DataFrame, articles: DataFrame, limit: int = 5, fallback_all: bool = False) -> DataFrame:
-    """Title search, then content search for queries without a hit.
+def content_hits(missed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(query_id, article_id, content_matches) over all bodies, for queries with their text ``q`` and long words ``w``.
 
-    The limit applies by recency before the relevance is computed. With
-    ``fallback_all`` queries without any hit get the newest articles at 0.2.
+    Distinct words meet distinct tokens of the bodies; a body is read again only where it has all words of a
+    query and may hold the whole phrase. ``bodies``: article_id, b.
     """
+    tokens = written(bodies.select("article_id", F.explode(F.array_distinct(words("b"))).alias("token")), "body-words")
+    by_word = missed.select(QUERY, F.explode("w").alias("part")).groupBy(QUERY, "part").agg(F.count("*").alias("times"))
+    longest = F.array_max(F.transform(words(F.col("q")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    spoken = missed.filter(F.size("w") == 0).select(QUERY, longest.alias("part"), F.lit(0).cast("long").alias("times"))
+    parts = written(by_word.unionByName(spoken.filter(F.col("part").isNotNull())), "words")
+    pairs = contained_in_tokens(parts.select("part").distinct(), tokens.select("token").distinct())
+    holding = pairs.join(tokens, "token").select("part", "article_id").distinct()
+    counted = written(parts.join(holding, "part").groupBy(QUERY, "article_id").agg(F.sum("times").alias("n")), "word-hits")
+    whole = (
+        counted.join(missed.select(QUERY, "q", F.size("w").alias("all")), QUERY)
+        .filter(F.col("n") == F.col("all"))
+        .join(bodies, "article_id")
+        .filter(F.contains("b", "q"))
+        .select(QUERY, "article_id", F.lit(2).alias("phrase"))
+    )
+    matches = F.col("n") + F.coalesce("phrase", F.lit(0))
+    return counted.join(whole, [QUERY, "article_id"], "left").select(QUERY, "article_id", matches.cast("int").alias("content_matches"))
+
+
+def keyword_search(
+    queries: DataFrame, articles: DataFrame, limit: int = 5, fallback_all: bool = False, newest: int | None = None
+) -> DataFrame:
+    """Title search, then content search for queries without a hit; the ``limit`` most relevant are returned.
+
+    Every title hit, or every body for the content search, is scored. With ``newest`` only so many of the newest
+    title hits are, and thrice as many of the newest articles in the content search. With ``fallback_all`` queries
+    without any hit get the newest articles at 0.2. Null and blank queries get no results but those.
+    """
+    asks, stands = once_each(queries, ["query"])
+    return for_all(_keyword_search(asks, articles, limit, fallback_all, newest), stands)
+
+
+def _keyword_search(queries: DataFrame, articles: DataFrame, limit: int, fallback_all: bool, newest: int | None) -> DataFrame:
     low = F.lower("query")
     asked = queries.select(QUERY, "query", low.alias("q"), long_words(F.col("query")).alias("w"))
     words_n = F.greatest(F.lit(1), F.size("w"))
     body = F.lower(strip_html(F.col("body"), unescape=False))
 
-    # Small and used three times below: ids only, at most limit rows per query.
-    found = written(title_candidates(queries, articles, limit), "title-hits")
+    # Used three times below: ids only.
+    found = written(title_candidates(queries, articles, newest), "title-hits")
     title = F.lower(F.regexp_replace("title", "<[^>]+>", ""))
+    known = articles.select("article_id", "modified", "title", title.alias("t"), body.alias("b"))
+    if newest is None:  # an article may be hit by very many questions, so it is prepared before it meets them
+        known = written(known, "articles")
     scored = (
         found.select(QUERY, "article_id")
-        .join(articles, "article_id")
+        .join(known, "article_id")
         .join(asked, QUERY)
-        .select(QUERY, "article_id", "modified", "title", title.alias("t"), body.alias("b"), "q", "w")
         .select(
             QUERY, "article_id", "modified", "title", words_n.alias("n"),
             (count_contained(F.col("t"), F.col("w")) + F.when(F.contains("t", "q"), 2).otherwise(0)).alias("title_matches"),
@@ -172,24 +227,24 @@ def keyword_search(queries: DataFrame, articles: DataFrame, limit: int = 5, fall
     )
 
     missed = asked.join(found.select(QUERY).distinct(), QUERY, "left_anti")
-    recent = with_each_of_newest(missed, articles, 3 * limit, b=body)
-    matches = count_contained(F.col("b"), F.col("w")) + F.when(F.contains("b", "q"), 2).otherwise(0)
-    by_content = (
-        computed_once(recent, "content_matches", matches)
-        .select(QUERY, "article_id", "modified", "title", words_n.alias("n"), "content_matches")
-        .filter(F.col("content_matches") > 0)
-        .select(
-            QUERY, "article_id", "modified", "title",
-            F.least(F.lit(1.0), F.col("content_matches") * 0.4 / F.col("n")).alias("relevance_score"),
-            F.lit(0).alias("title_matches"), "content_matches", F.lit("content_search").alias("search_method"),
-        )
+    if newest is None:
+        hits = content_hits(missed, known.select("article_id", "b")).join(missed.select(QUERY, words_n.alias("n")), QUERY)
+        matched = hits.join(known.select("article_id", "modified", "title"), "article_id")
+    else:
+        recent = with_each_of_newest(missed, articles, 3 * newest, b=body)
+        matches = count_contained(F.col("b"), F.col("w")) + F.when(F.contains("b", "q"), 2).otherwise(0)
+        matched = computed_once(recent, "content_matches", matches).withColumn("n", words_n)
+    by_content = matched.filter(F.col("content_matches") > 0).select(
+        QUERY, "article_id", "modified", "title",
+        F.least(F.lit(1.0), F.col("content_matches") * 0.4 / F.col("n")).alias("relevance_score"),
+        F.lit(0).alias("title_matches"), "content_matches", F.lit("content_search").alias("search_method"),
     )
     results = by_title.unionByName(by_content)
     if fallback_all:
         left = missed.select(QUERY).join(by_content.select(QUERY).distinct(), QUERY, "left_anti")
-        newest = with_each_of_newest(left, articles.select("article_id", "modified", "title"), limit)
+        last = with_each_of_newest(left, articles.select("article_id", "modified", "title"), limit)
         results = results.unionByName(
-            newest.select(
+            last.select(
                 QUERY, "article_id", "modified", "title", F.lit(0.2).alias("relevance_score"),
                 F.lit(0).alias("title_matches"), F.lit(0).alias("content_matches"),
                 F.lit("fallback_all").alias("search_method"),
@@ -243,10 +298,10 @@ def _matched(low: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
 
 
-def intent_candidates(asked: DataFrame, articles: DataFrame, limit: int, with_service: bool) -> DataFrame:
-    """Newest articles per query with an action term (and a service term) in the title.
+def intent_candidates(asked: DataFrame, articles: DataFrame, limit: int | None, with_service: bool) -> DataFrame:
+    """Articles with an action term (and a service term) of the query in the title, the newest ``limit`` if set.
 
-    The terms are a fixed list, so the scan keeps at most terms x services x limit rows.
+    The terms are a fixed list, so with a limit the scan keeps at most terms x services x limit rows.
     """
     hits = articles.select("article_id", "modified", F.lower("title").alias("t")).select(
         "article_id", "modified", "t", F.explode(_matched(F.col("t"), _all_search_terms())).alias("term")
@@ -357,27 +412,44 @@ def _shown(scored: DataFrame, method: str) -> DataFrame:
     )
 
 
-def intent_search(queries: DataFrame, articles: DataFrame, limit: int = 5) -> DataFrame:
-    """Staged search for queries with a valid intent; later stages see only unmatched queries."""
-    # One row per query; written so that the intent is not worked out again at each use.
-    asked = written(with_intent(queries), "intents").filter(F.col("intent.is_valid")).withColumn(
-        "terms", search_terms(F.col("query"), F.col("intent.action"))
+def _scenario_hint(query: Column) -> Column:
+    """Which scenario words the query has, as far as the relevance looks at them."""
+    low = F.lower(query)
+    return F.coalesce(*[F.when(contains_any(low, hints), i) for i, (hints, _) in enumerate(K.RELEVANCE_SCENARIOS)], F.lit(-1))
+
+
+def intent_search(queries: DataFrame, articles: DataFrame, limit: int = 5, newest: int | None = None) -> DataFrame:
+    """Staged search for queries with a valid intent; later stages see only unmatched queries.
+
+    The relevance depends on the query's intent, terms and scenario only, so the search runs once for each
+    distinct set of them: a number bounded by the fixed word lists, whatever the number of queries. Every title
+    hit is scored and the ``limit`` best are returned; with ``newest`` only so many of the newest hits are scored.
+    """
+    asked = with_intent(queries).filter(F.col("intent.is_valid")).withColumns(
+        {"terms": search_terms(F.col("query"), F.col("intent.action")), "hint": _scenario_hint(F.col("query"))}
     )
+    asked = written(asked, "intents")
+    asks, stands = once_each(asked, ["intent", "terms", "hint"])
+    asks = asks.join(asked.select(QUERY, "query"), QUERY)
+    return for_all(_intent_search(asks, articles, limit, newest), stands)
+
+
+def _intent_search(asked: DataFrame, articles: DataFrame, limit: int, newest: int | None) -> DataFrame:
+    best = (F.desc("relevance_score"), F.desc("context_matches"), F.desc("scenario_detected"))
     first = written(
-        _shown(_scored(intent_candidates(asked, articles, limit, True), asked, articles), "action_and_service"), "stage-one"
+        _ranked(_shown(_scored(intent_candidates(asked, articles, newest, True), asked, articles), "action_and_service"), *best)
+        .filter(F.col("rank") <= limit).drop("rank"),
+        "stage-one",
     )
-
     open_queries = asked.join(first.select(QUERY).distinct(), QUERY, "left_anti")
-    wide = intent_candidates(open_queries, articles, 2 * limit, False)
+    wide = intent_candidates(open_queries, articles, 2 * newest if newest else None, False)
     looked_up = _scored(wide, open_queries, articles)
     serving = looked_up.filter(
         _label_says(F.col("intent.service"), F.col("t"), K.SEARCH_SERVICES)
         | _label_says(F.col("intent.service"), F.col("b"), K.SEARCH_SERVICES)
     )
-    second = _shown(newest_per(serving, [QUERY], limit), "action_then_service")
-    return _ranked(
-        first.unionByName(second), F.desc("relevance_score"), F.desc("context_matches"), F.desc("scenario_detected")
-    )
+    second = _shown(newest_per(serving, [QUERY], newest), "action_then_service")
+    return _ranked(first.unionByName(second), *best).filter(F.col("rank") <= limit)
 
 
 def compare_searches(queries: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

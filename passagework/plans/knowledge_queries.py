@@ -98,32 +98,41 @@ def chart_flags(spark, folder):
 
 # ---------------------------------------------------------------- keyword search
 
-SQL_TITLE_CANDIDATES = f"""q AS (SELECT *, {S.long_words('query')} AS w, lower(query) AS low FROM {S.SQL_QUERIES}),
+NEWEST = 5
+
+
+def sql_keyword(newest: int | None, limit: int = 5) -> str:
+    """All title hits and bodies are scored, or the ``newest`` title hits and thrice as many newest bodies."""
+    likes = "likes" if newest else "list_filter(likes, lambda x: x <> '')"
+    recent = f"ORDER BY modified DESC, article_id LIMIT {3 * newest}" if newest else ""
+    return f"""q AS (SELECT *, {S.long_words('query')} AS w, lower(query) AS low FROM {S.SQL_QUERIES}),
   l AS (SELECT *, CASE WHEN len(w) > 0 THEN list_transform(w, lambda x: regexp_replace(x, '[?!]', '', 'g'))
     ELSE [regexp_replace(low, '[?!]', '', 'g')] END AS likes FROM q),
   a AS (SELECT *, lower(title) AS t, lower({S.SQL_PLAIN_BODY}) AS b FROM {S.SQL_ARTICLES}),
   c AS (SELECT * FROM (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY modified DESC, article_id) AS n
-    FROM l, a WHERE len(list_filter(likes, lambda x: contains(t, x))) > 0) WHERE n <= 5)"""
-SQL_KEYWORD = f"""{SQL_TITLE_CANDIDATES},
+    FROM l, a WHERE len(list_filter({likes}, lambda x: contains(t, x))) > 0) {f'WHERE n <= {newest}' if newest else ''}),
   k1 AS (SELECT query_id, article_id, modified, title,
       len(list_filter(w, lambda x: contains(t, x))) + CASE WHEN contains(t, low) THEN 2 ELSE 0 END AS title_matches,
       len(list_filter(w, lambda x: contains(b, x))) + CASE WHEN contains(b, low) THEN 1 ELSE 0 END AS content_matches,
       greatest(len(w), 1) AS n FROM c JOIN q USING (query_id) JOIN a USING (article_id)),
-  newest AS (SELECT * FROM a ORDER BY modified DESC, article_id LIMIT 15),
+  recent AS (SELECT * FROM a {recent}),
   k2 AS (SELECT query_id, article_id, modified, title, 0 AS title_matches,
       len(list_filter(w, lambda x: contains(b, x))) + CASE WHEN contains(b, low) THEN 2 ELSE 0 END AS content_matches, greatest(len(w), 1) AS n
-      FROM q, newest WHERE query_id NOT IN (SELECT query_id FROM k1)),
-  scored AS (SELECT query_id, article_id, modified, greatest(0.3, least(1.0, (title_matches * 0.6 + content_matches * 0.4) / n)) AS relevance_score,
+      FROM q, recent WHERE query_id NOT IN (SELECT query_id FROM k1)),
+  scored AS (SELECT query_id, article_id, modified, greatest(0.3::DOUBLE, least(1.0::DOUBLE, (title_matches * 0.6::DOUBLE + content_matches * 0.4::DOUBLE) / n)) AS relevance_score,
       title_matches, content_matches, 'title_search' AS search_method FROM k1
-    UNION ALL SELECT query_id, article_id, modified, least(1.0, content_matches * 0.4 / n), 0, content_matches, 'content_search' FROM k2 WHERE content_matches > 0),
-  k3 AS (SELECT query_id, article_id, modified, 0.2, 0, 0, 'fallback_all' FROM q, (SELECT * FROM newest ORDER BY modified DESC, article_id LIMIT 5)
+    UNION ALL SELECT query_id, article_id, modified, least(1.0::DOUBLE, content_matches * 0.4::DOUBLE / n), 0, content_matches, 'content_search' FROM k2 WHERE content_matches > 0),
+  k3 AS (SELECT query_id, article_id, modified, 0.2, 0, 0, 'fallback_all' FROM q, (SELECT * FROM a ORDER BY modified DESC, article_id LIMIT {limit})
     WHERE query_id NOT IN (SELECT query_id FROM scored)),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, modified DESC, article_id) AS rank
     FROM (SELECT * FROM scored UNION ALL SELECT * FROM k3)),
-  keyword AS (SELECT * FROM ranked WHERE rank <= 5)"""
+  keyword AS (SELECT * FROM ranked WHERE rank <= {limit})"""
+
 
+SQL_KEYWORD = sql_keyword(NEWEST)
 
-@query("title_candidates", f"WITH {SQL_TITLE_CANDIDATES} SELECT query_id, article_id FROM c")
+
+@query("title_candidates", f"WITH {SQL_KEYWORD} SELECT query_id, article_id FROM c")
 def title_candidates(spark, folder):
     found = KB.title_candidates(user_queries(spark, folder), articles(spark, folder), 5)
     return found.select("query_id", "article_id")
@@ -134,14 +143,21 @@ SQL_KEYWORD_COLUMNS = "query_id, article_id, round(CAST(relevance_score AS DOUBL
 
 @query("keyword_search", f"WITH {SQL_KEYWORD} SELECT {SQL_KEYWORD_COLUMNS} FROM keyword WHERE search_method <> 'fallback_all'")
 def keyword_search(spark, folder):
+    r = KB.keyword_search(user_queries(spark, folder), articles(spark, folder), newest=NEWEST)
+    return r.drop("modified", "title").withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+@query("keyword_search_all", f"WITH {sql_keyword(None)} SELECT {SQL_KEYWORD_COLUMNS} FROM keyword WHERE search_method <> 'fallback_all'")
+def keyword_search_all(spark, folder):
+    """Every title hit and every body is scored before the best are taken."""
     r = KB.keyword_search(user_queries(spark, folder), articles(spark, folder))
     return r.drop("modified", "title").withColumn("relevance_score", F.round("relevance_score", 6))
 
 
 # Texts without title words: benchmark passages, for the content and the last stage.
-SQL_PASSAGE_KEYWORD = SQL_KEYWORD.replace(
-    S.SQL_QUERIES, "(SELECT item_id AS query_id, string_split(text, ' ')[3] AS query FROM benchmark)"
-)
+SQL_PASSAGES = "(SELECT item_id AS query_id, string_split(text, ' ')[3] AS query FROM benchmark)"
+SQL_PASSAGE_KEYWORD = SQL_KEYWORD.replace(S.SQL_QUERIES, SQL_PASSAGES)
+SQL_WHOLE_PASSAGE_KEYWORD = sql_keyword(None).replace(S.SQL_QUERIES, "(SELECT item_id AS query_id, text AS query FROM benchmark)")
 
 
 @query("content_fallback", f"WITH {SQL_PASSAGE_KEYWORD} SELECT {SQL_KEYWORD_COLUMNS} FROM keyword")
@@ -149,6 +165,14 @@ def content_fallback(spark, folder):
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.get(F.split("text", " "), F.lit(2)).alias("query")
     )
+    r = KB.keyword_search(asked, articles(spark, folder), fallback_all=True, newest=NEWEST)
+    return r.drop("modified", "title").withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+@query("passage_keywords", f"WITH {SQL_WHOLE_PASSAGE_KEYWORD} SELECT {SQL_KEYWORD_COLUMNS} FROM keyword")
+def passage_keywords(spark, folder):
+    """Whole benchmark passages as questions; all hits are scored."""
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     r = KB.keyword_search(asked, articles(spark, folder), fallback_all=True)
     return r.drop("modified", "title").withColumn("relevance_score", F.round("relevance_score", 6))
 
@@ -192,24 +216,26 @@ def _sql_scored(name: str, candidates: str) -> str:
 _SQL_ANY_OF = "len(list_filter({0}, lambda x: contains({1}, x))) > 0"
 
 
-def sql_intent_search(limit: int) -> str:
+def sql_intent_search(limit: int, newest: int | None = None) -> str:
+    """All title hits are scored and the ``limit`` best kept, or only the ``newest`` hits are scored."""
+    at_most = lambda n: f"WHERE n <= {n}" if newest else ""
     return f"""i AS (SELECT *, list_concat({_sql_terms(K.SEARCH_ACTIONS)}, {_SQL_SCENARIO_TERMS}) AS terms, {_SQL_SERVICE_TERMS} AS sterms
       FROM ({S.intent(S.SQL_QUERIES)}) WHERE is_valid),
     a AS (SELECT *, lower(title) AS t, lower(body) AS b FROM {S.SQL_ARTICLES}),
     c1 AS (SELECT * FROM (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY modified DESC, article_id) AS n
-      FROM i, a WHERE {_SQL_ANY_OF.format('terms', 't')} AND {_SQL_ANY_OF.format('sterms', 't')}) WHERE n <= {limit}),
+      FROM i, a WHERE {_SQL_ANY_OF.format('terms', 't')} AND {_SQL_ANY_OF.format('sterms', 't')}) {at_most(newest)}),
     {_sql_scored('action_and_service', 'c1')},
     c2 AS (SELECT * FROM (SELECT query_id, article_id, modified, (({_SQL_ANY_OF.format('sterms', 't')}) OR ({_SQL_ANY_OF.format('sterms', 'b')})) AS serves,
       row_number() OVER (PARTITION BY query_id ORDER BY modified DESC, article_id) AS n
-      FROM i, a WHERE query_id NOT IN (SELECT query_id FROM action_and_service) AND {_SQL_ANY_OF.format('terms', 't')}) WHERE n <= {2 * limit}),
+      FROM i, a WHERE query_id NOT IN (SELECT query_id FROM action_and_service) AND {_SQL_ANY_OF.format('terms', 't')}) {at_most(2 * (newest or 0))}),
     c3 AS (SELECT * FROM (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY modified DESC, article_id) AS n
-      FROM c2 WHERE serves) WHERE n <= {limit}),
+      FROM c2 WHERE serves) {at_most(newest)}),
     {_sql_scored('action_then_service', 'c3')},
-    intent_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, context_matches DESC, scenario_detected DESC, modified DESC, article_id) AS rank
-      FROM (SELECT * FROM action_and_service UNION ALL SELECT * FROM action_then_service))"""
+    intent_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, context_matches DESC, scenario_detected DESC, modified DESC, article_id) AS rank
+      FROM (SELECT * FROM action_and_service UNION ALL SELECT * FROM action_then_service)) WHERE rank <= {limit})"""
 
 
-SQL_INTENT = sql_intent_search(5)
+SQL_INTENT = sql_intent_search(5, NEWEST)
 
 
 @query("intent_candidates", f"WITH {SQL_INTENT} SELECT query_id, article_id FROM c1")
@@ -225,6 +251,17 @@ def intent_candidates(spark, folder):
       search_method, rank FROM intent_hits""",
 )
 def intent_search(spark, folder):
+    r = KB.intent_search(user_queries(spark, folder), articles(spark, folder), newest=NEWEST)
+    return r.drop("modified", "title").withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+@query(
+    "intent_search_all",
+    f"""WITH {sql_intent_search(5)} SELECT query_id, article_id, round(CAST(relevance_score AS DOUBLE), 6) AS relevance_score, context_matches, scenario_detected,
+      search_method, rank FROM intent_hits""",
+)
+def intent_search_all(spark, folder):
+    """Every title hit is scored before the best are taken."""
     r = KB.intent_search(user_queries(spark, folder), articles(spark, folder))
     return r.drop("modified", "title").withColumn("relevance_score", F.round("relevance_score", 6))
 
@@ -267,7 +304,7 @@ def intent_relevance(spark, folder):
 )
 def search_ab_compare(spark, folder):
     asked, kb = user_queries(spark, folder), articles(spark, folder)
-    r = KB.compare_searches(asked, KB.intent_search(asked, kb), KB.keyword_search(asked, kb))
+    r = KB.compare_searches(asked, KB.intent_search(asked, kb, newest=NEWEST), KB.keyword_search(asked, kb, newest=NEWEST))
     return r.drop("a_better").withColumns({c: F.round(c, 6) for c in ("a_avg", "b_avg", "improvement")})
 
 
@@ -284,7 +321,7 @@ SQL_BEST = f"""{SQL_INTENT}, best AS (SELECT * FROM (SELECT h.query_id, h.articl
 )
 def article_rescore(spark, folder):
     asked, kb = user_queries(spark, folder), articles(spark, folder)
-    best = KB.rescore_articles(KB.intent_search(asked, kb), asked)
+    best = KB.rescore_articles(KB.intent_search(asked, kb, newest=NEWEST), asked)
     return best.select(
         "query_id", "article_id", F.round("relevance_score", 6).alias("relevance_score"), F.round("context_score", 6).alias("context_score")
     )
@@ -314,7 +351,7 @@ _SQL_OTHER = " + ".join(
 )
 def answer_sentences(spark, folder):
     asked, kb = user_queries(spark, folder), articles(spark, folder)
-    best = KB.rescore_articles(KB.intent_search(asked, kb), asked)
+    best = KB.rescore_articles(KB.intent_search(asked, kb, newest=NEWEST), asked)
     full = best.join(kb.select("article_id", "body"), "article_id").withColumn("content", strip_html(F.col("body")))
     return full.select(
         "query_id",
