@@ -49,7 +49,13 @@ def test_title_candidates(spark, world, n):
         assert got.get(qid, set()) == {x[0] for x in candidates(text, world[1], n)}, text
 
 
-def keyword(query, articles, n):
+def every_candidate(query, articles):
+    words = [w.lower() for w in query.split() if len(w) > 2]
+    likes = [w.replace("?", "").replace("!", "") for w in words or [query.lower()]]
+    return [a for a in articles if any(x and x in a[1].lower() for x in likes)]
+
+
+def keyword(query, articles, n, newest_only):
     low, words = query.lower(), [w.lower() for w in query.split() if len(w) > 2]
     size = max(1, len(words))
 
@@ -60,24 +66,26 @@ def keyword(query, articles, n):
         return " ".join(body.replace("<p>", " ").replace("</p>", " ").split()).lower()
 
     out = []
-    for a in candidates(query, articles, n):
+    for a in candidates(query, articles, n) if newest_only else every_candidate(query, articles):
         score = (hits(a[1].lower(), 2) * 0.6 + hits(plain(a[2]), 1) * 0.4) / size
         out.append((max(0.3, min(1.0, score)), a))
+    looked_at = newest(articles, 3 * n) if newest_only else articles if query.split() else []
     if not out:
-        out = [(min(1.0, hits(plain(a[2]), 2) * 0.4 / size), a) for a in newest(articles, 3 * n) if hits(plain(a[2]), 2)]
+        out = [(min(1.0, hits(plain(a[2]), 2) * 0.4 / size), a) for a in looked_at if hits(plain(a[2]), 2)]
     if not out:
         out = [(0.2, a) for a in newest(articles, n)]
     ranked = sorted(out, key=lambda x: (-round(x[0], 9), -x[1][3], x[1][0]))[:n]
     return [(a[0], pytest.approx(s)) for s, a in ranked]
 
 
-def test_keyword_search(spark, world):
+@pytest.mark.parametrize("newest_only", [True, False])
+def test_keyword_search(spark, world, newest_only):
     q, a = frames(spark, world)
     got = {}
-    for r in KB.keyword_search(q, a, 4, fallback_all=True).orderBy("query_id", "rank").collect():
+    for r in KB.keyword_search(q, a, 4, fallback_all=True, newest=4 if newest_only else None).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.article_id, r.relevance_score))
     for qid, text in world[0]:
-        assert got.get(qid, []) == keyword(text, world[1], 4), text
+        assert got.get(qid, []) == keyword(text, world[1], 4, newest_only), text
 
 
 def test_intent_search_stages(spark):
@@ -97,6 +105,17 @@ def test_intent_search_stages(spark):
     assert got == [(1, 1, 1.0, "action_and_service"), (2, 4, 0.8, "action_then_service")]
 
 
+def test_the_best_article_is_found_behind_newer_ones(spark):
+    rows = [(0, "Cancel the hotel booking", "hotel cancel", 0)] + [(k, "Cancel desk of any hotel", "nothing", k) for k in range(1, 9)]
+    articles = spark.createDataFrame(rows, "article_id bigint, title string, body string, modified bigint")
+    queries = spark.createDataFrame([(1, "cancel hotel booking"), (2, "cancel hotel booking"), (3, None)], "query_id bigint, query string")
+    best = {r.query_id: r.article_id for r in KB.keyword_search(queries, articles, 3).filter("rank = 1").collect()}
+    assert best == {1: 0, 2: 0}
+    assert KB.keyword_search(queries, articles, 3, newest=3).filter("article_id = 0").count() == 0
+    assert KB.intent_search(queries, articles, 3).count() == 6
+    assert KB.keyword_search(queries, articles.limit(0)).count() == KB.intent_search(queries.limit(0), articles).count() == 0
+
+
 def test_article_scan_and_union(spark):
     base = {"created": 1, "status": "Online", "language": "en_US", "record_type": "Product Documentation"}
     rows = [
