@@ -20,7 +20,8 @@ from passagework.plans.knowledge_queries import (
     user_queries,
 )
 from passagework.plans.registry import query, spread, table
-from passagework.plans.vector_queries import SQL_SEARCH, passages, text_chunks, text_search
+from passagework.plans.vector_queries import SQL_IDF, SQL_SEARCH, passages, text_chunks, text_search
+from passagework.session import scratch_path
 
 SOURCES = ["text", "colpali", "salesforce"]
 QUESTIONS = [
@@ -248,6 +249,34 @@ def questions(spark, folder):
 SQL_HITS = f"{SQL_SEARCH}, res AS (SELECT query_id, rank, score, text AS content, 'doc' || doc_id || '.txt' AS filename FROM hits JOIN chunks USING (id))"
 
 
+SQL_STORED = "SELECT query_id, id, round(score, 6) AS score, rank, md5(content) AS content_md5, filename FROM (SELECT h.*, text AS content, 'doc' || doc_id || '.txt' AS filename FROM hits h JOIN chunks USING (id))"
+SQL_FIRST = "first AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))"
+
+
+def _stored_hits(spark, folder, path):
+    hits = P.search_index(questions(spark, folder), path)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank", F.md5("content").alias("content_md5"), "filename")
+
+
+@query("search_index", f"WITH {SQL_SEARCH} {SQL_STORED}")
+def search_index(spark, folder):
+    """The index is built once and searched where it is stored."""
+    path = scratch_path(spark, "index")
+    P.build_index(files_of_chunks(spark, folder), path)
+    return _stored_hits(spark, folder, path)
+
+
+@query("append_to_index", f"WITH {SQL_SEARCH.replace(SQL_IDF, SQL_FIRST + ', ' + SQL_IDF.replace('FROM chunks', 'FROM first'))} {SQL_STORED}")
+def append_to_index(spark, folder):
+    """English documents make the index, all others are appended."""
+    path = scratch_path(spark, "index")
+    chunks = files_of_chunks(spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    P.build_index(chunks.filter("lang = 'en'"), path)
+    P.append_to_index(chunks.filter("lang <> 'en'"), path, 1)
+    P.append_to_index(chunks.filter("lang <> 'en'"), path, 1)  # the same batch again changes nothing
+    return _stored_hits(spark, folder, path)
+
+
 @query(
     "relevance_filter",
     f"""WITH {SQL_HITS} SELECT query_id, count(*) AS kept, round(max(score), 6) AS confidence FROM res WHERE rank <= 3 AND score > 0.2 AND content <> '' GROUP BY 1""",

@@ -15,6 +15,41 @@ from passagework.operators import knowledge as KB
 from passagework.operators import selection as R
 from passagework.session import written
 
+def _described(chunks: DataFrame) -> DataFrame:
+    """id, text, filename, page; the last two are null where unknown."""
+    known = {c: F.col(c) if c in chunks.columns else F.lit(None).cast("string") for c in ("filename", "page")}
+    return chunks.select("id", "text", *[v.alias(c) for c, v in known.items()])
+
+
+def _put_batch(counted: DataFrame, idf: DataFrame, path: str, batch: int) -> None:
+    """A batch that is put again replaces itself, so a job that died can be run again."""
+    counted.drop("terms").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+    E.embed(counted.select("id", "terms"), idf).write.mode("overwrite").parquet(f"{path}/vectors/batch={batch}")
+
+
+def build_index(chunks: DataFrame, path: str) -> None:
+    """Stores chunks (id, text and, when known, filename, page), their vectors and the term weights below ``path``."""
+    counted = written(E.count_terms(_described(chunks)), "terms")
+    E.fit_idf(counted).write.mode("overwrite").parquet(f"{path}/idf")
+    _put_batch(counted, chunks.sparkSession.read.parquet(f"{path}/idf"), path, 0)
+
+
+def append_to_index(chunks: DataFrame, path: str, batch: int) -> None:
+    """Adds new chunks as ``batch`` (from 1) under the stored weights; only the new texts are read."""
+    if batch < 1:
+        raise ValueError("batches are counted from 1; 0 is what the index was built from")
+    counted = written(E.count_terms(_described(chunks)), "terms")
+    _put_batch(counted, chunks.sparkSession.read.parquet(f"{path}/idf"), path, batch)
+
+
+def search_index(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """The k best stored chunks per query with content, filename and page; contents are read for the hits only."""
+    spark = queries.sparkSession
+    asked = E.embed(E.count_terms(queries, "query"), spark.read.parquet(f"{path}/idf"))
+    hits = written(B.exact_topk(asked, spark.read.parquet(f"{path}/vectors").select("id", "embedding"), k), "hits")
+    return hits.join(spark.read.parquet(f"{path}/chunks").select("id", F.col("text").alias("content"), "filename", "page"), "id")
+
+
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """The k best chunks per query with content and file; contents are joined after the ranking.
 
