@@ -283,7 +283,7 @@ def stream_query_stats(spark, folder):
 def stream_running_stats(spark, folder):
     out = scratch_path(spark, "running")
     J.running_query_stats(event_stream(spark, folder), out).awaitTermination()
-    return _rounded_stats(spark.read.parquet(f"{out}/current"))
+    return _rounded_stats(J.read_running_stats(spark, out))
 
 
 @query(

@@ -15,7 +15,8 @@ from passagework.functions.text import clean_content
 from passagework.operators.chunking import chunk
 from passagework.operators.evaluation import stats_columns, with_averages
 
-KEYS = "key string, batch bigint"
+KEY = "key string, doc_id bigint"
+KEYS = f"{KEY}, batch bigint"
 FILES = 1000
 
 
@@ -35,19 +36,22 @@ def stream_ingest(
     """Clean and chunk documents (doc_id, text) as they arrive; content seen before is skipped.
 
     The seen hashes live in ``out/keys``, not in operator state, so they may grow
-    with the corpus; each batch meets them in one anti-join.
+    with the corpus; each batch meets them in one anti-join of hashes and ids. The
+    new ones are written first and only their texts move on; a batch that is
+    replayed does not see its own hashes, so it puts the same chunks again.
     """
     spark = documents.sparkSession
-    _put(spark.createDataFrame([], "key string"), f"{out}/keys", -1)
+    _put(spark.createDataFrame([], KEY), f"{out}/keys", -1)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("key", F.md5("text"))
         seen = batch.sparkSession.read.schema(KEYS).parquet(f"{out}/keys").filter(F.col("batch") != batch_id)
-        once = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("key", "d.doc_id", "d.text")
-        new = once.join(seen.select("key"), "key", "left_anti")
+        once = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        _put(once.join(seen.select("key"), "key", "left_anti"), f"{out}/keys", batch_id)
+        fresh = batch.sparkSession.read.schema(KEY).parquet(f"{out}/keys/batch={batch_id}")
+        new = keyed.select("key", "doc_id", "text").join(fresh, ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
         kept = new.withColumn("text", clean_content(F.col("text")))
         _put(chunk(kept, strategy=strategy, size=size, overlap=overlap), f"{out}/chunks", batch_id)
-        _put(new.select("key"), f"{out}/keys", batch_id)
 
     return (
         documents.writeStream.foreachBatch(ingest)
@@ -103,12 +107,22 @@ def windowed_query_stats(log: DataFrame, out: str, width: str = "1 day", delay:
 
 
 def running_query_stats(log: DataFrame, out: str) -> StreamingQuery:
-    """Totals since the start per kind; each batch writes the full, small, current table."""
+    """Totals since the start per kind; each batch writes the full, small table as a version of its own."""
     stats = with_averages(log.groupBy("kind").agg(*stats_columns()))
     return (
-        stats.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/current"))
+        stats.writeStream.foreachBatch(lambda batch, batch_id: _put(batch, f"{out}/current", batch_id))
         .outputMode("complete")
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_running_stats(spark: SparkSession, out: str) -> DataFrame:
+    """The newest finished version; a version being written has no success mark yet and is not taken."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/current")
+    done = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(root, "batch=*/_SUCCESS")
+    )
+    newest = max(done, key=lambda f: int(f.getPath().getParent().getName().split("=")[1]))
+    return spark.read.parquet(newest.getPath().getParent().toString())
