@@ -67,6 +67,19 @@ def test_stream_ingest_skips_seen_content(spark, tmp_path):
     assert run() == [(1, "a b c"), (1, "d"), (4, "new text")]
 
 
+def test_stream_ingest_over_many_batches_of_one_run(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    texts = [["a b", "c d", "a b"], ["a b", "e f"], ["e f", "g h", None], ["c d", "g h"]]
+    for n, part in enumerate(texts):
+        rows = [(10 * n + k // 2, t) for k, t in enumerate(part)]
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(src)
+    docs = J.read_folder(spark, src, spark.read.parquet(src).schema, files=1)
+    J.stream_ingest(docs, out, strategy="fixed", size=3, overlap=0).awaitTermination()
+    chunks = spark.read.parquet(f"{out}/chunks")
+    assert sorted(r.content for r in chunks.collect()) == ["a b", "c d", "e f", "g h"]
+    assert chunks.select("batch").distinct().count() >= 3
+
+
 def test_stream_sync_keeps_the_newest(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for rows in ([(1, 5, "a"), (2, 1, "b")], [(1, 7, "c"), (2, 0, "d")]):
