@@ -7,14 +7,17 @@ from labelled rows; in each round either view labels the rows of an unlabelled p
 certain, and these go to the other view. Both are then calibrated on rows kept apart, and a last regression
 over the two calibrated logits gives the score of every document.
 
-Only fitting uses a sample: at most ``labelled`` labelled rows and ``pool`` unlabelled ones, the first by a
-hash of doc_id. Token statistics of the sample are summed by Spark; the driver receives at most ``tokens``
+Only fitting uses a sample: at most ``labelled`` labelled rows, drawn from those whose document exists and class
+by class of (low, toxic), so that a rare class gives all its rows, and at most ``pool`` unlabelled ones, the first
+by a hash of doc_id. Rows of a class count as many as they stand for, and an offset takes the drawn odds of the
+two classes back to the true ones, so scores are probabilities among all labelled documents. Token statistics of the sample are summed by Spark; the driver receives at most ``tokens``
 tokens a target and one sparse row of features for each sampled row. Scoring covers every document.
 
 Defined cases: null text is the empty text; null language, source and length have their own value; repeated
 label rows of a document count as the lower quality and the higher toxicity; label rows with a null are left
-out; where a target has fewer than ``LEAST`` rows of either class, every document gets its share of positive
-rows as score (0 without any), and so is kept; repeated documents get equal scores; an empty table gives no rows.
+out; where no labelled document or all of them are positive for a target, there is nothing to tell apart: every
+document gets the share of positive rows as score (0 without any) and is kept; a class of fewer than four rows
+has none to keep apart, and its target is calibrated on the rows that it was fitted on; repeated documents get equal scores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.llm.common import fields, map_batches
 from passagework.session import written
 
-LABELLED, POOL, TOKENS, ROUNDS, PER_ROUND, LEAST = 6000, 3000, 1024, 3, 200, 20
+LABELLED, POOL, TOKENS, ROUNDS, PER_ROUND = 6000, 3000, 1024, 3, 200
 CERTAIN = 0.98
 #: Chi-square gain from which a token may enter a vocabulary; lower gains arise by chance among so many tokens.
 SIGNIFICANT = 20.0
@@ -69,18 +72,18 @@ def numbers(text: str | None, found: list[str], n_chars: int | None) -> list[flo
     ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of a logistic regression with an intercept last, by Newton steps."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: np.ndarray, towards: float = 0.0, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of a logistic regression with an intercept last, by Newton steps; the penalty draws slopes ``towards`` a value."""
     width = x.shape[1] + 1
-    w, ridge = np.zeros(width), np.full(width, penalty)
-    ridge[-1] = 1e-6
+    w, ridge, middle = np.zeros(width), np.full(width, penalty), np.full(width, towards)
+    ridge[-1], middle[-1] = 1e-6, 0.0
     for _ in range(steps):
-        grad, bend = ridge * w, np.diag(ridge)
+        grad, bend = ridge * (w - middle), np.diag(ridge)
         for at in range(0, len(x), 1000):  # copies stay small
             part = np.hstack([x[at : at + 1000], np.ones((len(x[at : at + 1000]), 1))])
-            p = sigmoid(part @ w)
-            grad += part.T @ (p - y[at : at + 1000])
-            bend += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            p, times = sigmoid(part @ w + offset[at : at + 1000]), weight[at : at + 1000]
+            grad += part.T @ (times * (p - y[at : at + 1000]))
+            bend += (part * (times * (p * (1 - p) + 1e-6))[:, None]).T @ part
         step = np.linalg.solve(bend, grad)
         size = float(np.abs(step).max())
         w -= step * min(1.0, 4.0 / max(size, 1e-9))
@@ -97,8 +100,10 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def both_classes(y: np.ndarray) -> bool:
-    return min(int(y.sum()), int(len(y) - y.sum())) >= LEAST
+def odds_of(y: np.ndarray, stands_for: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights with mean 1 in each class, how far the log odds of the drawn rows lie above the true ones, and the true share."""
+    drawn, true = [np.array([f[y == c].sum() for c in (0, 1)]) for f in (np.ones(len(y)), stands_for)]
+    return stands_for * (drawn / true)[y.astype(int)], float(np.log(drawn[1] / drawn[0]) - np.log(true[1] / true[0])), float(true[1] / true.sum())
 
 
 @dataclass
@@ -129,6 +134,10 @@ class Model:
     spread: np.ndarray
     targets: dict[str, Target]
 
+    def accepted(self, scores: list[np.ndarray]) -> np.ndarray:
+        """Rows that no target calls positive; a target without a fit has no say."""
+        return np.all([s < 0.5 if self.targets[t].final is not None else np.ones(len(s), bool) for t, s in zip(TARGETS, scores, strict=True)], axis=0)
+
     def page(self, langs: list, sources: list, figures: np.ndarray) -> np.ndarray:
         out = np.zeros((len(langs), NUMBERS + len(self.categories)))
         out[:, :NUMBERS] = np.clip((figures - self.centre) / self.spread, -6, 6)
@@ -147,13 +156,21 @@ def bag(counts: list[Counter], vocabulary: dict[str, int]) -> np.ndarray:
     return out
 
 
-def cotrain(target: Target, x: tuple, y: np.ndarray, pool: tuple, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Target:
-    """Fit both views of a target; ``x`` and ``pool`` hold (content, page) rows. Every fourth row is kept for calibration."""
-    target.share = float(y.mean()) if len(y) else 0.0
-    held = np.arange(len(y)) % 4 == 3
-    if not (both_classes(y[~held]) and y[held].any() and not y[held].all()):
+def cotrain(target: Target, x: tuple, y: np.ndarray, stands_for: np.ndarray, pool: tuple, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Target:
+    """Fit both views of a target; ``x`` and ``pool`` hold (content, page) rows, a row of ``x`` ``stands_for`` so many
+    labelled documents. Every fourth row of a class is kept for calibration."""
+    target.share = float(y @ stands_for / stands_for.sum()) if len(y) else 0.0
+    if len(set(y)) < 2:
         return target
-    own = [(x[v][~held], y[~held]) for v in (0, 1)]
+    held = np.zeros(len(y), dtype=bool)
+    for c in (0, 1):
+        held[np.flatnonzero(y == c)[3::4]] = True
+    taught_on = ~held
+    if len(set(y[held])) < 2:
+        held = taught_on = np.ones(len(y), dtype=bool)
+    weight, above, _ = odds_of(y, stands_for)
+    offset = np.full(len(y), above)
+    own = [(x[v][taught_on], y[taught_on], weight[taught_on], offset[taught_on]) for v in (0, 1)]
     weights = [fit(*own[v]) for v in (0, 1)]
     left = np.ones(len(pool[0]), dtype=bool)
     for _ in range(rounds):
@@ -166,15 +183,16 @@ def cotrain(target: Target, x: tuple, y: np.ndarray, pool: tuple, rounds: int =
             taught.append((pick, (p[pick] > 0.5).astype(float)))
         for v, (pick, said) in enumerate(taught):
             left[pick] = False
-            other = 1 - v
-            own[other] = (np.vstack([own[other][0], pool[other][pick]]), np.concatenate([own[other][1], said]))
+            more = (pool[1 - v][pick], said, np.ones(len(pick)), np.zeros(len(pick)))
+            own[1 - v] = tuple(np.concatenate(pair) for pair in zip(own[1 - v], more, strict=True))
         if not any(len(pick) for pick, _ in taught):
             break
         weights = [fit(*own[v]) for v in (0, 1)]
     target.content, target.page = weights
+    apart = (y[held], weight[held], offset[held])
     raw = [np.clip(logits(x[v][held], weights[v]), -20, 20) for v in (0, 1)]
-    target.calibration = [fit(r[:, None], y[held], 0.01) for r in raw]
-    target.final = fit(target.calibrated((x[0][held], x[1][held])), y[held], 0.01)
+    target.calibration = [fit(r[:, None], *apart, towards=1.0) for r in raw]
+    target.final = fit(target.calibrated((x[0][held], x[1][held])), *apart, towards=0.5)
     return target
 
 
@@ -195,16 +213,37 @@ def _in_tasks(df: DataFrame, keep: tuple[str, ...], schema: T.StructType, rows:
     return map_batches(df.select(*keep, *(df[n].alias(f"__{n}") for n in NEEDED)), run, schema)
 
 
+def parts(counts: dict, bound: int) -> dict:
+    """``bound`` rows dealt evenly to classes; one with fewer rows gives all and leaves the rest to the others."""
+    out: dict = {}
+    for i, key in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        out[key] = min(counts[key], (bound - sum(out.values())) // (len(counts) - i))
+    return out
+
+
 def _sample(documents: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """Sampled documents with ``low`` and ``toxic``, null where unlabelled; written once."""
-    known = (
+    """Sampled documents with ``low`` and ``toxic``, null where unlabelled, and how many rows each ``stands_for``; written once."""
+    there = documents.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    known = written(
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
         .agg((1 - F.min("quality")).cast("double").alias("low"), F.max("toxic").cast("double").alias("toxic"))
-    )
-    first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    ids = documents.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
-    other = ids.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("toxic"))
+        .join(there, "doc_id", "left_semi"),
+        "cotraining-known",
+    )
+    counts = {(r["low"], r["toxic"]): r["count"] for r in known.groupBy(*TARGETS).count().collect()}
+    take, most, stands_for = parts(counts, labelled), F.lit(0), F.lit(None).cast("double")
+    for (low, toxic), n in take.items():
+        here = (F.col("low") == low) & (F.col("toxic") == toxic)
+        most, stands_for = F.when(here, n).otherwise(most), F.when(here, counts[low, toxic] / max(n, 1)).otherwise(stands_for)
+    by_class = Window.partitionBy(*TARGETS).orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = (
+        known.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= max(take.values(), default=0)).where(F.col("rank") <= most)
+        .select("doc_id", *TARGETS, stands_for.alias("stands_for"))
+    )
+    ids = there.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
+    none = [F.lit(None).cast("double").alias(n) for n in (*TARGETS, "stands_for")]
+    other = ids.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", *none)
     asked = written(first.unionByName(other), "cotraining-ids")
     return written(documents.select("doc_id", *NEEDED).join(F.broadcast(asked), "doc_id"), "cotraining-sample")
 
@@ -212,7 +251,7 @@ def _sample(documents: DataFrame, labels: DataFrame, labelled: int, pool: int) -
 def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, tokens: int = TOKENS, rounds: int = ROUNDS) -> Model:
     """Fit on at most ``labelled`` labelled and ``pool`` unlabelled rows."""
     sample = _sample(documents, labels, labelled, pool)
-    keys = ("doc_id", *TARGETS)
+    keys = ("doc_id", *TARGETS, "stands_for")
     words = T.StructType([*fields(sample, *keys), T.StructField("tokens", T.ArrayType(T.StringType()))])
     held = _in_tasks(sample, keys, words, lambda counts, *_: [pa.array([list(c) for c in counts], pa.list_(pa.string()))])
     n = sample.where(F.col("low").isNotNull()).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(t), F.lit(0.0)).alias(t) for t in TARGETS)).first()
@@ -256,10 +295,11 @@ def _fit_model(rows: pa.Table, names: list[str], targets: dict[str, Target], rou
     for i, (at, n) in enumerate(zip(rows.column("tokens"), rows.column("n"), strict=True)):
         held[i, at.values.to_numpy()] = np.log1p(n.values.to_numpy())
     known = rows.column("low").is_valid().to_numpy()
+    stands_for = rows.column("stands_for").drop_null().to_numpy()
     for name, target in targets.items():
         x = held[:, [i for i, t in enumerate(names) if t in target.vocabulary]]
         y = rows.column(name).drop_null().to_numpy().astype(float)
-        cotrain(target, (x[known], page[known]), y, (x[~known], page[~known]), rounds)
+        cotrain(target, (x[known], page[known]), y, stands_for, (x[~known], page[~known]), rounds)
     return model
 
 
@@ -272,7 +312,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
         m = shared.value
         page = m.page(langs, sources, figures)
         scores = [m.targets[t].score((bag(counts, m.targets[t].vocabulary), page)) for t in TARGETS]
-        return [*(pa.array(np.round(s, 6)) for s in scores), pa.array((scores[0] < 0.5) & (scores[1] < 0.5))]
+        return [*(pa.array(np.round(s, 6)) for s in scores), pa.array(m.accepted(scores))]
 
     return _in_tasks(documents, keep, schema, rows)
 
@@ -295,6 +335,6 @@ def accept(documents: DataFrame, model: Model) -> DataFrame:
             figures = np.array([numbers(*r) for r in zip(texts, found, sizes, strict=True)]).reshape(-1, NUMBERS)
             counts, page = [content(f) for f in found], m.page(langs, sources, figures)
             scores = [m.targets[t].score((bag(counts, m.targets[t].vocabulary), page)) for t in TARGETS]
-            yield part.filter(pa.array((scores[0] < 0.5) & (scores[1] < 0.5)))
+            yield part.filter(pa.array(m.accepted(scores)))
 
     return map_batches(documents, run, schema)

@@ -158,6 +158,37 @@ def test_classifier_defined_cases(spark):
     assert cotraining.classify(docs.limit(0), labels).count() == 0
 
 
+def some_texts(spark, n, marked):
+    """``n`` documents of invented words; those in ``marked`` hold two words of their own."""
+    pick, rows = random.Random(9), []
+    for i in range(n):
+        words = [f"w{pick.randint(0, 400)}" for _ in range(40)] + ["vile", "scum"] * 3 * (i in marked)
+        pick.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s", 200))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_classifier_learns_a_rare_class(spark):
+    toxic = set(range(0, 3000, 100))  # 1 %, of which a tenth of all labels would hold three
+    docs = some_texts(spark, 3000, toxic)
+    known = [(i, 1, int(i in toxic)) for i in range(3000) if i % 200]
+    absent = [(i, 1, 0) for i in range(10_000, 40_000)]  # labels of documents that are not there
+    labels = spark.createDataFrame(known + absent, "doc_id long, quality int, toxic int")
+    got = cotraining.classify(docs, labels, labelled=300).collect()
+    refused = {r.doc_id for r in got if not r.accepted}
+    assert len(refused & toxic) >= 28 and len(refused - toxic) <= 3
+    few = labels.where("toxic = 0 OR doc_id < 700")  # three toxic rows
+    refused = {r.doc_id for r in cotraining.classify(docs, few, labelled=2000).collect() if not r.accepted}
+    assert len(refused & toxic) >= 20 and len(refused - toxic) <= 30
+
+
+def test_classifier_keeps_all_where_every_label_is_positive(spark):
+    docs = some_texts(spark, 50, set())
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = cotraining.classify(docs, labels).collect()
+    assert len(got) == 50 and all(r.accepted and r.low_score == 1 for r in got)
+
+
 def test_pipeline_stages_leave_out_what_they_should(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
