@@ -3,15 +3,17 @@
 The content view sees which of its chosen tokens a text holds and how often; the page view sees language,
 source, length and layout figures (line and word lengths, shares of capitals, marks, digits and distinct
 words), never the words. For each target (low quality, toxic) both views are logistic regressions. They start
-from labelled rows; in each round either view labels the rows of an unlabelled pool of which it is most
-certain, and these go to the other view. Both are then calibrated on rows kept apart, and a last regression
+from labelled rows; in each round either view labels, for each class, the documents of which it is most certain
+among all that are not in the labelled sample, and these go to the other view. Both are then calibrated on rows kept apart, and a last regression
 over the two calibrated logits gives the score of every document.
 
-Only fitting uses a sample: at most ``labelled`` labelled rows, drawn from those whose document exists and class
-by class of (low, toxic), so that a rare class gives all its rows, and at most ``pool`` unlabelled ones, the first
-by a hash of doc_id. Rows of a class count as many as they stand for, and an offset takes the drawn odds of the
-two classes back to the true ones, so scores are probabilities among all labelled documents. Token statistics of the sample are summed by Spark; the driver receives at most ``tokens``
-tokens a target and one sparse row of features for each sampled row. Scoring covers every document.
+Only the labelled side is a sample: at most ``labelled`` labelled rows, drawn from those whose document exists and class
+by class of (low, toxic), so that a rare class gives all its rows. The other
+documents, labelled or not, are all scored in each round, without their labels. Rows of a class count as many as they stand for, and an offset takes the drawn odds of the
+two classes back to the true ones, so scores are probabilities among all labelled documents. Figures, categories and token counts of all documents are written once; Spark
+computes centre, spread and the commonest categories over them, and each round is one pass over them. Token
+statistics of the sample are summed by Spark; the driver receives at most ``tokens`` tokens a target and one sparse
+row of features for each sampled and each picked row. Scoring covers every document.
 
 Defined cases: null text is the empty text; null language, source and length have their own value; repeated
 label rows of a document count as the lower quality and the higher toxicity; label rows with a null are left
@@ -29,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 from passagework.llm.common import fields, map_batches
 from passagework.session import written
 
-LABELLED, POOL, TOKENS, ROUNDS, PER_ROUND = 6000, 3000, 1024, 3, 200
+LABELLED, TOKENS, ROUNDS, PER_ROUND = 6000, 1024, 3, 200
 CERTAIN = 0.98
 #: Chi-square gain from which a token may enter a vocabulary; lower gains arise by chance among so many tokens.
 SIGNIFICANT = 20.0
@@ -156,44 +159,45 @@ def bag(counts: list[Counter], vocabulary: dict[str, int]) -> np.ndarray:
     return out
 
 
-def cotrain(target: Target, x: tuple, y: np.ndarray, stands_for: np.ndarray, pool: tuple, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Target:
-    """Fit both views of a target; ``x`` and ``pool`` hold (content, page) rows, a row of ``x`` ``stands_for`` so many
-    labelled documents. Every fourth row of a class is kept for calibration."""
-    target.share = float(y @ stands_for / stands_for.sum()) if len(y) else 0.0
-    if len(set(y)) < 2:
-        return target
-    held = np.zeros(len(y), dtype=bool)
-    for c in (0, 1):
-        held[np.flatnonzero(y == c)[3::4]] = True
-    taught_on = ~held
-    if len(set(y[held])) < 2:
-        held = taught_on = np.ones(len(y), dtype=bool)
-    weight, above, _ = odds_of(y, stands_for)
-    offset = np.full(len(y), above)
-    own = [(x[v][taught_on], y[taught_on], weight[taught_on], offset[taught_on]) for v in (0, 1)]
-    weights = [fit(*own[v]) for v in (0, 1)]
-    left = np.ones(len(pool[0]), dtype=bool)
-    for _ in range(rounds):
-        taught = []
-        for v in (0, 1):
-            p = sigmoid(logits(pool[v], weights[v]))
-            sure = np.maximum(p, 1 - p)
-            pick = np.flatnonzero(left & (sure >= CERTAIN))
-            pick = pick[np.argsort(-sure[pick], kind="stable")[:per_round]]
-            taught.append((pick, (p[pick] > 0.5).astype(float)))
-        for v, (pick, said) in enumerate(taught):
-            left[pick] = False
-            more = (pool[1 - v][pick], said, np.ones(len(pick)), np.zeros(len(pick)))
-            own[1 - v] = tuple(np.concatenate(pair) for pair in zip(own[1 - v], more, strict=True))
-        if not any(len(pick) for pick, _ in taught):
-            break
-        weights = [fit(*own[v]) for v in (0, 1)]
-    target.content, target.page = weights
-    apart = (y[held], weight[held], offset[held])
-    raw = [np.clip(logits(x[v][held], weights[v]), -20, 20) for v in (0, 1)]
-    target.calibration = [fit(r[:, None], *apart, towards=1.0) for r in raw]
-    target.final = fit(target.calibrated((x[0][held], x[1][held])), *apart, towards=0.5)
-    return target
+class Fitting:
+    """Both views of a target while they learn; ``x`` holds (content, page) rows, a row ``stands_for`` so many labelled
+    documents. Every fourth row of a class is kept for calibration."""
+
+    def __init__(self, target: Target, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, stands_for: np.ndarray) -> None:
+        self.target, self.x, self.y = target, x, y
+        self.taken: set[int] = set()
+        target.share = float(y @ stands_for / stands_for.sum()) if len(y) else 0.0
+        self.able = len(set(y)) == 2
+        if not self.able:
+            return
+        self.held = np.zeros(len(y), dtype=bool)
+        for c in (0, 1):
+            self.held[np.flatnonzero(y == c)[3::4]] = True
+        first = ~self.held
+        if len(set(y[self.held])) < 2:
+            self.held = first = np.ones(len(y), dtype=bool)
+        self.weight, above, target.share = odds_of(y, stands_for)
+        self.offset = np.full(len(y), above)
+        self.own = [(x[v][first], y[first], self.weight[first], self.offset[first]) for v in (0, 1)]
+        self.fit()
+
+    def fit(self) -> None:
+        self.target.content, self.target.page = [fit(*own) for own in self.own]
+
+    def learn(self, view: int, x: np.ndarray, said: np.ndarray, rows: Iterable[int]) -> None:
+        """Rows that the other view labelled. They were picked by class, so their odds are set against the true share."""
+        self.taken.update(rows)
+        share, positive = self.target.share, said.sum()
+        above = np.log((positive + 0.5) / (len(said) - positive + 0.5)) - np.log(share / (1 - share))
+        more = (x, said, np.ones(len(said)), np.full(len(said), above))
+        self.own[view] = tuple(np.concatenate(pair) for pair in zip(self.own[view], more, strict=True))
+
+    def finish(self) -> None:
+        t, held = self.target, self.held
+        apart = (self.y[held], self.weight[held], self.offset[held])
+        raw = [np.clip(logits(self.x[v][held], w), -20, 20) for v, w in enumerate((t.content, t.page))]
+        t.calibration = [fit(r[:, None], *apart, towards=1.0) for r in raw]
+        t.final = fit(t.calibrated((self.x[0][held], self.x[1][held])), *apart, towards=0.5)
 
 
 def _in_tasks(df: DataFrame, keep: tuple[str, ...], schema: T.StructType, rows: Callable) -> DataFrame:
@@ -221,8 +225,8 @@ def parts(counts: dict, bound: int) -> dict:
     return out
 
 
-def _sample(documents: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """Sampled documents with ``low`` and ``toxic``, null where unlabelled, and how many rows each ``stands_for``; written once."""
+def _sample(documents: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """Ids of the labelled sample with ``low``, ``toxic`` and how many documents each ``stands_for``; written once."""
     there = documents.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     known = written(
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
@@ -241,22 +245,20 @@ def _sample(documents: DataFrame, labels: DataFrame, labelled: int, pool: int) -
         known.withColumn("rank", F.row_number().over(by_class)).where(F.col("rank") <= max(take.values(), default=0)).where(F.col("rank") <= most)
         .select("doc_id", *TARGETS, stands_for.alias("stands_for"))
     )
-    ids = there.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
-    none = [F.lit(None).cast("double").alias(n) for n in (*TARGETS, "stands_for")]
-    other = ids.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", *none)
-    asked = written(first.unionByName(other), "cotraining-ids")
-    return written(documents.select("doc_id", *NEEDED).join(F.broadcast(asked), "doc_id"), "cotraining-sample")
-
-
-def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, tokens: int = TOKENS, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled rows."""
-    sample = _sample(documents, labels, labelled, pool)
-    keys = ("doc_id", *TARGETS, "stands_for")
-    words = T.StructType([*fields(sample, *keys), T.StructField("tokens", T.ArrayType(T.StringType()))])
-    held = _in_tasks(sample, keys, words, lambda counts, *_: [pa.array([list(c) for c in counts], pa.list_(pa.string()))])
-    n = sample.where(F.col("low").isNotNull()).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(t), F.lit(0.0)).alias(t) for t in TARGETS)).first()
+    return written(first, "cotraining-ids")
+
+
+def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, tokens: int = TOKENS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
+    """Fit on at most ``labelled`` labelled rows and on what the views teach each other about all other documents."""
+    asked = _sample(documents, labels, labelled)
+    sample = documents.select("doc_id", *NEEDED).join(F.broadcast(asked), "doc_id")
+    words = T.StructType([*fields(sample, "doc_id", *TARGETS), T.StructField("tokens", T.ArrayType(T.StringType()))])
+    held = written(
+        _in_tasks(sample, ("doc_id", *TARGETS), words, lambda counts, *_: [pa.array([list(c) for c in counts], pa.list_(pa.string()))]), "cotraining-sample"
+    )
+    n = held.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(t), F.lit(0.0)).alias(t) for t in TARGETS)).first()
     stats = written(
-        held.where(F.col("low").isNotNull()).select(F.explode("tokens").alias("token"), *TARGETS)
+        held.select(F.explode("tokens").alias("token"), *TARGETS)
         .groupBy("token").agg(F.count("*").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)).where("n >= 3"),
         "cotraining-tokens",
     )
@@ -268,39 +270,102 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, poo
         top = stats.where(gain >= SIGNIFICANT).orderBy(gain.desc(), "token").limit(tokens).select("token").collect()
         targets[t] = Target({r["token"]: i for i, r in enumerate(sorted(top, key=lambda r: r["token"]))})
 
-    numbered = {t: i for i, t in enumerate(sorted(set().union(*(t.vocabulary for t in targets.values()))))}
+    names = sorted(set().union(*(t.vocabulary for t in targets.values())))
+    numbered = {t: i for i, t in enumerate(names)}
     whole, real = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
     columns = [T.StructField("tokens", whole), T.StructField("n", whole), T.StructField("figures", real)]
-    schema = T.StructType([*fields(sample, *keys, "lang", "source"), *columns])
 
     def features(counts: list[Counter], langs: list, sources: list, figures: np.ndarray) -> list[pa.Array]:
         held = [sorted(numbered.keys() & c.keys()) for c in counts]
         numbers = [[numbered[t] for t in h] for h in held], [[c[t] for t in h] for h, c in zip(held, counts, strict=True)]
         return [*(pa.array(x, pa.list_(pa.int32())) for x in numbers), pa.array(figures.tolist(), pa.list_(pa.float64()))]
 
-    rows = _in_tasks(sample, (*keys, "lang", "source"), schema, features).orderBy("doc_id", "figures").toArrow()
-    return _fit_model(rows, list(numbered), targets, rounds)
+    keys = ("row", "doc_id", *TARGETS, "stands_for", "lang", "source")
+    every = documents.select(F.xxhash64("doc_id", *NEEDED).alias("row"), "doc_id", *NEEDED).join(F.broadcast(asked), "doc_id", "left")
+    table = written(_in_tasks(every, keys, T.StructType([*fields(every, *keys), *columns]), features), "cotraining-features")
+    model = _page_model(table, targets)
+
+    rows = table.where(F.col("low").isNotNull()).orderBy("doc_id", "figures").toArrow()
+    stands_for = rows.column("stands_for").to_numpy().astype(float)
+    started = {t: Fitting(targets[t], _views(rows, names, model, t), rows.column(t).to_numpy().astype(float), stands_for) for t in TARGETS}
+    able = {t: f for t, f in started.items() if f.able}
+    for _ in range(rounds if able else 0):
+        picked = _most_certain(table.where(F.col("low").isNull()), names, model, able, max(per_round // 2, 1))
+        if not picked.num_rows:
+            break
+        for t, f in able.items():
+            for v in (0, 1):
+                mine = picked.filter(pc.and_(pc.equal(picked.column("target"), t), pc.equal(picked.column("view"), v)))
+                if mine.num_rows:
+                    said = mine.column("positive").to_numpy().astype(float)
+                    f.learn(1 - v, _views(mine, names, model, t)[1 - v], said, mine.column("row").to_pylist())
+            f.fit()
+    for f in able.values():
+        f.finish()
+    return model
 
 
-def _fit_model(rows: pa.Table, names: list[str], targets: dict[str, Target], rounds: int) -> Model:
-    figures = np.array(rows.column("figures").to_pylist()).reshape(-1, NUMBERS)
-    langs, sources = rows.column("lang").to_pylist(), rows.column("source").to_pylist()
-    seen = Counter(x for pair in zip(langs, sources, strict=True) for x in (f"lang {pair[0]}", f"source {pair[1]}"))
-    categories = {name: i for i, (name, _) in enumerate(seen.most_common(256))}
-    centre = figures.mean(axis=0) if len(figures) else np.zeros(NUMBERS)
-    spread = figures.std(axis=0) + 1e-6 if len(figures) else np.ones(NUMBERS)
-    model = Model(categories, centre, spread, targets)
-    page = model.page(langs, sources, figures)
-    held = np.zeros((len(figures), len(names)), dtype=np.float32)
+def _page_model(table: DataFrame, targets: dict[str, Target]) -> Model:
+    """Centre and spread of the figures and the commonest categories of all documents."""
+    places = range(NUMBERS)
+    at = table.agg(*(F.avg(F.col("figures")[i]).alias(f"m{i}") for i in places), *(F.stddev_pop(F.col("figures")[i]).alias(f"s{i}") for i in places)).first()
+    held = [F.concat(F.lit(f"{c} "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in ("lang", "source")]
+    seen = table.groupBy(*(h.alias(c) for h, c in zip(held, ("lang", "source"), strict=True))).count().select(F.explode(F.array("lang", "source")).alias("name"), "count")
+    common = seen.groupBy("name").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "name").limit(256).collect()
+    centre, spread = (np.array([at[f"{k}{i}"] or 0.0 for i in places]) for k in "ms")
+    return Model({r["name"]: i for i, r in enumerate(common)}, centre, spread + 1e-6, targets)
+
+
+def _views(rows: pa.Table, names: list[str], model: Model, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """(content, page) features of collected rows."""
+    held = np.zeros((rows.num_rows, len(names)), dtype=np.float32)
     for i, (at, n) in enumerate(zip(rows.column("tokens"), rows.column("n"), strict=True)):
         held[i, at.values.to_numpy()] = np.log1p(n.values.to_numpy())
-    known = rows.column("low").is_valid().to_numpy()
-    stands_for = rows.column("stands_for").drop_null().to_numpy()
-    for name, target in targets.items():
-        x = held[:, [i for i, t in enumerate(names) if t in target.vocabulary]]
-        y = rows.column(name).drop_null().to_numpy().astype(float)
-        cotrain(target, (x[known], page[known]), y, stands_for, (x[~known], page[~known]), rounds)
-    return model
+    figures = np.array(rows.column("figures").to_pylist()).reshape(-1, NUMBERS)
+    page = model.page(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), figures)
+    return held[:, [i for i, t in enumerate(names) if t in model.targets[target].vocabulary]], page
+
+
+def _most_certain(table: DataFrame, names: list[str], model: Model, able: dict[str, Fitting], most: int) -> pa.Table:
+    """For each target, view and class the ``most`` rows of which the view is most certain, none twice and none that was picked before."""
+    of_names = {}
+    for t in able:
+        of_names[t] = np.zeros(len(names))
+        of_names[t][[i for i, n in enumerate(names) if n in model.targets[t].vocabulary]] = model.targets[t].content[:-1]
+    taken = {t: np.array(sorted(f.taken), dtype=np.int64) for t, f in able.items()}
+    shared = table.sparkSession.sparkContext.broadcast((model, of_names, taken))
+    least = float(np.log(CERTAIN / (1 - CERTAIN)))
+    carried = ("row", "lang", "source", "tokens", "n", "figures")
+    marks = [("target", T.StringType()), ("view", T.IntegerType()), ("positive", T.BooleanType()), ("sure", T.DoubleType())]
+    schema = T.StructType([*fields(table, *carried), *(T.StructField(*m) for m in marks)])
+
+    def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        m, content_weights, before = shared.value
+        ids, first = np.unique(batch.column("row").to_numpy(), return_index=True)  # equal rows count once
+        batch = batch.take(pa.array(first))
+        tokens, times = batch.column("tokens"), batch.column("n")
+        of_row = np.repeat(np.arange(len(ids)), tokens.value_lengths().to_numpy())
+        places, logs = tokens.flatten().to_numpy(), np.log1p(times.flatten().to_numpy())
+        figures = batch.column("figures").flatten().to_numpy().reshape(-1, NUMBERS)
+        page = m.page(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), figures)
+        for t, w in content_weights.items():
+            free = ~np.isin(ids, before[t])
+            by_words = np.bincount(of_row, w[places] * logs, minlength=len(ids)) + m.targets[t].content[-1]
+            for v, z in enumerate((by_words, logits(page, m.targets[t].page))):
+                z = np.round(z, 6)
+                for positive in (False, True):
+                    pick = np.flatnonzero(free & ((z if positive else -z) >= least))
+                    pick = pick[np.lexsort((ids[pick], -np.abs(z[pick])))[:most]]
+                    if len(pick):
+                        part, n = batch.take(pa.array(pick)), len(pick)
+                        said = [pa.array([t] * n), pa.array([v] * n, pa.int32()), pa.array([positive] * n), pa.array(np.abs(z[pick]))]
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *said], names=schema.fieldNames())
+
+    found = map_batches(table.select(*carried), run, schema)
+    key = ["target", "view", "positive"]
+    ranks = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.desc("sure"), "row"))  # equal rows share a rank
+    best = found.withColumn("rank", ranks).where(F.col("rank") <= most).dropDuplicates([*key, "row"])
+    return best.drop("rank").orderBy(*key, F.desc("sure"), "row").toArrow()
 
 
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -159,10 +159,10 @@ def test_classifier_defined_cases(spark):
 
 
 def some_texts(spark, n, marked):
-    """``n`` documents of invented words; those in ``marked`` hold two words of their own."""
+    """``n`` documents of invented words; those in ``marked`` hold six words of their own."""
     pick, rows = random.Random(9), []
     for i in range(n):
-        words = [f"w{pick.randint(0, 400)}" for _ in range(40)] + ["vile", "scum"] * 3 * (i in marked)
+        words = [f"w{pick.randint(0, 400)}" for _ in range(40)] + ["vile", "scum", "foul", "rot", "bile", "muck"] * 6 * (i in marked)
         pick.shuffle(words)
         rows.append((i, " ".join(words), "en", "s", 200))
     return spark.createDataFrame(rows, DOCS)
@@ -189,6 +189,29 @@ def test_classifier_keeps_all_where_every_label_is_positive(spark):
     assert len(got) == 50 and all(r.accepted and r.low_score == 1 for r in got)
 
 
+def test_classifier_views_teach_over_all_documents(spark, monkeypatch):
+    toxic = set(range(0, 3000, 5))
+    docs = some_texts(spark, 3000, toxic)
+    docs = docs.union(docs.where("doc_id = 10"))  # equal rows are picked once
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    taught, plain = [], cotraining.Fitting.learn
+
+    def learn(self, view, x, said, rows):
+        taught.append((view, list(said), list(rows)))
+        plain(self, view, x, said, rows)
+
+    monkeypatch.setattr(cotraining.Fitting, "learn", learn)
+    model = cotraining.train(docs, labels, labelled=600, per_round=40)  # labels of all documents, 600 of them in the sample
+    by_words = [(said, rows) for view, said, rows in taught if view == 1]
+    assert by_words[0][0].count(1.0) == 20 == by_words[0][0].count(0.0)  # the most certain of either class
+    assert len(by_words) == 3 and all(len(set(rows)) == len(rows) for _, rows in by_words)
+    assert sum(len(rows) for _, rows in by_words) == len({r for _, rows in by_words for r in rows})
+    ids = {r.row: r.doc_id for r in docs.select(F.xxhash64("doc_id", *cotraining.NEEDED).alias("row"), "doc_id").collect()}
+    assert all((ids[r] in toxic) == (c == 1) for said, rows in by_words for c, r in zip(said, rows))
+    sizes = np.log1p([len(r.text) for r in docs.collect()])
+    assert np.isclose(model.centre[1], sizes.mean()) and np.isclose(model.spread[1], sizes.std() + 1e-6)
+
+
 def test_pipeline_stages_leave_out_what_they_should(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
