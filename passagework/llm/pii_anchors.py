@@ -12,8 +12,10 @@ match that fails its check is dropped and not tried again:
 * card ``[0-9]([\\x20-]?[0-9])+`` with 13 to 19 digits that pass the Luhn check
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` with 9 to 15 digits
 
-The method adds url (scheme anchors), address (house number before a street word) and account (a cue word
-and an identifier with at least four digits).
+The method adds url (scheme anchors), address (house number before a street word or its abbreviation) and account
+(a cue word in any case, then marks and fillers such as ``number`` or ``is``, and an identifier of 6 to 34 letters
+and digits with at least four digits). Groups of an identifier may be parted by single spaces or hyphens: an IBAN
+ends where its check digits hold, any other identifier takes further groups after a space while they are all digits.
 
 Defined cases: null is the empty text; equal rows give equal results; a text without anchors has no spans.
 """
@@ -40,7 +42,11 @@ LOCAL, LABEL, PHONE = ALNUM | set("._%+-"), ALNUM | {"-"}, DIGITS | set(" ().-")
 URL_END = frozenset(" \t\r\n\"'<>|\\^`{}")
 SCHEMES = ("http", "https", "ftp")
 STREETS = ("street", "avenue", "road", "boulevard", "lane", "drive", "straße", "strasse", "rue", "calle")
+#: These also end common words or are titles, so they and the words up to the house number begin with a capital or digit.
+SHORT = ("st", "ave", "rd", "blvd", "ln", "dr")
 CUES = ("account", "acct", "iban", "passport", "ssn", "customer id", "user id")
+FILLERS = ("number", "no", "nr", "num", "id", "is", "was", "code")
+BETWEEN = frozenset(" :#=.")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -50,10 +56,9 @@ def _automaton() -> ahocorasick.Automaton:
     auto.add_word("@", ("at", 1))
     auto.add_word("+", ("plus", 1))
     auto.add_word("://", ("scheme", 3))
-    for kind, found in (("street", STREETS), ("cue", CUES)):
+    for kind, found in (("street", STREETS), ("short", SHORT), ("cue", CUES)):
         for w in found:
-            for form in {w, w.capitalize(), w.upper()}:
-                auto.add_word(form, (kind, len(form)))
+            auto.add_word(w, (kind, len(w)))
     auto.make_automaton()
     return auto
 
@@ -151,21 +156,47 @@ def address_at(text: str, start: int, end: int, floor: int) -> tuple[int, int] |
     return None
 
 
+def groups(text: str, i: int) -> list[int]:
+    """Ends of the runs of letters and digits from ``i`` on that a single space or hyphens part, up to 34 characters."""
+    ends, size = [], 0
+    while (far := run_of(text, i, ALNUM)) > i and (size := size + far - i) <= 34:
+        ends.append(far)
+        i = far + 1 if text[far : far + 1] == " " else run_of(text, far, {"-"})
+        if i == far:
+            break
+    return ends
+
+
+def iban(name: str) -> bool:
+    """Two letters, two check digits and 11 to 30 more that give 1 modulo 97."""
+    if not (15 <= len(name) <= 34 and name[:2].isalpha() and name[2:4].isdigit()):
+        return False
+    return int("".join(str(int(c, 36)) for c in name[4:] + name[:4])) % 97 == 1
+
+
 def account_at(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The identifier after a cue: ``account no: 12-345678``."""
+    """The identifier after a cue: ``account no: 12-345678``, ``IBAN DE89 3704 0044 0532 0130 00``."""
     if start and text[start - 1].isalnum():
         return None
-    i = run_of(text, end, set(" :#=."))
-    for word in ("number", "no", "nr"):
-        if text[i : i + len(word)].lower() == word and not text[i + len(word) : i + len(word) + 1].isalnum():
-            i = run_of(text, i + len(word), set(" :#=."))
+    i = run_of(text, end, BETWEEN)
+    for _ in range(3):
+        far = run_of(text, i, ALNUM)
+        if i == end or text[i:far].lower() not in FILLERS:
             break
-    if i == end or i - end > 16:
+        i = run_of(text, far, BETWEEN)
+    if i == end or i - end > 24:
         return None
-    far = run_of(text, i, LABEL)
-    while far > i and text[far - 1] == "-":
-        far -= 1
-    return (i, far) if 6 <= far - i <= 34 and sum(c in DIGITS for c in text[i:far]) >= 4 else None
+    ends = groups(text, i)
+    plain = lambda far: text[i:far].replace(" ", "").replace("-", "")
+    for far in reversed(ends):
+        if iban(plain(far)):
+            return i, far
+    stop = None
+    for k, far in enumerate(ends):
+        if k and text[ends[k - 1]] == " " and not (text[ends[k - 1] + 1 : far].isdigit() and any(c in DIGITS for c in text[i : ends[k - 1]])):
+            break
+        stop = far
+    return (i, stop) if stop and 6 <= len(plain(stop)) and sum(c in DIGITS for c in text[i:stop]) >= 4 else None
 
 
 class Finder:
@@ -182,7 +213,11 @@ class Finder:
                 out[kind].append(span)
                 done[kind] = span[1]
 
-        for last, (anchor, size) in self.auto.iter(text or ""):
+        text = text or ""
+        lower = text.lower()
+        if len(lower) != len(text):  # a letter that grows in lower case would move all positions
+            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for last, (anchor, size) in self.auto.iter(lower):
             i = last + 1 - size
             if anchor == "digit":
                 if i >= done["card"]:
@@ -206,6 +241,10 @@ class Finder:
                     keep("url", url_at(text, i, done["url"]))
             elif anchor == "street":
                 keep("address", address_at(text, i, last + 1, done["address"]))
+            elif anchor == "short":
+                if i and text[i - 1] == " " and text[i].isupper() and (span := address_at(text, i, last + 1, done["address"])):
+                    words = text[span[0] : i].split()[1:]
+                    keep("address", span if words and all(w[0].isupper() or w[0] in DIGITS for w in words) else None)
             else:
                 keep("account", account_at(text, i, last + 1))
         return [(k, a, b) for k in KINDS for a, b in out[k]]

@@ -104,6 +104,26 @@ def test_personal_data_added_kinds_and_redaction():
     assert pii_anchors.redacted(t, spans) == "See [URL]. I live at [ADDRESS], account no: [ACCOUNT]; write to [EMAIL]"
 
 
+def test_personal_data_grouped_accounts_and_any_case():
+    for t, kind, want in [
+        ("IBAN DE89 3704 0044 0532 0130 00 and more", "account", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 2024", "account", "GB82 WEST 1234 5698 7654 32"),
+        ("Account number: 1234 5678 9012, thanks", "account", "1234 5678 9012"),
+        ("my account is 12345678 since May", "account", "12345678"),
+        ("İ Customer ID 445566", "account", "445566"),
+        ("User ID: ab-1234-99", "account", "ab-1234-99"),
+        ("account no: 12--345678", "account", "12--345678"),
+        ("pAsSpOrT no. is X1234567", "account", "X1234567"),
+        ("at 12 Oak St. today", "address", "12 Oak St"),
+        ("at 7 Long Elm AVE, today", "address", "7 Long Elm AVE"),
+        ("at 221 Hill Rd", "address", "221 Hill Rd"),
+    ]:
+        spans = pii_anchors.Finder().spans(t)
+        assert (kind, want) in [(k, t[a:b]) for k, a, b in spans], t
+    for t in ["account is closed", "account for 2024 sales", "12 stones", "the 12 best", "20 hard", "12 months with Dr. Oak", "May 12 St. Ives", "the account was 1234"]:
+        assert not pii_anchors.Finder().spans(t), t
+
+
 def test_personal_data_query(spark, folder, odd):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
     want = sorted((i or -1, sha(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t)))) for i, t in docs.collect())
