@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import balanced_shards, blob_ledger, bpe, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index
+from passagework.llm import balanced_shards, blob_ledger, bpe, content_sort, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index
 
 from passagework.session import scratch_path
 
@@ -124,3 +124,18 @@ def op9_dart_minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op11_content_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.classes(table(spark, folder, "documents"))
+
+
+ORACLES["op11_content_sort"] = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY t)
+"""
