@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import balanced_shards, blob_ledger, bpe, content_sort, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index
+from passagework.llm import balanced_shards, blob_ledger, bpe, content_sort, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index, whitening
 
 from passagework.session import scratch_path
 
@@ -139,3 +139,8 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY t)
 """
+
+
+@query
+def op12_block_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
