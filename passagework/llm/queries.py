@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import balanced_shards, blob_ledger, bpe, content_sort, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index, whitening
+from passagework.llm import balanced_shards, blob_ledger, bpe, content_sort, conversation_repair, cotraining, dart_minhash, pii_anchors, spaced_seeds, topk_columnar, trie_counts, warc_index, whitening
 
 from passagework.session import scratch_path
 
@@ -144,3 +144,8 @@ FROM d WINDOW same AS (PARTITION BY t)
 @query
 def op12_block_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_branch_bound_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, folder, "conversations"))
