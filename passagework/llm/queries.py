@@ -149,3 +149,53 @@ def op12_block_whitening(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_branch_bound_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair(table(spark, folder, "conversations"))
+
+
+ORACLES["op13_branch_bound_repair"] = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(
+      list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS UBIGINT)),
+      lambda r, b: list_reduce(range(8), lambda s, j: xor(s >> 1, (s & 1) * 3988292384), xor(r, b)), CAST(4294967295 AS UBIGINT)
+    ), 4294967295) % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE k <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS x,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d
+), f AS (
+  SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair,
+    CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault FROM o
+), w AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS t, 0 AS c, '' AS a, '' AS l FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, t, m.c, m.a, m.l FROM (
+    SELECT conv_id, i, t, min({'c': c, 'a': a, 'l': l}) AS m FROM (
+      SELECT w.conv_id, f.i, e.t, w.c + 3 * ins.n + e.c AS c, w.a || ins.a || e.a AS a, w.l || ins.l || e.l AS l
+      FROM w
+      JOIN (VALUES ('', 0, '', '', ''), ('s', 0, '', '', 's'), ('u', 0, '', '', 'u'), ('a', 0, '', '', 'a'), ('', 1, 'I', chr(10) || 'user:', 'u'), ('s', 1, 'I', chr(10) || 'user:', 'u'),
+        ('u', 1, 'I', chr(10) || 'assistant:', 'a'), ('a', 1, 'I', chr(10) || 'user:', 'u'), ('', 2, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'a'),
+        ('s', 2, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'a')) AS ins(was, n, a, l, t) ON ins.was = w.t
+      JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1,
+      LATERAL (
+        SELECT 4 AS c, 'D' AS a, '' AS l, ins.t AS t
+        UNION ALL SELECT CASE fault WHEN 't' THEN 3 ELSE 0 END, 'K', chr(10) || f.role || ':' || f.text, f.x
+          WHERE fault IN ('t', '.') AND (f.x = 's' AND ins.t = '' OR f.x = CASE ins.t WHEN 'u' THEN 'a' ELSE 'u' END)
+        UNION ALL SELECT CASE fault WHEN 't' THEN 6 ELSE 3 END, 'R', chr(10) || CASE ins.t WHEN 'u' THEN 'assistant:' ELSE 'user:' END || f.text, CASE ins.t WHEN 'u' THEN 'a' ELSE 'u' END
+          WHERE fault IN ('t', '.')
+      ) AS e
+    ) GROUP BY conv_id, i, t
+  )
+), n AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS i FROM f GROUP BY conv_id
+), b AS (
+  SELECT w.conv_id, min({'c': w.c + 3 * z.n, 'a': w.a || z.a, 'l': w.l || z.l}) AS m FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = w.i
+  JOIN (VALUES ('', 0, '', ''), ('a', 0, '', ''), ('u', 1, 'I', chr(10) || 'assistant:'), ('s', 2, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) AS z(t, n, a, l) ON z.t = w.t
+  GROUP BY w.conv_id
+)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(m.c, 0) AS BIGINT) AS cost, coalesce(m.a, '') AS audit, sha256(substr(coalesce(m.l, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
