@@ -7,7 +7,10 @@ ever emitted and no group grows with the data. A query set that is proven small
 is broadcast instead, and then the vectors are not shuffled at all.
 
 Scores are inner products of unit vectors, rounded to 12 digits so that equal
-vectors tie exactly; ties go to the smaller id.
+vectors tie exactly; ties go to the smaller id. A query meets the vectors of its
+own length; page images are cut to the shorter of both sides, pair by pair. Rows
+without an id and vectors that are null, empty or not finite take no part, and
+``vector_report`` counts them.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from passagework.functions.vectors import is_valid_vector
+from passagework.functions.vectors import is_valid_vector, l2_normalize
 
 QUERY_BLOCK = 2048  # query rows of one matrix product
 SHARD_ROWS = 131072  # vector rows of one shard
@@ -28,39 +33,39 @@ BROADCAST_QUERIES = 4096  # a larger query set is never broadcast ...
 BROADCAST_BYTES = 64 << 20  # ... and neither are wider vectors
 
 RESULT = "query_id bigint, id bigint, score double"
-
-
-def common_length(df: DataFrame) -> int:
-    """The most frequent length of vectors of finite values; 0 if there is none."""
-    size = F.size("embedding")
-    sound = df.filter(is_valid_vector(F.col("embedding"), size) & (size > 0))
-    row = sound.groupBy(size.alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return row["size"] if row else 0
-
-
-def usable(df: DataFrame, dimension: int) -> DataFrame:
-    """Rows that a search may see: ``dimension`` finite values. Null, ragged and NaN vectors are left out."""
-    return df.filter(is_valid_vector(F.col("embedding"), dimension))
-
-
-def _cut_to_smaller(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable rows of both sides, cut to the smaller dimension."""
-    sizes = common_length(a), common_length(b)
-    cut = F.slice("embedding", 1, min(sizes)).alias("embedding")
-    return tuple(usable(df, n).withColumn("embedding", cut) for df, n in zip((a, b), sizes))
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Arrow list column to a float64 matrix of unit rows; zero rows stay zero."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks)
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(array), -1) if len(array) else np.zeros((0, 1))
+NO_CELL = -1  # vectors whose length is not that of the centroids
+
+
+def by_length(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, float64 matrix) of the vectors of each length. Null, empty and non-finite ones are left out."""
+    array = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(array):
+        return []
+    lengths = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+    out = []
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == d)
+        some = array if len(rows) == len(array) else array.take(pa.array(rows))
+        m = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d)
+        sound = np.isfinite(m).all(axis=1)
+        out.append((rows[sound], m[sound]))
+    return out
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay zero."""
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def vector_report(vectors: DataFrame) -> DataFrame:
+    """What searches do with the vectors: ``verdict`` (searched, no vector, not finite), ``length``, ``vectors``."""
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    length = F.when(size > 0, size).otherwise(0)
+    verdict = F.when(length == 0, "no vector").when(is_valid_vector(F.col("embedding"), size), "searched").otherwise("not finite")
+    return vectors.groupBy(verdict.alias("verdict"), length.alias("length")).agg(F.count("*").alias("vectors"))
+
+
 def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     """The k best (row, id, score) per row by score, then by smaller id."""
     order = np.lexsort((ids, -scores, rows))
@@ -111,20 +116,30 @@ def _small(queries: DataFrame, limit: int) -> pa.Table | None:
     return head if head.num_rows <= limit and head.nbytes <= BROADCAST_BYTES else None
 
 
-def _broadcast_topk(names: np.ndarray, queries: np.ndarray, vectors: DataFrame, k: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((names, queries))
+def _named(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(names, unit rows) of query vectors, length by length."""
+    names = table.column("query_id").to_numpy()
+    return [(names[rows], _unit(m)) for rows, m in by_length(table.column("embedding")) if len(rows)]
+
+
+def _broadcast_topk(head: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast({m.shape[1]: (names, m) for names, m in _named(head)})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        blocks = [(ids[i : i + QUERY_BLOCK], _Running(matrix[i : i + QUERY_BLOCK], k)) for i in range(0, len(ids), QUERY_BLOCK)]
+        blocks = {
+            d: [(ids[i : i + QUERY_BLOCK], _Running(matrix[i : i + QUERY_BLOCK], k)) for i in range(0, len(ids), QUERY_BLOCK)]
+            for d, (ids, matrix) in shared.value.items()
+        }
         for batch in batches:
-            if batch.num_rows:
-                v_ids = batch.column("id").to_numpy(zero_copy_only=False)
-                v = _matrix(batch.column("embedding"))
-                for _, running in blocks:
-                    running.add(v_ids, v)
-        for block_ids, running in blocks:
-            yield from _table(block_ids, running).to_batches()
+            v_ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for rows, m in by_length(batch.column("embedding")):
+                if found := blocks.get(m.shape[1]):
+                    unit = _unit(m)
+                    for _, running in found:
+                        running.add(v_ids[rows], unit)
+        for found in blocks.values():
+            for block_ids, running in found:
+                yield from _table(block_ids, running).to_batches()
 
     return vectors.mapInArrow(search, RESULT)
 
@@ -145,13 +160,15 @@ def keyed_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int)
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         out = [pa.table({"query_id": pa.array(empty), "id": pa.array(empty), "score": pa.array(np.zeros(0))})]
-        for at in range(0, left.num_rows, QUERY_BLOCK):
-            part = left.slice(at, QUERY_BLOCK)
-            running = _Running(_matrix(part.column("embedding")), k)
-            for v_at in range(0, right.num_rows, SLICE_ROWS):
-                some = right.slice(v_at, SLICE_ROWS)
-                running.add(some.column("id").to_numpy(), _matrix(some.column("embedding")))
-            out.append(_table(part.column("query_id").to_numpy(), running))
+        ids = right.column("id").to_numpy()
+        held = {m.shape[1]: (ids[rows], m) for rows, m in by_length(right.column("embedding"))}
+        for names, matrix in _named(left):
+            v_ids, m = held.get(matrix.shape[1], (empty, np.zeros((0, 1))))
+            for at in range(0, len(names) if len(v_ids) else 0, QUERY_BLOCK):
+                running = _Running(matrix[at : at + QUERY_BLOCK], k)
+                for v_at in range(0, len(v_ids), SLICE_ROWS):
+                    running.add(v_ids[v_at : v_at + SLICE_ROWS], _unit(m[v_at : v_at + SLICE_ROWS]))
+                out.append(_table(names[at : at + QUERY_BLOCK], running))
         return pa.concat_tables(out)
 
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, RESULT)
@@ -164,15 +181,11 @@ def exact_topk(
 
     ``queries``: query_id, embedding; ``vectors``: id, embedding.
     """
-    dimension = common_length(vectors)
-    q = usable(queries.select(F.col("query_id").cast("bigint"), "embedding"), dimension)
-    v = usable(vectors.select(F.col("id").cast("bigint"), "embedding"), dimension)
+    q = queries.select(F.col("query_id").cast("bigint"), "embedding").where("query_id is not null")
+    v = vectors.select(F.col("id").cast("bigint"), "embedding").where("id is not null")
     head = _small(q, broadcast_limit)
     if head is not None:
-        if not head.num_rows:
-            return merge_topk(vectors.sparkSession.createDataFrame([], RESULT), k)
-        names = head.column("query_id").to_numpy()
-        partial = _broadcast_topk(names, _matrix(head.column("embedding")), v, k)
+        partial = _broadcast_topk(head, v, k)
     else:
         shards = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-v.count() // SHARD_ROWS))
         partial = _grid_topk(q, v, k, shards, max(1, -(-q.count() // QUERY_BLOCK)))
@@ -182,32 +195,42 @@ def exact_topk(
 # ---------------------------------------------------------------- approximate search
 
 
-def train_cells(vectors: DataFrame, cells: int = 100, seed: int = 42, iterations: int = 10) -> np.ndarray:
-    """Centroids of k-means cells over unit vectors, shape (cells, dimension)."""
+def train_cells(vectors: DataFrame, cells: int = 100, seed: int = 42, iterations: int = 10, dimension: int | None = None) -> np.ndarray:
+    """Centroids of k-means cells over unit vectors, shape (cells, dimension).
+
+    ``dimension`` may be left out where all usable vectors are of one length.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from passagework.functions.vectors import l2_normalize
-
-    data = usable(vectors, common_length(vectors)).select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
+    size = F.size("embedding")
+    sound = vectors.filter(is_valid_vector(F.col("embedding"), size) & (size > 0))
+    if dimension is None:
+        lengths = sorted(r[0] for r in sound.select(size).distinct().collect())
+        if len(lengths) != 1:
+            raise ValueError(f"vectors of the lengths {lengths}: name the dimension to train")
+        dimension = lengths[0]
+    data = sound.filter(size == dimension).select(array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(data)
     return np.array(model.clusterCenters())
 
 
 def _nearest_cells(df: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
-    """Adds the array ``cells`` of the n cells nearest to each unit vector; narrow."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
+    """Adds ``cells``, the n cells nearest to each unit vector: ``NO_CELL`` for other lengths, none where a vector is unusable."""
     schema = StructType(df.schema.fields + [StructField("cells", ArrayType(IntegerType()))])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (centroids**2).sum(axis=1) / 2
         for batch in batches:
-            if batch.num_rows:
-                distance = half[None, :] - _matrix(batch.column("embedding")) @ centroids.T
-                near = np.argsort(distance, axis=1, kind="stable")[:, :n].astype(np.int32)
-                cells = pa.array(list(near), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
+            near: list = [[]] * batch.num_rows
+            for rows, m in by_length(batch.column("embedding")):
+                if m.shape[1] == centroids.shape[1]:
+                    found = np.argsort(half[None, :] - _unit(m) @ centroids.T, axis=1, kind="stable")[:, :n].tolist()
+                else:
+                    found = [[NO_CELL]] * len(rows)
+                for row, cells in zip(rows.tolist(), found):
+                    near[row] = cells
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
     return df.mapInArrow(assign, schema)
 
@@ -225,9 +248,8 @@ def approximate_topk(
     A large cell is split into shards of bounded size, whose number is read from
     a count per cell, so a cell with a third of all rows is many small tasks.
     """
-    asked = usable(queries.select(F.col("query_id").cast("bigint"), "embedding"), centroids.shape[1])
-    q = _nearest_cells(asked, centroids, nprobe)
-    v = celled.select(F.col("id").cast("bigint"), "embedding", "cell")
+    q = _nearest_cells(queries.select(F.col("query_id").cast("bigint"), "embedding").where("query_id is not null"), centroids, nprobe)
+    v = celled.select(F.col("id").cast("bigint"), "embedding", "cell").where("id is not null")
     # One small row per cell: at most as many as there are centroids.
     parts = F.broadcast(
         v.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"))
@@ -267,15 +289,33 @@ def mean_query_vectors(tokens: DataFrame, dimension: int | None = None) -> DataF
     )
 
 
-def _page_scores(queries: np.ndarray, names: np.ndarray, batch: pa.Table):
-    """Best score of each page for each query: (query, doc, page, score) arrays."""
-    docs, pages = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("page").to_numpy(zero_copy_only=False)
+def _page_scores(queries: np.ndarray, batch: pa.Table):
+    """Best score of each page for each query (raw rows of one length): (docs, pages, scores) or None without patches."""
+    groups = [(rows, m) for rows, m in by_length(batch.column("embedding")) if len(rows)]
+    if not groups:
+        return None
+    at = np.concatenate([rows for rows, _ in groups])
+    n = [min(queries.shape[1], m.shape[1]) for _, m in groups]
+    scores = np.hstack([np.round(_unit(queries[:, :d]) @ _unit(m[:, :d]).T, 12) + 0.0 for d, (_, m) in zip(n, groups)])
+    docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[at]
+    pages = batch.column("page").to_numpy(zero_copy_only=False)[at]
     order = np.lexsort((pages, docs))
     docs, pages = docs[order], pages[order]
-    vectors = _matrix(batch.column("embedding"))[order]
     starts = np.r_[0, np.flatnonzero((np.diff(docs) != 0) | (np.diff(pages) != 0)) + 1]
-    best = np.maximum.reduceat(np.round(queries @ vectors.T, 12) + 0.0, starts, axis=1)
-    return docs[starts], pages[starts], best
+    return docs[starts], pages[starts], np.maximum.reduceat(scores[:, order], starts, axis=1)
+
+
+def _pages_table(query_id=(), doc_id=(), page=(), score=()) -> pa.Table:
+    return pa.table({
+        "query_id": pa.array(query_id, pa.int64()), "doc_id": pa.array(doc_id, pa.int64()),
+        "page": pa.array(page, pa.int32()), "score": pa.array(score, pa.float64()),
+    })
+
+
+def _raw(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(names, values) of query vectors, length by length."""
+    names = table.column("query_id").to_numpy()
+    return [(names[rows], m) for rows, m in by_length(table.column("embedding")) if len(rows)]
 
 
 def maxsim_pages(requests: DataFrame, queries: DataFrame, patches: DataFrame) -> DataFrame:
@@ -284,7 +324,6 @@ def maxsim_pages(requests: DataFrame, queries: DataFrame, patches: DataFrame) ->
     Patches of a document are spread over shards of bounded size, because a
     maximum of maxima is the maximum; so a document with very many patches is no hot group.
     """
-    queries, patches = _cut_to_smaller(queries, patches)
     sizes = patches.groupBy("doc_id").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("parts"))
     blocks = requests.groupBy("doc_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = (
@@ -302,19 +341,12 @@ def maxsim_pages(requests: DataFrame, queries: DataFrame, patches: DataFrame) ->
     )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "page": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
-        names = left.column("query_id").to_numpy()
-        docs, pages, best = _page_scores(_matrix(left.column("embedding")), names, right)
-        n, m = best.shape
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat(names, m), pa.int64()),
-                "doc_id": pa.array(np.tile(docs, n), pa.int64()),
-                "page": pa.array(np.tile(pages, n), pa.int32()),
-                "score": pa.array(best.ravel(), pa.float64()),
-            }
-        )
+        out = [_pages_table()]
+        for names, m in _raw(left):
+            if found := _page_scores(m, right):
+                docs, pages, best = found
+                out.append(_pages_table(np.repeat(names, len(docs)), np.tile(docs, len(names)), np.tile(pages, len(names)), best.ravel()))
+        return pa.concat_tables(out)
 
     keys = ["doc_id", "shard", "qb"]
     left = asked.select(*keys, "query_id", "embedding")
@@ -325,6 +357,8 @@ def maxsim_pages(requests: DataFrame, queries: DataFrame, patches: DataFrame) ->
 
 def _best_documents(found: pa.Table, k: int) -> pa.Table:
     """The k best documents per query, each with its best score and the first page that has it."""
+    if not found.num_rows:
+        return found
     q, d = found.column("query_id").to_numpy(), found.column("doc_id").to_numpy()
     p, s = found.column("page").to_numpy(), found.column("score").to_numpy()
     order = np.lexsort((p, -s, d, q))
@@ -351,12 +385,14 @@ def visual_topk(queries: DataFrame, patches: DataFrame, k: int, broadcast_limit:
     Each shard keeps, per query, its own k best documents: a document among the
     global k best is also among the k best of the shard that holds its best patch.
     """
-    p = patches.select(F.col("doc_id").cast("bigint"), F.col("page").cast("int"), "embedding")
-    q = queries.select(F.col("query_id").cast("bigint"), "embedding")
-    q, p = _cut_to_smaller(q, p)
+    p = patches.select(F.col("doc_id").cast("bigint"), F.col("page").cast("int"), "embedding").where("doc_id is not null and page is not null")
+    q = queries.select(F.col("query_id").cast("bigint"), "embedding").where("query_id is not null")
 
     def shard_best(names, queries_m, batch):
-        docs, pages, best = _page_scores(queries_m, names, batch)
+        found = _page_scores(queries_m, batch)
+        if found is None:
+            return _pages_table()
+        docs, pages, best = found
         starts = np.r_[0, np.flatnonzero(np.diff(docs)) + 1]
         top = np.maximum.reduceat(best, starts, axis=1)
         # The first page that reaches the document's best score.
@@ -364,31 +400,22 @@ def visual_topk(queries: DataFrame, patches: DataFrame, k: int, broadcast_limit:
         n, m = top.shape
         rows, cols = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
         rows, cols, scores = _best(rows, cols, top.ravel(), k)
-        return pa.table(
-            {
-                "query_id": pa.array(names[rows], pa.int64()),
-                "doc_id": pa.array(docs[starts][cols], pa.int64()),
-                "page": pa.array(first[rows, cols].astype(np.int32), pa.int32()),
-                "score": pa.array(scores, pa.float64()),
-            }
-        )
+        return _pages_table(names[rows], docs[starts][cols], first[rows, cols], scores)
 
     head = _small(q, broadcast_limit)
-    if head is not None and head.num_rows:
-        shared = p.sparkSession.sparkContext.broadcast(
-            (head.column("query_id").to_numpy(), _matrix(head.column("embedding")))
-        )
+    if head is not None:
+        shared = p.sparkSession.sparkContext.broadcast(_raw(head))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, m = shared.value
             kept: pa.Table | None = None
             for batch in batches:
-                for at in range(0, len(names) if batch.num_rows else 0, QUERY_BLOCK):
-                    part = slice(at, at + QUERY_BLOCK)
-                    new = shard_best(names[part], m[part], pa.Table.from_batches([batch]))
-                    kept = new if kept is None else pa.concat_tables([kept, new])
-                if kept is not None and batch.num_rows:
-                    kept = _best_documents(kept, k)
+                table = pa.Table.from_batches([batch])
+                new = [
+                    shard_best(names[at : at + QUERY_BLOCK], m[at : at + QUERY_BLOCK], table)
+                    for names, m in shared.value for at in range(0, len(names), QUERY_BLOCK)
+                ]
+                if new:
+                    kept = _best_documents(pa.concat_tables([*([kept] if kept is not None else []), *new]), k)
             if kept is not None:
                 yield from kept.combine_chunks().to_batches()
 
@@ -404,9 +431,7 @@ def visual_topk(queries: DataFrame, patches: DataFrame, k: int, broadcast_limit:
         )
 
         def search_pair(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "page": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
-            return shard_best(a.column("query_id").to_numpy(), _matrix(a.column("embedding")), b)
+            return pa.concat_tables([_pages_table(), *(shard_best(names, m, b) for names, m in _raw(a))])
 
         partial = left.groupBy("shard", "qb").cogroup(right.groupBy("shard", "qb")).applyInArrow(search_pair, PAGE_RESULT)
     best = partial.groupBy("query_id", "doc_id").agg(

@@ -105,7 +105,8 @@ def embed_with(
 
 
 def cache_key(text: Column, model: str) -> Column:
-    return F.md5(F.concat(F.lit(model + ":"), text))
+    """Null is embedded, and kept, like the empty text."""
+    return F.md5(F.concat(F.lit(model + ":"), F.coalesce(text, F.lit(""))))
 
 
 def cached_embed(texts: DataFrame, cache: DataFrame, embedder: Embedder, model: str) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +115,7 @@ def cached_embed(texts: DataFrame, cache: DataFrame, embedder: Embedder, model:
     The embedder sees each missing text once; repeats and cached texts are looked up.
     """
     keyed = texts.withColumn("key", cache_key(F.col("text"), model))
-    missing = keyed.select("key", "text").join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    missing = keyed.select("key", F.coalesce("text", F.lit("")).alias("text")).join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
     fresh = embedder(missing).select("key", "embedding")
     known = cache.select("key", "embedding", F.lit(True).alias("was_cached")).unionByName(
         fresh.withColumn("was_cached", F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
 from passagework.operators import blocks as B
+from passagework.operators import cells as CE
 from passagework.operators import chunking as C
 from passagework.operators import embedding as E
 from passagework.plans import sql_parts as S
@@ -126,11 +127,50 @@ def find_most_similar(spark, folder):
     return _rounded(B.exact_topk(B.mean_query_vectors(tokens), vectors(spark, folder), 5))
 
 
+@query("exact_search_lengths", _sql_topk(5).replace("embedding::DOUBLE[]", "embedding[1 : 24 + 8 * CAST(vec_id % 3 AS INT)]::DOUBLE[]").replace(
+    "FROM embeddings a, (SELECT * FROM embeddings WHERE true) b", "FROM embeddings a JOIN embeddings b ON a.vec_id % 3 = b.vec_id % 3").replace(
+    "a.embedding[1 : 24 + 8 * CAST(vec_id", "a.embedding[1 : 24 + 8 * CAST(a.vec_id").replace("b.embedding[1 : 24 + 8 * CAST(vec_id", "b.embedding[1 : 24 + 8 * CAST(b.vec_id"))
+def exact_search_lengths(spark, folder):
+    """Vectors of three lengths in one table; each query meets its own."""
+    cut = lambda df, c: df.withColumn("embedding", F.slice("embedding", F.lit(1), (24 + 8 * (F.col(c) % 3)).cast("int")))
+    return _rounded(B.exact_topk(cut(as_queries(spark, folder), "query_id"), cut(vectors(spark, folder), "id"), 5))
+
+
+@query(
+    "vector_report",
+    """SELECT verdict, length, count(*) AS vectors FROM (SELECT CASE WHEN vec_id % 7 = 0 THEN 'no vector' WHEN vec_id % 11 <> 0 AND vec_id % 13 = 0 THEN 'not finite' ELSE 'searched' END AS verdict,
+      CASE WHEN vec_id % 7 = 0 THEN 0 WHEN vec_id % 11 = 0 THEN 9 ELSE len(embedding) END AS length FROM embeddings) GROUP BY ALL""",
+)
+def vector_report(spark, folder):
+    return B.vector_report(_spoiled(spark, folder))
+
+
+def cell_index(spark, folder):
+    path = scratch_path(spark, "cells")
+    CE.build(vectors(spark, folder), path, cells=20, iterations=5)
+    return path
+
+
+@query("cell_search", _sql_topk(5).replace("SELECT * FROM (SELECT a.vec_id", "SELECT query_id, id, score, rank, true AS proved FROM (SELECT a.vec_id"))
+def cell_search(spark, folder):
+    """Stored cells, probed until the bounds prove the result."""
+    return _rounded(CE.search(as_queries(spark, folder), cell_index(spark, folder), 5, nprobe=4))
+
+
+APPROX = {"nprobe": 14, "rounds": 1}  # of 20 cells: these vectors hardly cluster; recall 0.95
+
+
 @query("approx_search")
 def approx_search(spark, folder):
-    v = vectors(spark, folder)
-    centroids = B.train_cells(v, cells=20, iterations=5)
-    return _rounded(B.approximate_topk(as_queries(spark, folder), B.assign_cells(v, centroids), centroids, 5, nprobe=4))
+    """The bounded form; ``approx_recall`` holds it to a recall of 0.9."""
+    return _rounded(CE.search(as_queries(spark, folder), cell_index(spark, folder), 5, **APPROX))
+
+
+@query("approx_recall", "SELECT count(*) AS queries, true AS recall_reaches_90 FROM embeddings")
+def approx_recall(spark, folder):
+    found = CE.search(as_queries(spark, folder), cell_index(spark, folder), 5, **APPROX).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = B.exact_topk(as_queries(spark, folder), vectors(spark, folder), 5).select("query_id", "id")
+    return exact.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= F.lit(0.9) * F.count("*")).alias("recall_reaches_90"))
 
 
 def patches(spark, folder):
@@ -142,18 +182,16 @@ def patches(spark, folder):
 
 
 def token_queries(spark, folder):
-    """A query per label residue; its vectors of 48 values are cut to the shorter side."""
-    return embeddings(spark, folder).select((F.col("vec_id") % 20).alias("query_id"), F.slice("embedding", 1, 48).alias("embedding"))
+    """A query per residue; those with an even number have vectors of 48 values, so that search cuts the pages'."""
+    values = F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 48)).otherwise(F.col("embedding"))
+    return embeddings(spark, folder).select((F.col("vec_id") % 20).alias("query_id"), values.alias("embedding"))
 
 
 SQL_MAXSIM = """q AS (SELECT query_id, list(m ORDER BY i) AS v FROM (SELECT vec_id % 20 AS query_id, i, avg(x::DOUBLE) AS m FROM (
-    SELECT vec_id, unnest(embedding[1:48]) AS x, generate_subscripts(embedding[1:48], 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY query_id),
-  p AS (SELECT CAST(label AS BIGINT) AS doc_id, CAST(vec_id % 5 + 1 AS INT) AS page, embedding[1:48]::DOUBLE[] AS e FROM embeddings),
-  pages_scored AS (SELECT query_id, doc_id, page, max(round(list_cosine_similarity(v, e), 12)) AS score FROM q, p GROUP BY ALL)"""
-
-
-def _cut(df):
-    return df.withColumn("embedding", F.slice("embedding", 1, 48))
+    SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:48] ELSE embedding END AS e FROM embeddings)
+  ) GROUP BY ALL) GROUP BY query_id),
+  p AS (SELECT CAST(label AS BIGINT) AS doc_id, CAST(vec_id % 5 + 1 AS INT) AS page, embedding::DOUBLE[] AS e FROM embeddings),
+  pages_scored AS (SELECT query_id, doc_id, page, max(round(list_cosine_similarity(v, e[1:len(v)]), 12)) AS score FROM q, p GROUP BY ALL)"""
 
 
 @query(
@@ -163,7 +201,7 @@ def _cut(df):
 def maxsim_pages(spark, folder):
     q = B.mean_query_vectors(token_queries(spark, folder))
     own = q.select("query_id", F.explode(F.array(F.col("query_id") % 10, (F.col("query_id") + 3) % 10)).alias("doc_id"))
-    return _rounded(B.maxsim_pages(own, q, _cut(patches(spark, folder))))
+    return _rounded(B.maxsim_pages(own, q, patches(spark, folder)))
 
 
 SQL_VISUAL = f"""{SQL_MAXSIM}, docs AS (SELECT query_id, doc_id, max(score) AS score, arg_min(page, (-score, page)) AS page FROM pages_scored GROUP BY ALL),
@@ -173,20 +211,22 @@ SQL_VISUAL = f"""{SQL_MAXSIM}, docs AS (SELECT query_id, doc_id, max(score) AS s
 @query("visual_topk", f"WITH {SQL_VISUAL} SELECT query_id, doc_id, page, round(score, 6) AS score, rank FROM visual WHERE rank <= 5")
 def visual_topk(spark, folder):
     q = B.mean_query_vectors(token_queries(spark, folder))
-    return _rounded(B.visual_topk(q, _cut(patches(spark, folder)), 5))
+    return _rounded(B.visual_topk(q, patches(spark, folder), 5))
 
 
 @query("visual_topk_grid", f"WITH {SQL_VISUAL} SELECT query_id, doc_id, page, round(score, 6) AS score, rank FROM visual WHERE rank <= 5")
 def visual_topk_grid(spark, folder):
     q = B.mean_query_vectors(token_queries(spark, folder))
-    return _rounded(B.visual_topk(q, _cut(patches(spark, folder)), 5, broadcast_limit=0))
+    return _rounded(B.visual_topk(q, patches(spark, folder), 5, broadcast_limit=0))
 
 
 @query(
     "hybrid_fuse",
     f"""WITH {SQL_VISUAL},
+    w AS (SELECT query_id, list(m ORDER BY i) AS v FROM (SELECT vec_id % 20 AS query_id, i, avg(x::DOUBLE) AS m FROM (
+      SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY query_id),
     t AS (SELECT query_id, vec_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-      SELECT query_id, vec_id, round(list_cosine_similarity(v, embedding[1:48]::DOUBLE[]), 12) AS score FROM q, embeddings)),
+      SELECT query_id, vec_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 12) AS score FROM w, embeddings)),
     u AS (SELECT query_id, 'text' AS source, id, score, score * 0.6::DOUBLE AS weighted_score, 0 AS s, rank AS r FROM t WHERE rank <= 10
       UNION ALL SELECT query_id, 'visual', doc_id, score, score * (1.0::DOUBLE - 0.6::DOUBLE), 1, rank FROM visual WHERE rank <= 10)
     SELECT query_id, source, id, round(score, 6) AS score, round(weighted_score, 6) AS weighted_score, rank FROM (
@@ -194,8 +234,9 @@ def visual_topk_grid(spark, folder):
 )
 def hybrid_fuse(spark, folder):
     q = B.mean_query_vectors(token_queries(spark, folder))
-    text = B.exact_topk(q, _cut(vectors(spark, folder)), 10)
-    visual = B.visual_topk(q, _cut(patches(spark, folder)), 10).withColumnRenamed("doc_id", "id")
+    whole = B.mean_query_vectors(embeddings(spark, folder).select((F.col("vec_id") % 20).alias("query_id"), "embedding"))
+    text = B.exact_topk(whole, vectors(spark, folder), 10)
+    visual = B.visual_topk(q, patches(spark, folder), 10).withColumnRenamed("doc_id", "id")
     return _rounded(B.hybrid_fuse(text, visual, 5, 0.6)).withColumn("weighted_score", F.round("weighted_score", 6))
 
 

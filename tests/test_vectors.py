@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
 from passagework.operators import blocks as B
+from passagework.operators import cells as CE
 from passagework.operators import embedding as E
+from passagework.session import written
 from passagework.sources import vector_store as ST
 
 
@@ -74,6 +76,43 @@ def test_approximate_recall_and_hot_cell(spark, folder, monkeypatch):
     assert full == exact
 
 
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_stored_cells_are_exact_when_unbounded(spark, tmp_path, limit, monkeypatch):
+    """Clustered vectors in two batches, other lengths among them, with ties and zero vectors."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8)) * 4
+    base = centres[np.arange(200) % 6] + rng.normal(size=(200, 8)) * 0.3
+    base[50], base[60] = base[8], 0
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(300 + i, v[:3].tolist()) for i, v in enumerate(base[:9])] + [(400, None), (401, [float("nan")] * 8)]
+    stored = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    path = str(tmp_path / "cells")
+    CE.build(stored.where("id % 3 <> 0"), path, cells=6, iterations=5, dimension=8)
+    CE.append(stored.where("id % 3 = 0"), path, 1)
+    CE.append(stored.where("id % 3 = 0"), path, 1)  # put again
+    queries = stored.where("id % 9 = 0 or id = 60 or id >= 305").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(B, "SHARD_ROWS", 16)
+    got = CE.search(queries, path, 4, nprobe=1, broadcast_limit=limit).collect()
+    want = B.exact_topk(queries, stored, 4).collect()
+    assert sorted((r.query_id, r.rank, r.id, r.score) for r in got) == sorted((r.query_id, r.rank, r.id, r.score) for r in want)
+    assert all(r.proved for r in got)
+    once = CE.search(queries, path, 4, nprobe=1, rounds=1, broadcast_limit=limit).collect()
+    exact = {(r.query_id, r.id) for r in want}
+    assert all((r.query_id, r.id) in exact for r in once if r.proved) and any(r.proved for r in once if r.query_id < 200)
+
+
+def test_cells_not_asked_for_are_not_read(spark, folder, tmp_path):
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    path = str(tmp_path / "cells")
+    CE.build(v, path, cells=5, iterations=2)
+    stored = spark.read.parquet(f"{path}/vectors")
+    probes = v.limit(2).selectExpr("id as query_id", "embedding", "1 as cell")
+    left, right = CE.probe_plan(written(probes, "probes"), stored)
+    plan = right._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and right.select("cell").distinct().count() == 1
+    few = CE._probe_few(probes.toArrow(), stored, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "(cell" in few.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_normalize_cosine_validity(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, z array<float>")
     r = df.select(
@@ -153,6 +192,14 @@ def test_cache_meets_each_text_once(spark):
     assert (s.created, s.hits, s.misses, s.tokens, s.hit_rate) == (2, 2, 2, 5, 0.5)
 
 
+def test_cache_keeps_null_texts(spark):
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (4, None)], "id int, text string")
+    none = spark.createDataFrame([], "key string, embedding array<double>")
+    rows, fresh = E.cached_embed(texts, none, lambda m: m.withColumn("embedding", F.array(F.length("text").cast("double"))), "m")
+    assert sorted((r.id, r.text, r.embedding[0]) for r in rows.collect() if r.text is not None) == [(2, "", 0.0), (3, "x", 1.0)]
+    assert rows.count() == 4 and fresh.count() == 2
+
+
 def test_own_embedder_runs_in_batches(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bb", " ", "bad", "cc"])], "i int, text string").coalesce(1)
 
@@ -178,11 +225,14 @@ def test_searches_leave_out_unusable_vectors(spark, limit):
     good = [(k, [float(k % 5), 1.0, float(k)]) for k in range(6)]
     bad = [(10, None), (11, [1.0, 2.0]), (12, [float("nan"), 0.0, 1.0]), (13, [1.0, None, 2.0]), (14, [float("inf"), 0.0, 0.0])]
     vectors = spark.createDataFrame(bad + good, "id long, embedding array<double>")
-    queries = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, None), (3, [1.0])], "query_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, None), (3, [1.0]), (4, [2.0, 1.0])], "query_id long, embedding array<double>")
     got = B.exact_topk(queries, vectors, 6, limit).collect()
-    assert sorted(r.id for r in got) == list(range(6)) and {r.query_id for r in got} == {1}
+    assert sorted(r.id for r in got if r.query_id == 1) == list(range(6))
+    assert [r.id for r in got if r.query_id == 4] == [11] and {r.query_id for r in got} == {1, 4}  # each query meets its own length
+    report = {(r.verdict, r.length): r.vectors for r in B.vector_report(vectors).collect()}
+    assert report == {("no vector", 0): 1, ("searched", 2): 1, ("searched", 3): 6, ("not finite", 3): 3}
     patches = vectors.selectExpr("id as doc_id", "0 as page", "0 as patch_index", "embedding")
     short = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<double>")  # cut to the smaller dimension
-    assert sorted(r.doc_id for r in B.visual_topk(short, patches, 9, limit).collect()) == list(range(6))
+    assert sorted(r.doc_id for r in B.visual_topk(short, patches, 9, limit).collect()) == [*range(6), 11]
     asked = spark.createDataFrame([(1, d) for d in (*range(6), 10, 12)], "query_id long, doc_id long")
     assert sorted(r.doc_id for r in B.maxsim_pages(asked, short, patches).collect()) == list(range(6))
