@@ -8,6 +8,7 @@ from passagework.functions import vectors as V
 from passagework.operators import blocks as B
 from passagework.operators import cells as CE
 from passagework.operators import chunking as C
+from passagework.operators import containment as CT
 from passagework.operators import embedding as E
 from passagework.plans import sql_parts as S
 from passagework.plans.registry import query, spread, table
@@ -367,6 +368,18 @@ def embed_text(spark, folder):
     )
 
 
+@query(
+    "passage_chunks",
+    f"""WITH {SQL_CHUNKS}, b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, array_slice(string_split(text, ' '), 3, 5)[1] || ' ' || string_split(text, ' ')[4] FROM benchmark)
+    SELECT item_id AS query_id, id FROM b JOIN chunks ON contains(chunks.text, b.text)""",
+)
+def passage_chunks(spark, folder):
+    """The chunks that hold each passage, and those that hold two words out of its middle."""
+    asked = passages(spark, folder)
+    short = asked.select((F.col("query_id") + 1_000_000).alias("query_id"), F.concat_ws(" ", F.get(F.split("text", " "), F.lit(2)), F.get(F.split("text", " "), F.lit(3))).alias("text"))
+    return CT.contained(asked.unionByName(short), text_chunks(spark, folder))
+
+
 @query("text_search", f"WITH {SQL_SEARCH} SELECT query_id, id, round(score, 6) AS score, rank FROM hits")
 def text_search_query(spark, folder):
     return _rounded(text_search(spark, folder))
