@@ -79,14 +79,14 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
 class _Running:
     """The k best so far of each query over any number of vector batches."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
+    def __init__(self, queries: np.ndarray, k: int, digits: int = 12):
+        self.queries, self.k, self.digits = queries, k, digits
         self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for at in range(0, len(ids), SLICE_ROWS):
             part, names = vectors[at : at + SLICE_ROWS], ids[at : at + SLICE_ROWS]
-            scores = np.round(self.queries @ part.T, 12) + 0.0
+            scores = np.round(self.queries @ part.T, self.digits) + 0.0
             if len(names) > self.k:
                 # Everything that reaches the k-th score stays, so ties are settled by id below.
                 floor = np.partition(scores, len(names) - self.k, axis=1)[:, len(names) - self.k]

@@ -1,4 +1,7 @@
-"""Text to vectors without a model: hashed TF-IDF, with a cache; other embedders plug in as functions."""
+"""Dense text vectors of a fixed width (hashed TF-IDF, an option), with a cache; other embedders plug in as functions.
+
+Text search does not use these: ``postings`` keeps every word.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,6 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from passagework.functions.text import let, word_count, words
 from passagework.functions.vectors import l2_normalize
-from passagework.session import written
 
 DIMENSION = 64
 Embedder = Callable[[DataFrame], DataFrame]  # text -> text, embedding
@@ -65,13 +67,6 @@ def embed(counted: DataFrame, idf: DataFrame) -> DataFrame:
     return weighted.withColumn("embedding", vector).drop("_idf", "terms")
 
 
-def index_texts(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows with embedding, idf) of a corpus. Counts and weights are written once and read from then on."""
-    counted = written(count_terms(df, text), "terms")
-    idf = written(fit_idf(counted), "idf")
-    return embed(counted, idf), idf
-
-
 def embed_with(
     df: DataFrame, fn: Callable[[list[str]], list[list[float]]], dimension: int, text: str = "text", batch: int = 10
 ) -> DataFrame:

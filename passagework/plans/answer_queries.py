@@ -20,7 +20,7 @@ from passagework.plans.knowledge_queries import (
     user_queries,
 )
 from passagework.plans.registry import query, spread, table
-from passagework.plans.vector_queries import SQL_IDF, SQL_SEARCH, passages, text_chunks, text_search
+from passagework.plans.vector_queries import SQL_SEARCH, passages, text_chunks, text_search
 from passagework.session import scratch_path
 
 SOURCES = ["text", "colpali", "salesforce"]
@@ -250,7 +250,6 @@ SQL_HITS = f"{SQL_SEARCH}, res AS (SELECT query_id, rank, score, text AS content
 
 
 SQL_STORED = "SELECT query_id, id, round(score, 6) AS score, rank, md5(content) AS content_md5, filename FROM (SELECT h.*, text AS content, 'doc' || doc_id || '.txt' AS filename FROM hits h JOIN chunks USING (id))"
-SQL_FIRST = "first AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))"
 
 
 def _stored_hits(spark, folder, path):
@@ -266,9 +265,9 @@ def search_index(spark, folder):
     return _stored_hits(spark, folder, path)
 
 
-@query("append_to_index", f"WITH {SQL_SEARCH.replace(SQL_IDF, SQL_FIRST + ', ' + SQL_IDF.replace('FROM chunks', 'FROM first'))} {SQL_STORED}")
+@query("append_to_index", f"WITH {SQL_SEARCH} {SQL_STORED}")
 def append_to_index(spark, folder):
-    """English documents make the index, all others are appended."""
+    """English documents make the index, all others are appended: the same as an index of all of them."""
     path = scratch_path(spark, "index")
     chunks = files_of_chunks(spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
     P.build_index(chunks.filter("lang = 'en'"), path)

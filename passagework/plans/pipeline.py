@@ -9,11 +9,11 @@ from passagework.functions import constants as K
 from passagework.functions.query import expand_query
 from passagework.functions.text import clean_answer, strip_html
 from passagework.operators import answers as A
-from passagework.operators import blocks as B
-from passagework.operators import embedding as E
 from passagework.operators import knowledge as KB
+from passagework.operators import postings as PO
 from passagework.operators import selection as R
-from passagework.session import written
+from passagework.session import scratch_path, written
+
 
 def _described(chunks: DataFrame) -> DataFrame:
     """id, text, filename, page; the last two are null where unknown."""
@@ -21,47 +21,37 @@ def _described(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "text", *[v.alias(c) for c, v in known.items()])
 
 
-def _put_batch(counted: DataFrame, idf: DataFrame, path: str, batch: int) -> None:
-    """A batch that is put again replaces itself, so a job that died can be run again."""
-    counted.drop("terms").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-    E.embed(counted.select("id", "terms"), idf).write.mode("overwrite").parquet(f"{path}/vectors/batch={batch}")
-
+def append_to_index(chunks: DataFrame, path: str, batch: int) -> None:
+    """Adds chunks (id, text and, when known, filename, page) as ``batch``; only the new texts are read.
 
-def build_index(chunks: DataFrame, path: str) -> None:
-    """Stores chunks (id, text and, when known, filename, page), their vectors and the term weights below ``path``."""
-    counted = written(E.count_terms(_described(chunks)), "terms")
-    E.fit_idf(counted).write.mode("overwrite").parquet(f"{path}/idf")
-    _put_batch(counted, chunks.sparkSession.read.parquet(f"{path}/idf"), path, 0)
+    A batch that is put again replaces itself, so a job that died can be run again. Searches weigh words by all
+    batches, so the order and the cut of the batches change no result.
+    """
+    kept = _described(chunks)
+    kept.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+    PO.put(chunks.sparkSession.read.schema(kept.schema).parquet(f"{path}/chunks/batch={batch}"), path, batch)
 
 
-def append_to_index(chunks: DataFrame, path: str, batch: int) -> None:
-    """Adds new chunks as ``batch`` (from 1) under the stored weights; only the new texts are read."""
-    if batch < 1:
-        raise ValueError("batches are counted from 1; 0 is what the index was built from")
-    counted = written(E.count_terms(_described(chunks)), "terms")
-    _put_batch(counted, chunks.sparkSession.read.parquet(f"{path}/idf"), path, batch)
+def build_index(chunks: DataFrame, path: str) -> None:
+    """Stores the first chunks below ``path``."""
+    append_to_index(chunks, path, 0)
 
 
 def search_index(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
     """The k best stored chunks per query with content, filename and page; contents are read for the hits only."""
-    spark = queries.sparkSession
-    asked = E.embed(E.count_terms(queries, "query"), spark.read.parquet(f"{path}/idf"))
-    hits = written(B.exact_topk(asked, spark.read.parquet(f"{path}/vectors").select("id", "embedding"), k), "hits")
-    return hits.join(spark.read.parquet(f"{path}/chunks").select("id", F.col("text").alias("content"), "filename", "page"), "id")
+    hits = written(PO.search(queries, path, k), "hits")
+    stored = queries.sparkSession.read.parquet(f"{path}/chunks")
+    return hits.join(stored.select("id", F.col("text").alias("content"), "filename", "page"), "id")
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """The k best chunks per query with content and file; contents are joined after the ranking.
+    """The k best chunks per query with content and file; the chunks are indexed for this search.
 
     ``queries``: query_id, query; ``chunks``: id, text and, when known, filename, page.
     """
-    indexed, idf = E.index_texts(chunks)
-    asked = E.embed(E.count_terms(queries, "query"), idf)
-    hits = written(B.exact_topk(asked, indexed, k), "hits")
-    for c in ("filename", "page"):
-        if c not in indexed.columns:
-            indexed = indexed.withColumn(c, F.lit(None).cast("string"))
-    return hits.join(indexed.select("id", F.col("text").alias("content"), "filename", "page"), "id")
+    path = scratch_path(queries.sparkSession, "index")
+    build_index(chunks, path)
+    return search_index(queries, path, k)
 
 
 def text_query(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

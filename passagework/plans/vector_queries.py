@@ -10,6 +10,7 @@ from passagework.operators import cells as CE
 from passagework.operators import chunking as C
 from passagework.operators import containment as CT
 from passagework.operators import embedding as E
+from passagework.operators import postings as PO
 from passagework.plans import sql_parts as S
 from passagework.plans.registry import query, spread, table
 from passagework.plans.text_queries import OVERLAP, SIZE
@@ -332,13 +333,14 @@ def sql_tfidf(docs: str, fit: str, prefix: str) -> str:
 SQL_CHUNKS = f"""chunks AS (SELECT doc_id * 1048576 + k AS id, doc_id, array_to_string(words[k * {SIZE - OVERLAP} + 1 : k * {SIZE - OVERLAP} + {SIZE}], ' ') AS text
   FROM (SELECT doc_id, words, unnest(range(0, CAST(greatest(0, ceil((len(words) - {SIZE}) / {SIZE - OVERLAP}.0)) AS BIGINT) + 1)) AS k
     FROM (SELECT doc_id, {S.words('text')} AS words FROM documents) WHERE len(words) > 0))"""
-SQL_IDF = f"""idf AS (SELECT b, ln(((SELECT count(*) FROM chunks) + 1) / (count(DISTINCT id) + 1)) AS idf FROM (
-  SELECT id, {SQL_BUCKET.format('w')} AS b FROM (SELECT id, unnest({S.words('lower(text)')}) AS w FROM chunks)) GROUP BY b)"""
-SQL_SEARCH = f"""{SQL_CHUNKS}, {SQL_IDF}, {sql_tfidf('chunks', 'idf', 'c')},
-  asked AS (SELECT item_id AS id, text FROM benchmark), {sql_tfidf('asked', 'idf', 'q')},
-  scores AS (SELECT a.id AS query_id, c.id, coalesce(s, 0) AS score FROM asked a CROSS JOIN chunks c LEFT JOIN (
-    SELECT q_v.id AS query_id, c_v.id, sum(q_v.x * c_v.x) AS s FROM q_v JOIN c_v USING (b) GROUP BY ALL) d ON d.query_id = a.id AND d.id = c.id),
-  hits AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scores) WHERE rank <= 5)"""
+SQL_WORDS = f"""SELECT id, w, 1 + ln(count(*)) AS x FROM (SELECT id, unnest({S.words('lower(text)')}) AS w FROM {{0}}) GROUP BY ALL"""
+SQL_VECTORS = f"""c_w AS ({SQL_WORDS.format('chunks')}), c_v AS (SELECT id, w, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM c_w)"""
+SQL_SEARCH = f"""{SQL_CHUNKS}, {SQL_VECTORS},
+  idf AS (SELECT w, ln(((SELECT count(*) FROM chunks) + 1) / (count(*) + 1)) AS idf FROM c_w GROUP BY w),
+  asked AS (SELECT item_id AS id, text FROM benchmark),
+  q_v AS (SELECT id, w, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (SELECT id, w, x * idf AS x FROM ({SQL_WORDS.format('asked')}) JOIN idf USING (w)) WHERE x > 0),
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (
+    SELECT q_v.id AS query_id, c_v.id, sum(q_v.x * c_v.x) AS score FROM q_v JOIN c_v USING (w) GROUP BY ALL)) WHERE rank <= 5)"""
 
 
 def text_chunks(spark, folder):
@@ -351,21 +353,35 @@ def passages(spark, folder):
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def text_index(spark, folder):
+    path = scratch_path(spark, "postings")
+    PO.put(text_chunks(spark, folder), path, 0)
+    return path
+
+
 def text_search(spark, folder, k=5):
-    indexed, idf = E.index_texts(text_chunks(spark, folder))
-    return B.exact_topk(E.embed(E.count_terms(passages(spark, folder)), idf), indexed, k)
+    return PO.search(passages(spark, folder), text_index(spark, folder), k, "text")
 
 
 @query(
     "embed_text",
-    f"""WITH {SQL_CHUNKS}, {SQL_IDF}, {sql_tfidf('chunks', 'idf', 'c')} SELECT id, round(sum(x), 6) AS total, round(max(x), 6) AS largest FROM c_v GROUP BY id""",
+    f"""WITH {SQL_CHUNKS}, {SQL_VECTORS} SELECT id, count(*) AS words, md5(string_agg(w || ':' || CAST(round(x * 1e6) AS BIGINT), ' ' ORDER BY w)) AS vector_md5 FROM c_v GROUP BY id""",
 )
 def embed_text(spark, folder):
-    v, _ = E.index_texts(text_chunks(spark, folder))
-    return v.select(
-        "id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-        F.round(F.array_max("embedding"), 6).alias("largest"),
-    )
+    """Every word of every chunk's vector and its weight."""
+    v = PO.vectors(text_chunks(spark, folder))
+    pairs = F.zip_with("terms", "weights", lambda t, x: F.concat(t, F.lit(":"), F.round(x * 1e6).cast("bigint")))
+    return v.select("id", F.size("terms").cast("bigint").alias("words"), F.md5(F.array_join(pairs, " ")).alias("vector_md5"))
+
+
+@query(
+    "blocks_read",
+    f"""WITH {SQL_SEARCH} SELECT count(DISTINCT query_id) AS queries, true AS some_skipped FROM hits""",
+)
+def blocks_read(spark, folder):
+    """How many runs of postings a search leaves unread."""
+    found = PO.Plan(passages(spark, folder), text_index(spark, folder), 5, "text").report()
+    return found.agg(F.count("*").alias("queries"), (F.sum("blocks_read") < F.sum("blocks")).alias("some_skipped"))
 
 
 @query(
