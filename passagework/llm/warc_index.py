@@ -60,7 +60,7 @@ def sort_of(url: Column, page_id: Column) -> Column:
 
 
 def store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -81,14 +81,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def unpack(raw: bytes) -> dict:
-    """The fields of one record; ``intact`` tells whether a stored payload has its digest and length."""
+    """The fields of one record. Length and digest are those of the payload as read; of a revisit, which has none, those
+    that it claims. ``intact`` tells whether a stored payload has the digest and length that its headers claim."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     h = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     http, _, payload = rest[: int(h["Content-Length"])].partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     number = lambda s: int(s) if (s := s.removeprefix("<urn:page:").removesuffix(">")) else None
-    whole = h["WARC-Type"] == "revisit" or (len(payload) == size and hashlib.sha1(payload).hexdigest() == digest)
+    whole = True
+    if h["WARC-Type"] != "revisit":
+        claimed = (size, digest)
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        whole = claimed == (size, digest)
     return {
         "page_id": number(h["WARC-Record-ID"]), "url": h["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest,
         "record_type": h["WARC-Type"], "refers_to": number(h.get("WARC-Refers-To", "<urn:page:>")), "intact": whole,
@@ -230,7 +235,9 @@ def lookup(asked: DataFrame, archives: str, index: str, files: DataFrame) -> Dat
                 found = [r for s in batch.column(0).slice(start, 1000).to_pylist() for r in reader.find(s)]
                 yield pa.RecordBatch.from_pylist(found, kind)
 
-    return sorts.repartitionByRange("sort").sortWithinPartitions("sort").mapInArrow(read, RECORD)
+    # a stated number of tasks: keys are small, and by their bytes all reads would be merged into a few tasks
+    parts = max(len(listed.value), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sorts.repartitionByRange(parts, "sort").sortWithinPartitions("sort").mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -239,3 +246,17 @@ def round_trip(pages: DataFrame) -> DataFrame:
     archives, index = scratch_path(spark, "warc"), scratch_path(spark, "warc-index")
     files = write_index(write_archives(pages, archives), index)
     return lookup(pages, archives, index, files)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with the length and digest of the payload that was read back: a revisit's are those of the response it
+    refers to. Fails on a damaged payload and on a revisit without the response that it claims to repeat."""
+    records = written(records, "records")
+    payloads = records.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest")).distinct()
+    same = (records["refers_to"] == payloads["to"]) & (records["payload_digest"] == payloads["digest"]) & (records["payload_bytes"] == payloads["n"])
+    whole = records.join(payloads, same, "left")
+    revisit = F.col("record_type") == "revisit"
+    fail = F.when(~F.col("intact"), F.raise_error(F.concat(F.lit("damaged payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")))))
+    fail = fail.when(revisit & F.col("to").isNull(), F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")))))
+    checked = {"payload_bytes": F.coalesce(fail.cast("long"), F.when(revisit, F.col("n")).otherwise(F.col("payload_bytes"))), "payload_digest": F.when(revisit, F.col("digest")).otherwise(F.col("payload_digest"))}
+    return whole.withColumns(checked).select(*records.columns)

@@ -30,6 +30,18 @@ def test_archives_of_odd_pages(spark):
         want.append((i or 0, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", 2 if again else None))
     assert rows == sorted(want, key=lambda w: w[:4])
     assert warc_index.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    frame = spark.createDataFrame(got)
+    assert sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_index.resolved(frame).collect()) == rows
+    for damage in (frame.withColumn("intact", F.lit(False)), frame.where("not (page_id = 2 and record_type = 'response')"), frame.withColumn("payload_bytes", F.col("payload_bytes") + F.when(F.col("record_type") == "revisit", 1).otherwise(0))):
+        with pytest.raises(Exception, match="damaged payload|no response"):
+            warc_index.resolved(damage).collect()
+
+
+def test_payload_values_come_from_the_payload():
+    good = warc_index.record(1, "http://a.b/", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
+    assert warc_index.unpack(good)["intact"]
+    bad = warc_index.unpack(good.replace(b"abc", b"abd"))
+    assert not bad["intact"] and bad["payload_digest"] == hashlib.sha1(b"abd").hexdigest()
 
 
 def test_index_search_over_many_blocks(spark, monkeypatch):
