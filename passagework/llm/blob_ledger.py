@@ -3,7 +3,8 @@
 Every historical version of a path is a blob, named by the SHA-256 of its text. The ledger is a folder of
 three Parquet tables, each batch appended in a folder of its own: ``scanned`` (blob, rule, version),
 ``findings`` (blob, rule, version, start, end) and ``commits``, which names the finished batches. A scan reads
-the text of those blobs only that lack a (rule, version) pair, one copy of each, and appends what it finds;
+the text of those blobs only that lack a (rule, version) pair, one copy of each, and appends what it finds
+(where all missing rules have hints, texts without a hint stay where they are);
 findings are then joined back to all paths. Batches that are not in ``commits`` (a scan that died) are not
 read, so a scan can be run again.
 
@@ -49,7 +50,7 @@ BASE_RULES = (
 #: What the scan adds to the base rules.
 MORE_RULES = (
     Rule("private_key", 1, r"-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY-----", hint="-----BEGIN "),
-    Rule("web_token", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hint="eyJ"),
+    Rule("web_token", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", hint="eyJ"),
     Rule("service_token", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", hint="_"),
 )
 RULES = (*BASE_RULES, *MORE_RULES)
@@ -114,7 +115,13 @@ class Ledger:
         todo.write.parquet(at("todo"))
         todo = self.spark.read.schema(todo.schema).parquet(at("todo"))
 
-        texts = versions.select(F.struct(*key).alias("one"), F.coalesce(versions[text], F.lit("")).alias("t")).withColumn("blob", blob_of(F.col("t")))
+        texts = versions.select(F.struct(*key).alias("one"), F.coalesce(versions[text], F.lit("")).alias("t"))
+        # a text that shows no hint of any rule that is open for some blob need not be moved; at most one row for each rule
+        open_ = {(r["rule"], r["version"]) for r in todo.select(F.inline("open")).distinct().collect()}
+        hints = [r.hint for r in rules if (r.name, r.version) in open_]
+        if hints and None not in hints:
+            texts = texts.where(reduce(lambda a, b: a | b, (F.contains(F.col("t"), F.lit(h)) for h in hints)))
+        texts = texts.withColumn("blob", blob_of(F.col("t")))
         same = (texts["one"].eqNullSafe(todo["one"])) & (texts["blob"] == todo["blob"])
         fresh = texts.join(todo.hint("shuffle_hash"), same).select(todo["blob"], "open", "t")
         self._matches(fresh, rules).write.parquet(at("findings"))

@@ -127,12 +127,14 @@ def url_at(text: str, colon: int, floor: int) -> tuple[int, int] | None:
     start = colon
     while start > floor and colon - start < 8 and text[start - 1].isalpha():
         start -= 1
+    if text[start:colon].lower() not in SCHEMES:
+        return None
     end = colon + 3
     while end < len(text) and text[end] not in URL_END:
         end += 1
     while end > colon + 3 and text[end - 1] in ".,;:!?)":
         end -= 1
-    return (start, end) if text[start:colon].lower() in SCHEMES and end > colon + 3 else None
+    return (start, end) if end > colon + 3 else None
 
 
 def address_at(text: str, start: int, end: int, floor: int) -> tuple[int, int] | None:

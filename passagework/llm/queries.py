@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_warc_capture_index(spark: SparkSession, folder: str) -> DataFrame:
-    found = warc_index.round_trip(table(spark, folder, "pages"))
+    found = warc_index.resolved(warc_index.round_trip(table(spark, folder, "pages")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -111,8 +111,10 @@ def op7_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_blob_ledger_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    ledger = blob_ledger.Ledger(spark, scratch_path(spark, "ledger"))
-    paths = ledger.scan(table(spark, folder, "documents"))
+    """Two scans on one ledger: the second knows the base rules' pairs and runs only the rules that came later."""
+    ledger, documents = blob_ledger.Ledger(spark, scratch_path(spark, "ledger")), table(spark, folder, "documents")
+    ledger.scan(documents, rules=blob_ledger.BASE_RULES)
+    paths = ledger.scan(documents)
     return blob_ledger.report(paths, ledger.findings())
 
 
