@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -190,7 +191,7 @@ def test_masks_meet_every_pattern_of_substitutions():
             assert any(all(p + o not in out for o in m) for m in spaced_seeds.MASKS for p in range(n - m[-1])), (n, out)
 
 
-def test_overlaps_equal_brute_force(spark):
+def test_overlaps_equal_brute_force(spark, monkeypatch):
     pick = random.Random(4)
     vocabulary = [f"w{k}" for k in range(60)]
     items = [[pick.choice(vocabulary) for _ in range(n)] for n in (3, 5, 7, 9, 10, 12, 13, 15, 20, 40)]
@@ -213,10 +214,12 @@ def test_overlaps_equal_brute_force(spark):
                 want.add((d, k))
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    for limit in (10**6, 30):  # one chunk, and many
-        got = spaced_seeds.overlaps(frame, bench.union(bench), chunk_words=limit).collect()
+    for hot, group in ((1000, 20_000), (1, 7)):  # at once, and with every seed dealt into parts and many small groups
+        monkeypatch.setattr(spaced_seeds, "HOT", hot)
+        monkeypatch.setattr(spaced_seeds, "GROUP", group)
+        got = spaced_seeds.overlaps(frame, bench.union(bench)).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-        kept = {r.doc_id for r in spaced_seeds.clean(frame, bench, chunk_words=limit).collect()}
+        kept = {r.doc_id for r in spaced_seeds.clean(frame, bench).collect()}
         assert kept == set(range(len(docs))) - {d for d, _ in want}
 
 
@@ -227,3 +230,60 @@ def test_overlaps_defined_cases(spark, odd):
     assert spaced_seeds.overlaps(empty(spark), bench).count() == 0
     assert spaced_seeds.overlaps(odd, bench.limit(0)).count() == 0
     assert len(word_hashes(None, Memo(hash_word))) == 0
+
+
+def test_overlaps_of_one_long_text_that_repeats_an_item(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, (item + " x ") * 3000, "t"), (2, "two " * 20_000, "t"), (3, (item + " x ") * 3000, "t")], "doc_id long, text string, item string")
+    bench = spark.createDataFrame([(7, item, b"0"), (7, item.upper() + "!", b"1"), (8, "two two two two two two", b"2")], "item_id long, text string, digest binary")
+    got = sorted(tuple(r) for r in spaced_seeds.overlaps(docs, bench).collect())
+    assert got == [(1, 7, 12, 12, 0), (2, 8, 6, 6, 0), (3, 7, 12, 12, 0)]
+    assert spaced_seeds.clean(docs, bench).columns == docs.columns
+
+
+UNITS = ["a://", "http://)", "http://x ", "a@", "a@b.", "+1(", "+1 2", "iban ", "account-", "id: ", "12 long street ", "street", "1.2.3.", "1 2-3", "4111 ", "\u0130@"]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_personal_data_takes_time_in_proportion(unit):
+    find = pii_anchors.Finder().spans
+    took = []
+    for n in (100_000, 400_000):
+        text = unit * (n // len(unit))
+        start = time.perf_counter()
+        find(text)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 4 and took[1] < 12 * max(took[0], 0.05), (unit, took)
+
+
+@pytest.mark.parametrize("unit", ["eyJaaaaaaaaaa-", "eyJaaaaaaaaaa.", "ghp_", "xoxa-", "AKIA", "abcdef0", "password ", "token=", "-----BEGIN "])
+def test_secrets_take_time_in_proportion(spark, unit):
+    took = []
+    for n in (50_000, 400_000):
+        ledger = blob_ledger.Ledger(spark, scratch_path(spark, "ledger"))
+        start = time.perf_counter()
+        ledger.scan(spark.createDataFrame([(1, unit * (n // len(unit)))], "doc_id long, text string"))
+        took.append(time.perf_counter() - start)
+    assert took[1] < took[0] + 12, (unit, took)
+
+
+def test_a_second_scan_runs_only_the_rules_that_are_new(spark):
+    rows = [(1, "password=abcdef1"), (2, "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12), (3, "x-eyJ" + "a" * 30), (4, "password=abcdef1"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = blob_ledger.Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.scan(docs, rules=blob_ledger.BASE_RULES)
+    paths = ledger.scan(docs)
+    pairs = ledger.scanned().collect()
+    assert len(pairs) == len({tuple(p) for p in pairs}) == 4 * len(blob_ledger.RULES)
+    once = blob_ledger.Ledger(spark, scratch_path(spark, "ledger"))
+    want = blob_ledger.report(once.scan(docs), once.findings())
+    assert sorted(map(tuple, blob_ledger.report(paths, ledger.findings()).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_memos_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr("passagework.llm.common.MEMO_CHARS", 1000)
+    memo = Memo(len)
+    for k in range(30):
+        assert memo["x" * 90 + str(k)] >= 90
+        memo.trim()
+        assert memo.chars <= 1100 and len(memo) <= 12
