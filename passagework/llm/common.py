@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
-#: Entries that a worker's memo may hold between two texts; beyond that it is emptied.
-MEMO = 400_000
+#: Entries, and characters of their keys, that a worker's memo may hold between two texts; beyond that it is emptied.
+MEMO, MEMO_CHARS = 400_000, 32_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -27,15 +27,17 @@ class Memo(dict):
 
     def __init__(self, compute: Callable, limit: int = MEMO):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.chars = compute, limit, 0
 
     def __missing__(self, key):
         value = self[key] = self.compute(key)
+        self.chars += len(key)
         return value
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.chars > MEMO_CHARS:
             self.clear()
+            self.chars = 0
 
 
 def hash_word(word: str) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
-from passagework.llm.common import MEMO, fields, map_batches
+from passagework.llm.common import MEMO, MEMO_CHARS, fields, map_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -48,6 +48,7 @@ class Counter:
                 node = node.setdefault(c, {})
             node[""] = score
         self.counts: dict[str, int] = {}
+        self.chars = 0
 
     def learn(self, new: Iterable[str]) -> None:
         """Store the counts of words, which must be sorted."""
@@ -77,9 +78,11 @@ class Counter:
     def batch(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Words and tokens of each text."""
         cut = [[MARK + w for w in t.split()] if t else [] for t in texts]
-        if len(self.counts) > MEMO:
-            self.counts = {}
-        self.learn(sorted({w for c in cut for w in c} - self.counts.keys()))
+        if len(self.counts) > MEMO or self.chars > MEMO_CHARS:
+            self.counts, self.chars = {}, 0
+        fresh = sorted({w for c in cut for w in c} - self.counts.keys())
+        self.chars += sum(map(len, fresh))
+        self.learn(fresh)
         return [len(c) for c in cut], [sum(map(self.counts.__getitem__, c)) for c in cut]
 
 
