@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from passagework.functions.text import let, word_count, words
 from passagework.functions.vectors import l2_normalize
+from passagework.session import written
 
 DIMENSION = 64
 Embedder = Callable[[DataFrame], DataFrame]  # text -> text, embedding
@@ -118,6 +119,35 @@ def cached_embed(texts: DataFrame, cache: DataFrame, embedder: Embedder, model:
     return keyed.join(known, "key"), fresh
 
 
+def open_cache(spark: SparkSession, name: str, path: str, buckets: int = 64) -> None:
+    """Creates the cache table ``name`` (key, embedding) at ``path`` if it is not there: bucketed and sorted by key."""
+    if not spark.catalog.tableExists(name):
+        none = spark.createDataFrame([], "key string, embedding array<double>")
+        none.write.bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+
+
+def cached_embed_table(texts: DataFrame, name: str, embedder: Embedder, model: str) -> DataFrame:
+    """Like :func:`cached_embed` with a table of :func:`open_cache`, to which new vectors are added.
+
+    Only the texts' keys are shuffled, to the buckets of the cache, which is read where it lies. Two runs at the same
+    time may both add a text, so look-ups take one row for each key.
+    """
+    spark = texts.sparkSession
+    keyed = written(texts.withColumn("key", cache_key(F.col("text"), model)), "keyed")
+    known = written(known_keys(keyed, name).withColumn("was_cached", F.lit(True)), "known")
+    missing = keyed.join(known, "key", "left_anti").groupBy("key").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    fresh = written(embedder(missing).select("key", "embedding"), "fresh")
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
+    fresh.repartition(buckets, "key").sortWithinPartitions("key").write.mode("append").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
+    return keyed.join(known.unionByName(fresh.withColumn("was_cached", F.lit(False))), "key")
+
+
+def known_keys(keyed: DataFrame, name: str) -> DataFrame:
+    """key, embedding of the keys that the cache table holds."""
+    asked = keyed.select("key").distinct()
+    return asked.join(keyed.sparkSession.table(name).hint("merge"), "key").groupBy("key").agg(F.first("embedding").alias("embedding"))
+
+
 def cache_stats(looked_up: DataFrame) -> DataFrame:
     """One row: created, hits, misses, tokens, hit_rate.
 

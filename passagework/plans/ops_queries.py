@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from passagework.operators import blocks as B
 from passagework.operators import evaluation as EV
+from passagework.plans import pipeline as P
 from passagework.plans import sql_parts as S
 from passagework.plans.registry import query, spread, table
-from passagework.plans.vector_queries import _sql_topk, as_queries, patches, vectors
-from passagework.plans.text_queries import SQL_CLEAN
+from passagework.plans.text_queries import OVERLAP, SIZE, SQL_CLEAN
+from passagework.plans.vector_queries import SQL_SEARCH, _sql_topk, as_queries, passages, patches, vectors
 from passagework.session import scratch_path
 from passagework.sources import files as SF
 from passagework.streaming import jobs as J
@@ -292,13 +293,34 @@ def stream_running_stats(spark, folder):
       WHERE ts > TIMESTAMP '2024-01-10 00:00:00') WHERE n = 1""",
 )
 def stream_sync(spark, folder):
-    """The newest change per user since the last sync."""
-    out = scratch_path(spark, "sync")
-    changes = J.read_folder(spark, folder, table(spark, folder, "events").schema, "events.parquet")
+    """The newest change per user since the last sync, brought in over several batches, with late and repeated rows."""
+    out, source = scratch_path(spark, "sync"), scratch_path(spark, "changes")
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    late = events.repartition(3, F.xxhash64("event_id"))  # every file holds old and new rows
+    late.unionByName(events.where("event_id % 5 = 0")).write.parquet(source)
+    changes = J.read_folder(spark, source, events.schema, files=1)
     since = F.col("ts") > F.expr("TIMESTAMP_NTZ'2024-01-10 00:00:00'")
-    J.stream_sync(changes.select("user_id", "ts", "event_id", "event_type", "value"), out, since).awaitTermination()
-    log = spark.read.parquet(f"{out}/log").drop("batch")
-    return J.latest(log, "user_id", "ts").drop("ts")
+    J.stream_sync(changes, out, "user_id", "ts", since).awaitTermination()
+    return J.read_synced(spark, out).drop("ts")
+
+
+@query(
+    "stream_to_index",
+    "WITH " + SQL_SEARCH.replace("FROM documents) WHERE len(words) > 0", f"FROM (SELECT doc_id, {SQL_CLEAN.format('text', 'length(l) + 1')} AS text FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text))) WHERE len(words) > 0")
+    + " SELECT query_id, id, round(score, 6) AS score, rank FROM hits",
+)
+def stream_to_index(spark, folder):
+    """Documents stream in, their chunks are appended to an index, and the index is searched: as one built from all."""
+    out, source = scratch_path(spark, "ingest"), scratch_path(spark, "arriving")
+    table(spark, folder, "documents").select("doc_id", "text").repartition(3, "text").write.parquet(source)
+    docs = J.read_folder(spark, source, table(spark, folder, "documents").select("doc_id", "text").schema, files=1)
+
+    def append(chunks, batch):
+        P.append_to_index(chunks.select((F.shiftleft("doc_id", 20) + F.col("chunk_number")).alias("id"), F.col("content").alias("text")), f"{out}/index", batch)
+
+    J.stream_ingest(docs, out, strategy="fixed", size=SIZE, overlap=OVERLAP, then=append).awaitTermination()
+    hits = P.search_index(passages(spark, folder).withColumnRenamed("text", "query"), f"{out}/index")
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(

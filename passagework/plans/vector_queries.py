@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from passagework.functions import vectors as V
@@ -430,6 +432,21 @@ def embedding_cache(spark, folder):
     return rows.select("doc_id", "key", "was_cached", F.round(total, 5).alias("total"), F.round(weighted, 4).alias("weighted"))
 
 
+@query(
+    "embedding_cache_runs",
+    """SELECT doc_id, lang <> 'en' OR text IN (SELECT text FROM documents WHERE lang <> 'en') AS was_cached, length(text) AS embedding FROM documents""",
+)
+def embedding_cache_runs(spark, folder):
+    """A cache table kept over two runs: the first fills it from all but the English texts."""
+    name = "cache_" + os.path.basename(scratch_path(spark, "x"))[2:]
+    docs, path = table(spark, folder, "documents").select("doc_id", "lang", "text"), scratch_path(spark, "cache")
+    E.open_cache(spark, name, path)
+    embedder = lambda m: m.withColumn("embedding", F.array(F.length("text").cast("double")))
+    E.cached_embed_table(docs.where("lang <> 'en'"), name, embedder, "lengths")
+    rows = E.cached_embed_table(docs, name, embedder, "lengths")
+    return rows.select("doc_id", "was_cached", F.col("embedding")[0].cast("int").alias("embedding"))
+
+
 @query(
     "cache_stats",
     f"""WITH {SQL_CACHE}, g AS (SELECT key, count(*) AS n, any_value(text) AS text FROM all_rows GROUP BY key),

@@ -81,12 +81,28 @@ def test_stream_ingest_over_many_batches_of_one_run(spark, tmp_path):
 
 
 def test_stream_sync_keeps_the_newest(spark, tmp_path):
+    """Three runs with late, repeated and equal-time rows; state is one row a key, and no log grows."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for rows in ([(1, 5, "a"), (2, 1, "b")], [(1, 7, "c"), (2, 0, "d")]):
+    for rows in ([(1, 5, "a"), (2, 1, "b")], [(1, 7, "c"), (2, 0, "d"), (3, 2, "e")], [(1, 6, "late"), (3, 2, "f"), (2, 1, "b"), (None, 1, "n")]):
         spark.createDataFrame(rows, "id bigint, modified bigint, v string").write.mode("append").parquet(src)
-        J.stream_sync(J.read_folder(spark, src, spark.read.parquet(src).schema), out, F.col("modified") > 0).awaitTermination()
-    state = J.latest(spark.read.parquet(f"{out}/log").drop("batch"), "id", "modified")
-    assert sorted((r.id, r.modified, r.v) for r in state.collect()) == [(1, 7, "c"), (2, 1, "b")]
+        J.stream_sync(J.read_folder(spark, src, spark.read.parquet(src).schema), out, "id", "modified", F.col("modified") > 0).awaitTermination()
+    state = J.read_synced(spark, out)
+    want = [(None, 1, "n"), (1, 7, "c"), (2, 1, "b"), (3, 2, "f")]
+    assert sorted(((r.id, r.modified, r.v) for r in state.collect()), key=str) == sorted(want, key=str)
+    J.upsert(state, f"{out}/current", "id", "modified")  # a replay changes nothing
+    assert sorted(((r.id, r.modified, r.v) for r in J.read_synced(spark, out).collect()), key=str) == sorted(want, key=str)
+
+
+def test_upsert_replaces_only_what_changes_touch(spark, tmp_path):
+    path = str(tmp_path / "state")
+    J.upsert(spark.range(200).selectExpr("id", "1 as modified", "'old' as v"), path, "id", "modified", buckets=8)
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "state").glob("bucket=*/part-*")}
+    J.upsert(spark.createDataFrame([(5, 2, "new")], "id long, modified int, v string"), path, "id", "modified", buckets=8)
+    J.upsert(spark.createDataFrame([], "id long, modified int, v string"), path, "id", "modified", buckets=8)
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "state").glob("bucket=*/part-*")}
+    assert len(before) == len(after) == 8 and len(set(before.items()) - set(after.items())) == 1
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 200 and [r.v for r in rows if r.id == 5] == ["new"]
 
 
 def test_metrics_keep_queries_without_results(spark):

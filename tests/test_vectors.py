@@ -200,6 +200,31 @@ def test_cache_keeps_null_texts(spark):
     assert rows.count() == 4 and fresh.count() == 2
 
 
+def test_cache_table_is_not_shuffled(spark, tmp_path):
+    name = f"cache_{tmp_path.name}".replace("-", "_")
+    E.open_cache(spark, name, str(tmp_path / "cache"), buckets=4)
+    E.open_cache(spark, name, str(tmp_path / "cache"), buckets=4)
+    seen = []
+    embedder = lambda m: m.withColumn("embedding", F.array(F.length("text").cast("double")))
+    for texts in (["a", "bb", "a", None], ["bb", "ccc", ""]):
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        seen.append(sorted((r.i, r.embedding[0], r.was_cached) for r in E.cached_embed_table(frame, name, embedder, "m").collect()))
+    assert seen == [[(0, 1.0, False), (1, 2.0, False), (2, 1.0, False), (3, 0.0, False)], [(0, 2.0, True), (1, 3.0, False), (2, 0.0, True)]]
+    assert spark.table(name).count() == 4
+    keyed = spark.range(10).select(F.col("id").cast("string").alias("key"))
+    plan = E.known_keys(keyed, name)._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "FileScan" in line][0]
+    depth = len(scan) - len(scan.lstrip(" :+-"))
+    above = plan.split("\n")[: plan.split("\n").index(scan)]
+    path = []
+    for line in reversed(above):  # the operators between the scan and the root
+        d = len(line) - len(line.lstrip(" :+-"))
+        if d < depth:
+            path.append(line)
+            depth = d
+    assert not any("Exchange" in line for line in path[: next(i for i, line in enumerate(path) if "Join" in line) + 1])
+
+
 def test_own_embedder_runs_in_batches(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bb", " ", "bad", "cc"])], "i int, text string").coalesce(1)
 
