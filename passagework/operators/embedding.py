@@ -119,8 +119,12 @@ def cached_embed(texts: DataFrame, cache: DataFrame, embedder: Embedder, model:
     return keyed.join(known, "key"), fresh
 
 
-def open_cache(spark: SparkSession, name: str, path: str, buckets: int = 64) -> None:
-    """Creates the cache table ``name`` (key, embedding) at ``path`` if it is not there: bucketed and sorted by key."""
+def open_cache(spark: SparkSession, name: str, path: str, buckets: int | None = None) -> None:
+    """Creates the cache table ``name`` (key, embedding) at ``path`` if it is not there: bucketed and sorted by key.
+
+    With fewer buckets than shuffle partitions Spark would shuffle the cache to use them all, so there are as many.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not spark.catalog.tableExists(name):
         none = spark.createDataFrame([], "key string, embedding array<double>")
         none.write.bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)

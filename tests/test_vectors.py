@@ -202,8 +202,8 @@ def test_cache_keeps_null_texts(spark):
 
 def test_cache_table_is_not_shuffled(spark, tmp_path):
     name = f"cache_{tmp_path.name}".replace("-", "_")
-    E.open_cache(spark, name, str(tmp_path / "cache"), buckets=4)
-    E.open_cache(spark, name, str(tmp_path / "cache"), buckets=4)
+    E.open_cache(spark, name, str(tmp_path / "cache"))
+    E.open_cache(spark, name, str(tmp_path / "cache"))
     seen = []
     embedder = lambda m: m.withColumn("embedding", F.array(F.length("text").cast("double")))
     for texts in (["a", "bb", "a", None], ["bb", "ccc", ""]):
