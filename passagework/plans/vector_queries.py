@@ -12,7 +12,9 @@ from passagework.operators import cells as CE
 from passagework.operators import chunking as C
 from passagework.operators import containment as CT
 from passagework.operators import embedding as E
+from passagework.operators import envelopes as EN
 from passagework.operators import postings as PO
+from passagework.operators import similar_pairs as SP
 from passagework.plans import sql_parts as S
 from passagework.plans.registry import query, spread, table
 from passagework.plans.text_queries import OVERLAP, SIZE
@@ -224,6 +226,34 @@ def visual_topk_grid(spark, folder):
     return _rounded(B.visual_topk(q, patches(spark, folder), 5, broadcast_limit=0))
 
 
+@query("visual_topk_bounded", f"WITH {SQL_VISUAL} SELECT query_id, doc_id, page, round(score, 6) AS score, rank FROM visual WHERE rank <= 5")
+def visual_topk_bounded(spark, folder):
+    """Pages whose envelope stays below the k-th best are not multiplied."""
+    q = B.mean_query_vectors(token_queries(spark, folder))
+    return _rounded(EN.visual_topk(q, patches(spark, folder), 5))
+
+
+@query(
+    "pages_skipped",
+    """SELECT count(*) AS pages, CAST(count(*) * 20 AS BIGINT) AS asked, true AS skips_counted FROM (SELECT DISTINCT label, vec_id % 5 FROM embeddings)""",
+)
+def pages_skipped(spark, folder):
+    """How many (query, page) the envelopes leave out."""
+    found = EN.bounds(B.mean_query_vectors(token_queries(spark, folder)), patches(spark, folder), 5).pages()
+    return found.agg(F.count("*").alias("pages"), F.sum("asked").alias("asked"), (F.sum("queries") <= F.sum("asked")).alias("skips_counted"))
+
+
+@query(
+    "similarity_report",
+    """SELECT expected, warning, count(*) AS pairs FROM (SELECT a.label = b.label AS expected, CASE WHEN a.label = b.label AND s < 0.7 THEN 'similar pair scores low'
+        WHEN a.label <> b.label AND s > 0.5 THEN 'different pair scores high' END AS warning
+      FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id, LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s)) GROUP BY ALL""",
+)
+def similarity_report(spark, folder):
+    """The monitor over all labelled pairs."""
+    return SP.similarity_report(embeddings(spark, folder))
+
+
 @query(
     "hybrid_fuse",
     f"""WITH {SQL_VISUAL},
