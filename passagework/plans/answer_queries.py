@@ -337,9 +337,9 @@ def _sql_candidates() -> str:
     o AS (SELECT query_id, lower(query) AS low FROM {S.SQL_QUERIES}),
     best AS (SELECT * FROM (SELECT query_id, relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score + {SQL_BONUS} DESC, rank) AS n
       FROM intent_hits JOIN o USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)
-    SELECT a.id AS query_id, 0 AS position, 'text' AS source_type, round(coalesce(max(CASE WHEN h.rank <= 3 AND h.score > 0.2 THEN h.score END), 0), 6) AS score
+    SELECT a.id AS query_id, 0 AS position, 'text' AS source_type, true AS success, round(coalesce(max(CASE WHEN h.rank <= 3 AND h.score > 0.2 THEN h.score END), 0), 6) AS score
     FROM asked a LEFT JOIN hits h ON h.query_id = a.id GROUP BY a.id
-    UNION ALL SELECT query_id, 2, 'salesforce', round(CAST(relevance_score AS DOUBLE), 6) FROM best"""
+    UNION ALL SELECT query_id, 2, 'salesforce', true, round(CAST(relevance_score AS DOUBLE), 6) FROM best"""
 
 
 @query("gather_candidates", _sql_candidates())
@@ -348,7 +348,7 @@ def gather_candidates(spark, folder):
     expanded = asked.select("query_id", expand_query(F.col("query")).alias("query"))
     text = P.text_query(expanded, files_of_chunks(spark, folder))
     found = P.gather_candidates(text, None, P.knowledge_answers(asked, kb, expanded))
-    return found.select("query_id", "position", "source_type", F.round("score", 6).alias("score"))
+    return found.select("query_id", "position", "source_type", "success", F.round("score", 6).alias("score"))
 
 
 @query("query_all_sources")

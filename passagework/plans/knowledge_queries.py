@@ -287,9 +287,8 @@ def intent_relevance(spark, folder):
     )
 
 
-@query(
-    "search_ab_compare",
-    f"""WITH {SQL_KEYWORD}, {SQL_INTENT.replace('a AS (SELECT *, lower(title) AS t, lower(body) AS b', 'a2 AS (SELECT *, lower(title) AS t, lower(body) AS b').replace(' JOIN a USING', ' JOIN a2 USING').replace('FROM i, a WHERE', 'FROM i, a2 WHERE')},
+def _sql_compare(keyword: str, intent: str) -> str:
+    return f"""WITH {keyword}, {intent.replace('a AS (SELECT *, lower(title) AS t, lower(body) AS b', 'a2 AS (SELECT *, lower(title) AS t, lower(body) AS b').replace(' JOIN a USING', ' JOIN a2 USING').replace('FROM i, a WHERE', 'FROM i, a2 WHERE')},
     m AS (SELECT q.query_id, (SELECT count(*) FROM intent_hits h WHERE h.query_id = q.query_id) AS a_results,
         (SELECT count(*) FROM keyword h WHERE h.query_id = q.query_id AND search_method <> 'fallback_all') AS b_results,
         coalesce((SELECT avg(relevance_score) FROM intent_hits h WHERE h.query_id = q.query_id), 0) AS a_avg,
@@ -300,41 +299,61 @@ def intent_relevance(spark, folder):
         (SELECT count(*) FROM keyword h WHERE h.query_id = q.query_id AND relevance_score < 0.3 AND search_method <> 'fallback_all') AS b_low FROM q)
     SELECT query_id, a_results, b_results, round(CAST(a_avg AS DOUBLE), 6) AS a_avg, round(CAST(b_avg AS DOUBLE), 6) AS b_avg, a_high, b_high, a_low, b_low,
       round(CAST(a_avg - b_avg AS DOUBLE), 6) AS improvement,
-      CASE WHEN round(a_avg, 9) > round(b_avg, 9) OR a_high > b_high THEN 'Use intent-driven search' ELSE 'Old method performed better' END AS recommendation FROM m""",
-)
-def search_ab_compare(spark, folder):
+      CASE WHEN round(a_avg, 9) > round(b_avg, 9) OR a_high > b_high THEN 'Use intent-driven search' ELSE 'Old method performed better' END AS recommendation FROM m"""
+
+
+def _compared(spark, folder, newest):
     asked, kb = user_queries(spark, folder), articles(spark, folder)
-    r = KB.compare_searches(asked, KB.intent_search(asked, kb, newest=NEWEST), KB.keyword_search(asked, kb, newest=NEWEST))
+    r = KB.compare_searches(asked, KB.intent_search(asked, kb, newest=newest), KB.keyword_search(asked, kb, newest=newest))
     return r.drop("a_better").withColumns({c: F.round(c, 6) for c in ("a_avg", "b_avg", "improvement")})
 
 
+@query("search_ab_compare", _sql_compare(SQL_KEYWORD, SQL_INTENT))
+def search_ab_compare(spark, folder):
+    return _compared(spark, folder, NEWEST)
+
+
+@query("search_ab_compare_all", _sql_compare(sql_keyword(None), sql_intent_search(5)))
+def search_ab_compare_all(spark, folder):
+    """Every hit of both searches is scored."""
+    return _compared(spark, folder, None)
+
+
 SQL_BONUS = f"""CASE WHEN coalesce(contains(lower(title), {S.first_label('low', K.ANSWER_SERVICES)}), false) THEN 0.3 ELSE 0 END
   + CASE WHEN {S.label_says(f"({S.first_label('low', K.ANSWER_TITLE_ACTIONS)})", 'lower(title)', K.ANSWER_TITLE_ACTIONS)} THEN 0.4 ELSE 0 END"""
-SQL_BEST = f"""{SQL_INTENT}, best AS (SELECT * FROM (SELECT h.query_id, h.article_id, h.relevance_score, h.relevance_score + {SQL_BONUS} AS context_score,
+SQL_BEST, SQL_BEST_ALL = (f"""{intent}, best AS (SELECT * FROM (SELECT h.query_id, h.article_id, h.relevance_score, h.relevance_score + {SQL_BONUS} AS context_score,
     row_number() OVER (PARTITION BY h.query_id ORDER BY h.relevance_score + {SQL_BONUS} DESC, rank) AS n
-    FROM intent_hits h JOIN i USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)"""
+    FROM intent_hits h JOIN i USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)""" for intent in (SQL_INTENT, sql_intent_search(5)))
 
 
-@query(
-    "article_rescore",
-    f"WITH {SQL_BEST} SELECT query_id, article_id, round(CAST(relevance_score AS DOUBLE), 6) AS relevance_score, round(CAST(context_score AS DOUBLE), 6) AS context_score FROM best",
-)
-def article_rescore(spark, folder):
+_SQL_RESCORED = "SELECT query_id, article_id, round(CAST(relevance_score AS DOUBLE), 6) AS relevance_score, round(CAST(context_score AS DOUBLE), 6) AS context_score FROM best"
+
+
+def _rescored(spark, folder, newest):
     asked, kb = user_queries(spark, folder), articles(spark, folder)
-    best = KB.rescore_articles(KB.intent_search(asked, kb, newest=NEWEST), asked)
+    return KB.rescore_articles(KB.intent_search(asked, kb, newest=newest), asked)
+
+
+@query("article_rescore", f"WITH {SQL_BEST} {_SQL_RESCORED}")
+def article_rescore(spark, folder, newest=NEWEST):
+    best = _rescored(spark, folder, newest)
     return best.select(
         "query_id", "article_id", F.round("relevance_score", 6).alias("relevance_score"), F.round("context_score", 6).alias("context_score")
     )
 
 
+@query("article_rescore_all", f"WITH {SQL_BEST_ALL} {_SQL_RESCORED}")
+def article_rescore_all(spark, folder):
+    return article_rescore(spark, folder, None)
+
+
 _SQL_OTHER = " + ".join(
     f"CASE WHEN action <> {S.lit(n)} AND {S.any_in('x', t)} THEN 1 ELSE 0 END" for n, t in K.ANSWER_ACTIONS.items()
 )
 
 
-@query(
-    "answer_sentences",
-    f"""WITH {SQL_BEST},
+def _sql_sentences(best: str) -> str:
+    return f"""WITH {best},
     c AS (SELECT query_id, i.query, {S.first_label('i.low', K.ANSWER_ACTIONS)} AS action, title, relevance_score, {S.SQL_CLEAN_BODY} AS content
       FROM best JOIN i USING (query_id) JOIN a USING (article_id)),
     s0 AS (SELECT *, list_filter(list_transform(string_split(content, '.'), lambda y: {S.strip('y')}), lambda y: length(y) > 15) AS ss FROM c),
@@ -347,18 +366,23 @@ _SQL_OTHER = " + ".join(
     v AS (SELECT query_id, string_agg(n || '. ' || s || CASE WHEN s LIKE '%.' THEN '' ELSE '.' END || chr(10), '' ORDER BY n) AS body FROM u GROUP BY 1)
     SELECT query_id, CASE WHEN length(content) < 200 THEN 'Based on ''' || title || ''': ' || content
       ELSE 'Based on ''' || title || ''' (relevance: ' || printf('%.2f', relevance_score) || '):' || chr(10) || chr(10) || coalesce(body, '') END AS answer
-    FROM c LEFT JOIN v USING (query_id)""",
-)
-def answer_sentences(spark, folder):
-    asked, kb = user_queries(spark, folder), articles(spark, folder)
-    best = KB.rescore_articles(KB.intent_search(asked, kb, newest=NEWEST), asked)
-    full = best.join(kb.select("article_id", "body"), "article_id").withColumn("content", strip_html(F.col("body")))
+    FROM c LEFT JOIN v USING (query_id)"""
+
+
+@query("answer_sentences", _sql_sentences(SQL_BEST))
+def answer_sentences(spark, folder, newest=NEWEST):
+    full = _rescored(spark, folder, newest).join(articles(spark, folder).select("article_id", "body"), "article_id").withColumn("content", strip_html(F.col("body")))
     return full.select(
         "query_id",
         KB.article_answer(F.col("query"), F.col("title"), F.col("content"), F.col("relevance_score")).alias("answer"),
     )
 
 
+@query("answer_sentences_all", _sql_sentences(SQL_BEST_ALL))
+def answer_sentences_all(spark, folder):
+    return answer_sentences(spark, folder, None)
+
+
 @query(
     "top_article_lines",
     f"""WITH a AS (SELECT article_id, {S.SQL_CLEAN_BODY} AS c FROM {S.SQL_ARTICLES}),

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from passagework.operators import blocks as B
+from passagework.operators import chunking as C
 from passagework.operators import evaluation as EV
 from passagework.plans import pipeline as P
 from passagework.plans import sql_parts as S
 from passagework.plans.registry import query, spread, table
 from passagework.plans.text_queries import OVERLAP, SIZE, SQL_CLEAN
-from passagework.plans.vector_queries import SQL_SEARCH, _sql_topk, as_queries, passages, patches, vectors
-from passagework.session import scratch_path
+from passagework.plans.vector_queries import SQL_CHUNKS, SQL_SEARCH, _sql_topk, as_queries, passages, patches, text_chunks, vectors
+from passagework.session import scratch_path, written
 from passagework.sources import files as SF
 from passagework.streaming import jobs as J
 
@@ -90,27 +93,36 @@ def visual_only_pdf(spark, folder):
     return SF.visual_supported(stored_files(spark, folder)).select("doc_id", "success", "error")
 
 
+UPLOAD = 8192  # bytes; smaller than the customary limit, so that real files reach it
+
+
 @query(
     "upload_validation",
-    f"""SELECT doc_id, CASE WHEN size * 40000 > 209715200 THEN 'too large (' || printf('%.1f', size * 40000 / 1048576.0) || 'MB), at most 200MB'
-      WHEN size % 9 = 0 THEN 'empty' WHEN NOT {_SQL_SUPPORTED} THEN 'unsupported extension: ' || extension END AS reason FROM {SQL_FILES}""",
+    f"""SELECT doc_id, CASE WHEN size > {UPLOAD} THEN 'too large (' || printf('%.1f', size / 1048576.0) || 'MB), at most {UPLOAD / 1048576:g}MB'
+      WHEN size = 0 THEN 'empty' WHEN NOT {_SQL_SUPPORTED} THEN 'unsupported extension: ' || extension END AS reason FROM {SQL_FILES}""",
 )
 def upload_validation(spark, folder):
-    size = F.when(F.col("length") * 40000 > 209715200, F.col("length") * 40000).when(F.col("length") % 9 == 0, 0).otherwise(F.col("length"))
-    return stored_files(spark, folder).select("doc_id", SF.upload_rejection(F.col("path"), size).alias("reason"))
+    return stored_files(spark, folder).select("doc_id", SF.upload_rejection(F.col("path"), F.col("length"), UPLOAD).alias("reason"))
+
+
+SQL_CHUNKED = f"""CASE WHEN {_SQL_SUPPORTED} AND len({S.words('text')}) > 0 THEN CAST(greatest(0, ceil((len({S.words('text')}) - {SIZE}) / {SIZE - OVERLAP}.0)) AS BIGINT) + 1 ELSE 0 END"""
 
 
 def _ingested(spark, folder):
+    """Outcome of each file: the chunks it gives, and its pages of 3,000 characters where it is a page document."""
     files = SF.supported(stored_files(spark, folder))
-    text = files.select("path", "success", F.when(F.col("success"), F.col("length") % 7).otherwise(0).alias("chunks"), "error")
-    visual = SF.visual_supported(stored_files(spark, folder)).filter(F.col("length") % 3 != 0)
-    return text, visual.select("path", "success", F.when(F.col("success"), F.col("length") % 5).otherwise(0).alias("pages"), "error")
+    texts = SF.scan_text(files.filter("success")).join(files.select("path", "doc_id"), "path").select("doc_id", "text")
+    chunks = C.chunk(texts, strategy="fixed", size=SIZE, overlap=OVERLAP).groupBy("doc_id").agg(F.count("*").alias("n"))
+    text = files.join(chunks, "doc_id", "left").select("path", "success", F.coalesce("n", F.lit(0)).alias("chunks"), "error")
+    visual = SF.visual_supported(stored_files(spark, folder))
+    pages = F.ceil(F.length(F.decode("content", "UTF-8")) / 3000).cast("bigint")
+    return text, visual.select("path", "success", F.when(F.col("success"), pages).otherwise(0).alias("pages"), "error")
 
 
 @query(
     "ingest_report",
     f"""SELECT {_SQL_SUPPORTED} AS success, CASE WHEN NOT {_SQL_SUPPORTED} THEN 'Unsupported file format: ' || extension END AS error,
-      count(*) AS files, CAST(sum(CASE WHEN {_SQL_SUPPORTED} THEN size % 7 ELSE 0 END) AS BIGINT) AS total_chunks FROM {SQL_FILES} GROUP BY 1, 2""",
+      count(*) AS files, CAST(sum({SQL_CHUNKED}) AS BIGINT) AS total_chunks FROM {SQL_FILES} GROUP BY 1, 2""",
 )
 def ingest_report(spark, folder):
     return SF.ingest_report(_ingested(spark, folder)[0])
@@ -118,10 +130,10 @@ def ingest_report(spark, folder):
 
 @query(
     "combine_ingest",
-    f"""SELECT '/data/' || source || '/' || filename AS path, {_SQL_SUPPORTED} AS text_success, extension = '.pdf' AND size % 3 <> 0 AS visual_success,
-      CASE WHEN {_SQL_SUPPORTED} THEN size % 7 ELSE 0 END AS text_chunks, CASE WHEN extension = '.pdf' AND size % 3 <> 0 THEN size % 5 ELSE 0 END AS visual_pages,
-      {_SQL_SUPPORTED} AS success, CASE WHEN NOT {_SQL_SUPPORTED} THEN 'Text: Unsupported file format: ' || extension
-        || CASE WHEN size % 3 <> 0 THEN '; Visual: Visual mode only supports PDF files' ELSE '' END END AS error FROM {SQL_FILES}""",
+    f"""SELECT '/data/' || source || '/' || filename AS path, {_SQL_SUPPORTED} AS text_success, extension = '.pdf' AS visual_success,
+      {SQL_CHUNKED} AS text_chunks, CASE WHEN extension = '.pdf' THEN CAST(ceil(length(text) / 3000.0) AS BIGINT) ELSE 0 END AS visual_pages,
+      {_SQL_SUPPORTED} AS success, CASE WHEN NOT {_SQL_SUPPORTED} THEN 'Text: Unsupported file format: ' || extension || '; Visual: Visual mode only supports PDF files' END AS error
+    FROM {SQL_FILES}""",
 )
 def combine_ingest(spark, folder):
     return SF.combine_ingest(*_ingested(spark, folder))
@@ -129,30 +141,32 @@ def combine_ingest(spark, folder):
 
 @query(
     "corpus_stats",
-    f"""SELECT source, count_if({_SQL_SUPPORTED}) AS files_processed, CAST(sum(n_chars) AS BIGINT) AS total_pages, count_if(NOT {_SQL_SUPPORTED}) AS errors,
-      round(sum(size / 1000::DOUBLE), 3) AS processing_time FROM {SQL_FILES} GROUP BY source""",
+    f"""SELECT source, count_if({_SQL_SUPPORTED}) AS files_processed, CAST(sum(CASE WHEN extension = '.pdf' THEN ceil(length(text) / 3000.0) ELSE 0 END) AS BIGINT) AS total_pages,
+      count_if(NOT {_SQL_SUPPORTED}) AS errors, true AS took_time FROM {SQL_FILES} GROUP BY source""",
 )
 def corpus_stats(spark, folder):
-    files = SF.supported(stored_files(spark, folder)).select(
-        F.get(F.split("path", "/"), F.lit(2)).alias("source"), "success", F.length(F.decode("content", "UTF-8")).alias("pages"),
-        (F.col("length") / 1000).alias("seconds"),
-    )
-    return EV.corpus_stats(files, ("source",)).withColumn("processing_time", F.round("processing_time", 3))
+    """Statistics of an ingest that is run and timed here."""
+    began = time.perf_counter()
+    outcome = written(SF.combine_ingest(*_ingested(spark, folder)), "ingested")
+    seconds = F.lit(time.perf_counter() - began) / outcome.count()
+    files = outcome.select(F.get(F.split("path", "/"), F.lit(2)).alias("source"), "success", F.col("visual_pages").alias("pages"), seconds.alias("seconds"))
+    return EV.corpus_stats(files, ("source",)).withColumn("took_time", F.col("processing_time") > 0).drop("processing_time")
 
 
 # ---------------------------------------------------------------- evaluation records
 
 
 def evaluation_results(spark, folder):
-    """Search results as the passages of evaluation records: two retrievers, five passages each."""
+    """Search results as the passages of evaluation records: vectors for one retriever, pages for the other."""
     a = B.exact_topk(as_queries(spark, folder), vectors(spark, folder), 5)
-    b = a.filter(F.col("rank") > 1)
+    b = B.visual_topk(as_queries(spark, folder), patches(spark, folder), 3).select("query_id", F.col("doc_id").alias("id"), "score", "rank")
     both = a.withColumn("retriever_type", F.lit("text")).unionByName(b.withColumn("retriever_type", F.lit("visual")))
     return both.withColumn("completeness_score", F.lit(1.0))
 
 
 SQL_EVAL = f"""e AS (SELECT query_id, 'text' AS retriever_type, score FROM ({_sql_topk(5)}) UNION ALL
-    SELECT query_id, 'visual', score FROM ({_sql_topk(5)}) WHERE rank > 1),
+    SELECT query_id, 'visual', round(score, 6) FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM (
+      SELECT a.vec_id AS query_id, b.label, max(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12)) AS score FROM embeddings a, embeddings b GROUP BY ALL)) WHERE rank <= 3),
   s AS (SELECT query_id, retriever_type, avg(r) AS relevance_score, max(r) AS accuracy_score, 1.0::DOUBLE AS completeness_score,
     avg(r) * 0.4::DOUBLE + 0.3::DOUBLE + max(r) * 0.3::DOUBLE AS overall_score FROM (SELECT *, round(score, 3) AS r FROM e) GROUP BY ALL)"""
 _SCORES = ("relevance_score", "accuracy_score", "completeness_score", "overall_score")
@@ -249,12 +263,11 @@ def recent_history(spark, folder):
 
 @query(
     "index_summary",
-    """SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS total_documents, (SELECT count(*) FROM lineitem) AS total_chunks, true AS text_ready,
+    f"""WITH {SQL_CHUNKS} SELECT (SELECT count(DISTINCT doc_id) FROM chunks) AS total_documents, (SELECT count(*) FROM chunks) AS total_chunks, true AS text_ready,
       count(DISTINCT label) AS visual_documents, count(DISTINCT (label, vec_id % 5)) AS pages_indexed, true AS visual_ready FROM embeddings""",
 )
 def index_summary(spark, folder):
-    chunks = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
-    return EV.index_summary(chunks, patches(spark, folder))
+    return EV.index_summary(text_chunks(spark, folder), patches(spark, folder))
 
 
 # ---------------------------------------------------------------- streams

@@ -15,6 +15,10 @@ from passagework.operators import selection as R
 from passagework.session import scratch_path, written
 
 
+#: What each source has answered with, in tokens, whether it was chosen or not.
+SPENT = {K.PAGE_IMAGE_SOURCE: "image_tokens", K.KNOWLEDGE_SOURCE: "knowledge_tokens", K.TEXT_SOURCE: "text_tokens"}
+
+
 def _described(chunks: DataFrame) -> DataFrame:
     """id, text, filename, page; the last two are null where unknown."""
     known = {c: F.col(c) if c in chunks.columns else F.lit(None).cast("string") for c in ("filename", "page")}
@@ -108,9 +112,10 @@ def answer_all_sources(
     # At most one row per source and query; written so that later filters do not compute the answers again.
     found = written(gather_candidates(text, visual, knowledge_answers(queries, articles, asked)), "candidates")
     best = R.select_best(found.join(queries, "query_id"), queries)
-    joined = best.join(queries, "query_id")
+    used = [F.coalesce(F.sum(F.when(F.col("source_type") == s, R.estimated_tokens(F.col("answer")))), F.lit(0.0)).alias(c) for s, c in SPENT.items()]
+    joined = best.join(queries, "query_id").join(found.groupBy("query_id").agg(*used), "query_id")
     cleaned = clean_answer(F.col("answer"), F.col("source_type"))
-    tokens = R.token_breakdown(F.col("query"), cleaned, F.lit(0), F.lit(0), F.lit(0))
+    tokens = R.token_breakdown(F.col("query"), cleaned, *(F.col(c) for c in SPENT.values()))
     return joined.select(
         "query_id", "success", "source_type", cleaned.alias("answer"), "score", "rerank_score", "combined_score",
         R.confidence_band(F.col("combined_score")).alias("confidence_band"), tokens["total_tokens"].alias("total_tokens"),

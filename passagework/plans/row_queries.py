@@ -174,13 +174,14 @@ def row_count(spark, folder):
     return sheets(spark, folder).select("doc_id", R.row_count(F.col("content")).alias("n"))
 
 
-@query("field_lookup", f"SELECT doc_id, company, lang AS flag FROM {SQL_SHEETS} WHERE i = 1")
+@query("field_lookup", f"SELECT doc_id, i AS line, company, lang AS flag FROM {SQL_SHEETS}")
 def field_lookup(spark, folder):
-    first = F.substring_index("content", "\n", 1)
-    return sheets(spark, folder).select(
-        "doc_id",
-        R.field_value(first, ["firm", "company"]).alias("company"),
-        R.field_value(first, ["flag"]).alias("flag"),
+    """The fields of every line of every sheet."""
+    lines = sheets(spark, folder).select("doc_id", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    return lines.select(
+        "doc_id", (F.col("at") + 1).cast("bigint").alias("line"),
+        R.field_value(F.col("text"), ["firm", "company"]).alias("company"),
+        R.field_value(F.col("text"), ["flag"]).alias("flag"),
     )
 
 

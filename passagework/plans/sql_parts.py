@@ -57,13 +57,18 @@ TITLES = [
     "Flight no-show process", "New car booking", "Guest complaint resolution", "Escalation procedures",
     "Modify flight reservation", "Payment overview", "Refund of air tickets",
 ]
-PHRASES = [
-    "Steps to cancel my hotel room", "I want to modify the flight to Lisbon", "Can we book a new car?", "Passenger was a no-show on the flight",
-    "Our guest arrives late at the hotel", "Which fee applies to a flight no-show?",
-    "Escalate a complaint about a rented car", "Where do the ferries leave?", "Rules for air ticket cancellation",
-    "Change the dates of a hotel stay", "is it", "Based on the chart, how many flights?", "Who is the manager?",
-    "Explain retrieval performance of the graph", "???", "Fee waiver exception for a missed flight",
-]
+def _phrases() -> list[str]:
+    """Questions by rule: every action with every service, scenarios and contexts, and some that have no intent."""
+    frames = ("We need to {} our {}", "{} one {} by Friday", "The {} of this {} is unclear")
+    verbs = [words[-1] for words in K.ACTION_KEYWORDS.values()]
+    things = [words[-1] for words in K.SERVICE_KEYWORDS.values()]
+    out = [frames[(n + k) % len(frames)].format(v, t) for n, v in enumerate(verbs) for k, t in enumerate(things)]
+    out += [f"{p}: {things[n % len(things)]}" for n, p in enumerate(K.SCENARIO_PHRASES) if n % 3 == 0]
+    out += [f"{words[0]} for the {things[n % len(things)]}, please" for n, words in enumerate(K.CONTEXT_KEYWORDS.values())]
+    return [*out, "Blue or green?", "to be", "?!", f"{K.EXPLICIT_CHART_QUERY[0]} per week"]
+
+
+PHRASES = _phrases()
 SQL_ARTICLES = f"""(SELECT doc_id AS article_id, {str_list(TITLES)}[1 + (doc_id * 7 + n_chars) % {len(TITLES)}] || ' ' || source
     || ' ' || string_split(text, ' ')[1] AS title,
   '<p>' || text || '</p><b>See the ' || source || ' guide &amp; rules</b>' AS body,

@@ -309,13 +309,26 @@ def patch_explode(spark, folder):
 
 @query(
     "append_vectors",
-    """SELECT label, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM (
-      SELECT label, row_number() OVER (ORDER BY label, vec_id) - 1 + 1000 AS id FROM embeddings) GROUP BY label""",
+    f"""SELECT id, vec_id, list_transform({SQL_UNIT}, lambda x: CAST(round(x * 1e5) AS INT)) AS unit FROM (
+      SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY label >= 5, label, vec_id) - 1 AS id FROM embeddings)""",
 )
 def append_vectors(spark, folder):
-    stored = spark.range(1000)
-    new = ST.prepare_vectors(table(spark, folder, "embeddings"), 64, ["label", "vec_id"], stored)
-    return new.groupBy("label").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"))
+    """A stored batch, a second one appended after its ids, and both read back."""
+    path, rows = scratch_path(spark, "store"), table(spark, folder, "embeddings")
+    ST.write_vectors(ST.prepare_vectors(rows.where("label < 5"), 64, ["label", "vec_id"]), path)
+    ST.write_vectors(ST.prepare_vectors(rows.where("label >= 5"), 64, ["label", "vec_id"], ST.read_vectors(spark, path)), path)
+    return ST.read_vectors(spark, path).select("id", "vec_id", _whole("embedding").alias("unit"))
+
+
+@query("embed_batch", "SELECT doc_id, CASE WHEN trim(text) = '' THEN [0, 0] ELSE [length(text), length(text) - length(replace(text, 'e', ''))] END AS counts FROM documents")
+def embed_batch(spark, folder):
+    """An embedder of one's own, called with lists of texts."""
+    rows = E.embed_with(table(spark, folder, "documents").select("doc_id", "text"), _letters, 2)
+    return rows.where("embedding_error is null").select("doc_id", F.col("embedding").cast("array<int>").alias("counts"))
+
+
+def _letters(texts):
+    return [[len(t), t.count("e")] for t in texts]
 
 
 @query(

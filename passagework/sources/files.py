@@ -70,12 +70,12 @@ def visual_supported(files: DataFrame) -> DataFrame:
     return files.withColumns({"success": ok, "error": F.when(~ok, "Visual mode only supports PDF files")})
 
 
-def upload_rejection(path: Column, size: Column) -> Column:
+def upload_rejection(path: Column, size: Column, limit: int = K.UPLOAD_LIMIT_BYTES) -> Column:
     """Reason to reject an upload, or null."""
     return (
         F.when(
-            size > K.UPLOAD_LIMIT_BYTES,
-            F.concat(F.lit("too large ("), F.format_string("%.1f", size / (1024.0 * 1024.0)), F.lit("MB), at most 200MB")),
+            size > limit,
+            F.concat(F.lit("too large ("), F.format_string("%.1f", size / (1024.0 * 1024.0)), F.lit(f"MB), at most {limit / 1048576:g}MB")),
         )
         .when(size == 0, "empty")
         .when(
