@@ -21,6 +21,7 @@ from passagework.functions.query import extract_intent
 from passagework.functions.text import (
     computed_once, contains_any, count_contained, empty_strings, first_label, let, long_words, strip, strip_html, words,
 )
+from passagework.operators import word_bitmaps as WB
 from passagework.session import written
 
 QUERY = "query_id"
@@ -86,6 +87,13 @@ def _title_tokens(articles: DataFrame) -> DataFrame:
     )
 
 
+def _spoken(queries: DataFrame) -> DataFrame:
+    """query_id, q, w, phrase of the questions that are not null."""
+    low = F.lower("query")
+    asked = queries.where(F.col("query").isNotNull())
+    return asked.select(F.col(QUERY).cast("bigint").alias(QUERY), low.alias("q"), long_words(F.col("query")).alias("w"), F.regexp_replace(low, "[?!]", "").alias("phrase"))
+
+
 def title_candidates(queries: DataFrame, articles: DataFrame, limit: int | None) -> DataFrame:
     """Per query the ``limit`` newest articles whose title contains one of its long words; all without a limit.
 
@@ -95,6 +103,9 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int | None)
     def plain(c):
         return F.regexp_replace(c, "[?!]", "")
 
+    if limit is None:
+        known = WB.numbered(articles, F.lower("title"), F.lit(""))
+        return WB.title_hits(_spoken(queries), known, contained_in_tokens).join(known.select("n", "article_id", "modified"), "n").drop("n")
     phrase = plain(F.lower("query"))
     asked = queries.select(QUERY, long_words(F.col("query")).alias("w"), phrase.alias("phrase"))
     by_word = asked.filter(F.size("w") > 0).select(
@@ -131,8 +142,6 @@ def title_candidates(queries: DataFrame, articles: DataFrame, limit: int | None)
     )
     phrase_hits = spoken.join(per_phrase, "phrase").select(QUERY, "article_id", "modified")
 
-    if limit is None:
-        return word_hits.unionByName(phrase_hits).distinct()
     everything = by_word.filter(F.col("part") == "").select(QUERY).union(
         phrases.filter(F.col("part").isNull()).select(QUERY)
     )
@@ -159,31 +168,6 @@ def _ranked(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def content_hits(missed: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(query_id, article_id, content_matches) over all bodies, for queries with their text ``q`` and long words ``w``.
-
-    Distinct words meet distinct tokens of the bodies; a body is read again only where it has all words of a
-    query and may hold the whole phrase. ``bodies``: article_id, b.
-    """
-    tokens = written(bodies.select("article_id", F.explode(F.array_distinct(words("b"))).alias("token")), "body-words")
-    by_word = missed.select(QUERY, F.explode("w").alias("part")).groupBy(QUERY, "part").agg(F.count("*").alias("times"))
-    longest = F.array_max(F.transform(words(F.col("q")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    spoken = missed.filter(F.size("w") == 0).select(QUERY, longest.alias("part"), F.lit(0).cast("long").alias("times"))
-    parts = written(by_word.unionByName(spoken.filter(F.col("part").isNotNull())), "words")
-    pairs = contained_in_tokens(parts.select("part").distinct(), tokens.select("token").distinct())
-    holding = pairs.join(tokens, "token").select("part", "article_id").distinct()
-    counted = written(parts.join(holding, "part").groupBy(QUERY, "article_id").agg(F.sum("times").alias("n")), "word-hits")
-    whole = (
-        counted.join(missed.select(QUERY, "q", F.size("w").alias("all")), QUERY)
-        .filter(F.col("n") == F.col("all"))
-        .join(bodies, "article_id")
-        .filter(F.contains("b", "q"))
-        .select(QUERY, "article_id", F.lit(2).alias("phrase"))
-    )
-    matches = F.col("n") + F.coalesce("phrase", F.lit(0))
-    return counted.join(whole, [QUERY, "article_id"], "left").select(QUERY, "article_id", matches.cast("int").alias("content_matches"))
-
-
 def keyword_search(
     queries: DataFrame, articles: DataFrame, limit: int = 5, fallback_all: bool = False, newest: int | None = None
 ) -> DataFrame:
@@ -198,17 +182,51 @@ def keyword_search(
 
 
 def _keyword_search(queries: DataFrame, articles: DataFrame, limit: int, fallback_all: bool, newest: int | None) -> DataFrame:
+    if newest is None:
+        results = _keyword_scores(queries, articles, limit)
+    else:
+        results = _newest_keyword_scores(queries, articles, newest)
+    if fallback_all:
+        results = written(results, "keyword-hits")
+        left = queries.select(QUERY).join(results.select(QUERY).distinct(), QUERY, "left_anti")
+        last = with_each_of_newest(left, articles.select("article_id", "modified", "title"), limit)
+        results = results.unionByName(
+            last.select(
+                QUERY, "article_id", "modified", "title", F.lit(0.2).alias("relevance_score"),
+                F.lit(0).alias("title_matches"), F.lit(0).alias("content_matches"),
+                F.lit("fallback_all").alias("search_method"),
+            )
+        )
+    return _ranked(results, F.desc("relevance_score")).filter(F.col("rank") <= limit)
+
+
+def _title_and_body() -> tuple[Column, Column]:
+    return F.lower(F.regexp_replace("title", "<[^>]+>", "")), F.lower(strip_html(F.col("body"), unescape=False))
+
+
+def _keyword_scores(queries: DataFrame, articles: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best of all hits, from bitmaps of words."""
+    known = WB.numbered(articles, *_title_and_body())
+    found = WB.search(_spoken(queries), known, contained_in_tokens, limit)
+    # ranked before titles are joined; the number tells the newest first
+    w = Window.partitionBy(QUERY).orderBy(F.desc("relevance_score"), "n")
+    best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    return best.join(known.select("n", "article_id", "modified", "title"), "n").select(
+        QUERY, "article_id", "modified", "title", "relevance_score", "title_matches", "content_matches",
+        F.when(F.col("method") == WB.TITLE, "title_search").otherwise("content_search").alias("search_method"),
+    )
+
+
+def _newest_keyword_scores(queries: DataFrame, articles: DataFrame, newest: int) -> DataFrame:
+    """The newest title hits, else the newest articles' bodies."""
     low = F.lower("query")
     asked = queries.select(QUERY, "query", low.alias("q"), long_words(F.col("query")).alias("w"))
     words_n = F.greatest(F.lit(1), F.size("w"))
-    body = F.lower(strip_html(F.col("body"), unescape=False))
+    title, body = _title_and_body()
 
-    # Used three times below: ids only.
+    # Used twice below: ids only.
     found = written(title_candidates(queries, articles, newest), "title-hits")
-    title = F.lower(F.regexp_replace("title", "<[^>]+>", ""))
     known = articles.select("article_id", "modified", "title", title.alias("t"), body.alias("b"))
-    if newest is None:  # an article may be hit by very many questions, so it is prepared before it meets them
-        known = written(known, "articles")
     scored = (
         found.select(QUERY, "article_id")
         .join(known, "article_id")
@@ -227,30 +245,15 @@ def _keyword_search(queries: DataFrame, articles: DataFrame, limit: int, fallbac
     )
 
     missed = asked.join(found.select(QUERY).distinct(), QUERY, "left_anti")
-    if newest is None:
-        hits = content_hits(missed, known.select("article_id", "b")).join(missed.select(QUERY, words_n.alias("n")), QUERY)
-        matched = hits.join(known.select("article_id", "modified", "title"), "article_id")
-    else:
-        recent = with_each_of_newest(missed, articles, 3 * newest, b=body)
-        matches = count_contained(F.col("b"), F.col("w")) + F.when(F.contains("b", "q"), 2).otherwise(0)
-        matched = computed_once(recent, "content_matches", matches).withColumn("n", words_n)
+    recent = with_each_of_newest(missed, articles, 3 * newest, b=body)
+    matches = count_contained(F.col("b"), F.col("w")) + F.when(F.contains("b", "q"), 2).otherwise(0)
+    matched = computed_once(recent, "content_matches", matches).withColumn("n", words_n)
     by_content = matched.filter(F.col("content_matches") > 0).select(
         QUERY, "article_id", "modified", "title",
         F.least(F.lit(1.0), F.col("content_matches") * 0.4 / F.col("n")).alias("relevance_score"),
         F.lit(0).alias("title_matches"), "content_matches", F.lit("content_search").alias("search_method"),
     )
-    results = by_title.unionByName(by_content)
-    if fallback_all:
-        left = missed.select(QUERY).join(by_content.select(QUERY).distinct(), QUERY, "left_anti")
-        last = with_each_of_newest(left, articles.select("article_id", "modified", "title"), limit)
-        results = results.unionByName(
-            last.select(
-                QUERY, "article_id", "modified", "title", F.lit(0.2).alias("relevance_score"),
-                F.lit(0).alias("title_matches"), F.lit(0).alias("content_matches"),
-                F.lit("fallback_all").alias("search_method"),
-            )
-        )
-    return _ranked(results, F.desc("relevance_score")).filter(F.col("rank") <= limit)
+    return by_title.unionByName(by_content)
 
 
 # ---------------------------------------------------------------- intent search

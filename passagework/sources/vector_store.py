@@ -11,7 +11,7 @@ from passagework.session import written
 _ROW_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
-def assign_ids(df: DataFrame, order_by: list[str], first_id: int = 0) -> DataFrame:
+def assign_ids(df: DataFrame, order_by: list[str | Column], first_id: int = 0) -> DataFrame:
     """Adds dense ids from ``first_id`` in the order of ``order_by``.
 
     Range partitions are numbered on their own and shifted by the sizes of the
