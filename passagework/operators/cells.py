@@ -56,7 +56,8 @@ def _put(vectors: DataFrame, centres: np.ndarray, path: str, batch: int) -> None
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells), pa.array(distance)], names=schema.names)
 
     spark, place = vectors.sparkSession, f"{path}/vectors/batch={batch}"
-    rows.mapInArrow(assign, schema).where("cell > -2").write.mode("overwrite").partitionBy("cell").parquet(place)
+    # a cell's rows come together in files of a fair size, and a large cell in several
+    rows.mapInArrow(assign, schema).where("cell > -2").hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(place)
     held = spark.read.schema(schema).parquet(place).groupBy("cell").agg(F.max("distance").alias("radius"), F.count("*").alias("rows"))
     known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)] + [(B.NO_CELL, None)], "cell int, centre array<double>")
     facts = known.join(held, "cell", "left").select("cell", "centre", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("rows", F.lit(0)).alias("rows"))

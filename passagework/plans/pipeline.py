@@ -12,7 +12,7 @@ from passagework.operators import answers as A
 from passagework.operators import knowledge as KB
 from passagework.operators import postings as PO
 from passagework.operators import selection as R
-from passagework.session import scratch_path, written
+from passagework.session import written
 
 
 #: What each source has answered with, in tokens, whether it was chosen or not.
@@ -49,13 +49,12 @@ def search_index(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """The k best chunks per query with content and file; the chunks are indexed for this search.
+    """The k best chunks per query with content and file; contents are joined after the ranking.
 
     ``queries``: query_id, query; ``chunks``: id, text and, when known, filename, page.
     """
-    path = scratch_path(queries.sparkSession, "index")
-    build_index(chunks, path)
-    return search_index(queries, path, k)
+    hits = written(PO.search_once(queries, chunks, k), "hits")
+    return hits.join(_described(chunks).withColumnRenamed("text", "content"), "id")
 
 
 def text_query(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

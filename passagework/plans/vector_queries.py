@@ -405,7 +405,7 @@ def text_index(spark, folder):
 
 
 def text_search(spark, folder, k=5):
-    return PO.search(passages(spark, folder), text_index(spark, folder), k, "text")
+    return PO.search_once(passages(spark, folder), text_chunks(spark, folder), k, "text")
 
 
 @query(
