@@ -36,8 +36,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 LEAST_WORDS, FULL_WORDS, WINDOW = 5, 10, 13
 BITS = 26  # of the table that filters seeds: 8 MB, however large the benchmark is
 HOT = 1000  # items that a seed may have before it is dealt into parts
-GROUP = 20_000  # (text, item, offset) that one group compares
-CELLS = 4_000_000
+GROUP = 4_000  # (text, item, offset) that one group compares
+CELLS = 1_000_000
 SEED = "mask int, seed long, item long, at int"
 PLACE = "digest binary, mask int, seed long, pos int"
 
@@ -157,17 +157,19 @@ def places_of(documents: DataFrame, text: str, plans: list, bits: np.ndarray) ->
 def _compared(texts: pa.Table, found: pa.Table) -> pa.Table:
     """The best overlap of each text and item in one group."""
     memo = Memo(hash_word)
-    words = {d: word_hashes(t, memo) for d, t in zip(texts.column("digest").to_pylist(), texts.column("text").to_pylist())}
-    digests, items = found.column("digest").to_pylist(), found.column("item").to_numpy()
-    starts, asked = found.column("start").to_numpy(), found.column("words")
-    rows: dict[tuple[bytes, int], list[int]] = {}
-    for n, key in enumerate(zip(digests, items.tolist())):
-        rows.setdefault(key, []).append(n)
+    place = {d: n for n, d in enumerate(texts.column("digest").to_pylist())}
+    starts, asked, items = found.column("start").to_numpy(), found.column("words"), found.column("item").to_numpy().tolist()
+    rows: dict[bytes, dict[int, list[int]]] = {}
+    for n, digest in enumerate(found.column("digest").to_pylist()):
+        rows.setdefault(digest, {}).setdefault(items[n], []).append(n)
     out: list[tuple] = []
-    for (digest, item), at in rows.items():
-        held = agreeing(words[digest], asked[at[0]].values.to_numpy(zero_copy_only=False).view(np.uint64), starts[at])
-        if best := min(((-m, s) for m, s in held), default=None):
-            out.append((digest, item, -best[0], best[1]))
+    for digest, by_item in rows.items():  # the words of one text at a time
+        words = word_hashes(texts.column("text")[place[digest]].as_py(), memo)
+        memo.trim()
+        for item, at in by_item.items():
+            held = agreeing(words, asked[at[0]].values.to_numpy(zero_copy_only=False).view(np.uint64), starts[at])
+            if best := min(((-m, s) for m, s in held), default=None):
+                out.append((digest, item, -best[0], best[1]))
     columns = list(zip(*out)) if out else [[]] * 4
     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", "item", "matched", "first"])
