@@ -384,7 +384,7 @@ SQL_SEARCH = f"""{SQL_CHUNKS}, {SQL_VECTORS},
   idf AS (SELECT w, ln(((SELECT count(*) FROM chunks) + 1) / (count(*) + 1)) AS idf FROM c_w GROUP BY w),
   asked AS (SELECT item_id AS id, text FROM benchmark),
   q_v AS (SELECT id, w, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (SELECT id, w, x * idf AS x FROM ({SQL_WORDS.format('asked')}) JOIN idf USING (w)) WHERE x > 0),
-  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM (
     SELECT q_v.id AS query_id, c_v.id, sum(q_v.x * c_v.x) AS score FROM q_v JOIN c_v USING (w) GROUP BY ALL)) WHERE rank <= 5)"""
 
 
