@@ -230,7 +230,28 @@ def answer_router(spark, folder):
     return asked.select("doc_id", A.answer(F.col("text"), F.col("question")).alias("answer"))
 
 
-@query("relevant_excerpt")
+def _bare(tokens: str) -> str:
+    return f"list_distinct(list_transform({tokens}, lambda w: trim(lower(w), {S.lit(K.EXCERPT_PUNCTUATION)})))"
+
+
+# A ranked sentence is three steps: itself (1), the one before it (2), the one after it (3). The state has the same
+# fields: text, its length without the spaces between sentences, and whether neighbours of the sentence at hand may join.
+SQL_STEP = """CASE WHEN y.step = 1 AND x.n < 400 THEN {'text': CASE WHEN x.text = '' THEN y.text ELSE x.text || ' ' || y.text END, 'n': x.n + y.n, 'step': 1, 'open': x.n + y.n < 300}
+    WHEN y.step = 1 THEN {'text': x.text, 'n': x.n, 'step': 1, 'open': false}
+    WHEN x.open AND y.text IS NOT NULL AND NOT contains(x.text, y.text) AND x.n + y.n < 400
+      THEN {'text': CASE WHEN y.step = 2 THEN y.text || ' ' || x.text ELSE x.text || ' ' || y.text END, 'n': x.n + y.n, 'step': 1, 'open': x.open}
+    ELSE x END"""
+SQL_EXCERPT = f"""WITH s AS (SELECT doc_id, plain, {_bare("list_filter(" + S.words('question') + ", lambda w: length(w) > 2)")} AS wanted,
+    list_transform(list_filter(list_transform(string_split(plain, '.'), lambda s: {S.strip('s')}), lambda s: length(s) > 10), lambda s: s || '.') AS ss
+    FROM (SELECT doc_id, question, array_to_string({S.words('text')}, ' ') AS plain FROM {SQL_ASKED})),
+  r AS (SELECT doc_id, plain, ss, list_sort(list_filter(list_transform(range(1, len(ss) + 1), lambda i: {{'cost': -len(list_intersect(wanted, {_bare(S.words('ss[i]'))})), 'i': i}}), lambda h: h.cost < 0)) AS ranked FROM s),
+  steps AS (SELECT *, flatten(list_transform(ranked, lambda h: list_transform([1, 2, 3], lambda k: {{'text': ss[h.i + [0, -1, 1][k]], 'n': coalesce(length(ss[h.i + [0, -1, 1][k]]), 0), 'step': k, 'open': false}}))) AS steps FROM r),
+  built AS (SELECT *, list_reduce(steps, lambda x, y: {SQL_STEP}, {{'text': '', 'n': 0::BIGINT, 'step': 1, 'open': false}}).text AS built FROM steps)
+  SELECT doc_id, CASE WHEN built <> '' THEN built WHEN len(ss) = 0 THEN left(plain, 500) || CASE WHEN length(plain) > 500 THEN '...' ELSE '' END
+    ELSE left(plain, 400) || CASE WHEN length(plain) > 400 THEN '...' ELSE '' END END AS excerpt FROM built"""
+
+
+@query("relevant_excerpt", SQL_EXCERPT)
 def relevant_excerpt(spark, folder):
     return asked_documents(spark, folder).select("doc_id", A.relevant_excerpt(F.col("text"), F.col("question")).alias("excerpt"))
 
