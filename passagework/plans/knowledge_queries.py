@@ -352,21 +352,25 @@ _SQL_OTHER = " + ".join(
 )
 
 
-def _sql_sentences(best: str) -> str:
-    return f"""WITH {best},
-    c AS (SELECT query_id, i.query, {S.first_label('i.low', K.ANSWER_ACTIONS)} AS action, title, relevance_score, {S.SQL_CLEAN_BODY} AS content
-      FROM best JOIN i USING (query_id) JOIN a USING (article_id)),
-    s0 AS (SELECT *, list_filter(list_transform(string_split(content, '.'), lambda y: {S.strip('y')}), lambda y: length(y) > 15) AS ss FROM c),
-    s AS (SELECT query_id, action, {S.long_words('query')} AS w, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM s0),
-    p AS (SELECT query_id, s, pos, len(list_filter(w, lambda y: contains(x, y))) + CASE WHEN {S.label_says('action', 'x', K.ANSWER_ACTIONS)} THEN 3 ELSE 0 END
+def sql_article_answers(asked: str) -> str:
+    """CTEs up to article_answers (query_id, answer): what the ``best`` articles say to the questions ``asked``."""
+    return f"""ans_c AS (SELECT query_id, {asked}.query, {S.first_label(asked + '.low', K.ANSWER_ACTIONS)} AS action, title, relevance_score, {S.SQL_CLEAN_BODY} AS content
+      FROM best JOIN {asked} USING (query_id) JOIN a USING (article_id)),
+    ans_s0 AS (SELECT *, list_filter(list_transform(string_split(content, '.'), lambda y: {S.strip('y')}), lambda y: length(y) > 15) AS ss FROM ans_c),
+    ans_s AS (SELECT query_id, action, {S.long_words('query')} AS w, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM ans_s0),
+    ans_p AS (SELECT query_id, s, pos, len(list_filter(w, lambda y: contains(x, y))) + CASE WHEN {S.label_says('action', 'x', K.ANSWER_ACTIONS)} THEN 3 ELSE 0 END
       + CASE WHEN {S.any_in('x', K.PROCEDURE_WORDS)} THEN 1 ELSE 0 END - CASE WHEN {S.any_in('x', K.FLUFF_WORDS)} THEN 2 ELSE 0 END
-      - coalesce({_SQL_OTHER}, 0) AS score FROM (SELECT *, lower(s) AS x FROM s)),
-    t AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS n FROM p WHERE score > 0),
-    u AS (SELECT query_id, s, n FROM t WHERE n <= 4 UNION ALL SELECT query_id, s, pos FROM s WHERE pos <= 3 AND query_id NOT IN (SELECT query_id FROM t)),
-    v AS (SELECT query_id, string_agg(n || '. ' || s || CASE WHEN s LIKE '%.' THEN '' ELSE '.' END || chr(10), '' ORDER BY n) AS body FROM u GROUP BY 1)
-    SELECT query_id, CASE WHEN length(content) < 200 THEN 'Based on ''' || title || ''': ' || content
+      - coalesce({_SQL_OTHER}, 0) AS score FROM (SELECT *, lower(s) AS x FROM ans_s)),
+    ans_t AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS n FROM ans_p WHERE score > 0),
+    ans_u AS (SELECT query_id, s, n FROM ans_t WHERE n <= 4 UNION ALL SELECT query_id, s, pos FROM ans_s WHERE pos <= 3 AND query_id NOT IN (SELECT query_id FROM ans_t)),
+    ans_v AS (SELECT query_id, string_agg(n || '. ' || s || CASE WHEN s LIKE '%.' THEN '' ELSE '.' END || chr(10), '' ORDER BY n) AS body FROM ans_u GROUP BY 1),
+    article_answers AS (SELECT query_id, CASE WHEN length(content) < 200 THEN 'Based on ''' || title || ''': ' || content
       ELSE 'Based on ''' || title || ''' (relevance: ' || printf('%.2f', relevance_score) || '):' || chr(10) || chr(10) || coalesce(body, '') END AS answer
-    FROM c LEFT JOIN v USING (query_id)"""
+    FROM ans_c LEFT JOIN ans_v USING (query_id))"""
+
+
+def _sql_sentences(best: str) -> str:
+    return f"WITH {best}, {sql_article_answers('i')} SELECT query_id, answer FROM article_answers"
 
 
 @query("answer_sentences", _sql_sentences(SQL_BEST))
