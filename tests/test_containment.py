@@ -40,3 +40,17 @@ def test_empty_tables(spark):
     chunks = spark.createDataFrame([(1, "x")], "id long, text string")
     assert containment.contained(asked.limit(0), chunks).count() == 0
     assert containment.contained(asked, chunks.limit(0)).count() == 0
+
+
+def test_a_batch_of_texts_is_hashed_piece_by_piece(spark, monkeypatch):
+    """Texts that are neighbours in a piece share no run; a task keeps only prints that passages have."""
+    monkeypatch.setattr(containment, "PIECE", 64)
+    words = ["alpha beta", "gamma delta epsilon zeta eta", "x" * 200, None, "", "theta"]
+    chunks = [(k, words[k % len(words)]) for k in range(60)]
+    frame = spark.createDataFrame(chunks, "id long, text string").coalesce(1)
+    asked = [(1, "a beta"), (2, "betagamma"), (3, "x" * 120), (4, "epsilon zeta eta"), (5, "etax"), (6, "theta")]
+    got = containment.contained(spark.createDataFrame(asked, "query_id long, text string"), frame).collect()
+    assert sorted((r.query_id, r.id) for r in got) == sorted((q, i) for q, p in asked for i, t in chunks if t and p in t)
+    prints = spark.createDataFrame([(int(x),) for x in containment.fingerprints("theta", 5, 1)], "print long")
+    held = containment._held(frame, [(g, 1) for g in range(1, 40)], containment._bit_table(prints)).collect()
+    assert {r.id for r in held if r.grid == 5 * containment.GRID + 1} == {k for k, t in chunks if t == "theta"} and len(held) < 100
