@@ -273,9 +273,13 @@ def index_summary(spark, folder):
 # ---------------------------------------------------------------- streams
 
 
+def arriving(spark, folder, name):
+    """A table as it arrives: one file or a folder of them. A stream takes a file by a pattern only."""
+    return J.read_folder(spark, f"{folder}/{name}.parque[t]", table(spark, folder, name).schema)
+
+
 def event_stream(spark, folder):
-    schema = table(spark, folder, "events").schema
-    log = query_log(J.read_folder(spark, folder, schema, "events.parquet"))
+    log = query_log(arriving(spark, folder, "events"))
     # The times are UTC without a zone; a watermark needs instants.
     return log.withColumn("at", F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
 
@@ -344,6 +348,6 @@ def stream_to_index(spark, folder):
 )
 def stream_ingest(spark, folder):
     out = scratch_path(spark, "ingest")
-    docs = J.read_folder(spark, folder, table(spark, folder, "documents").schema, "documents.parquet").select("doc_id", "text")
+    docs = arriving(spark, folder, "documents").select("doc_id", "text")
     J.stream_ingest(docs, out, strategy="fixed", size=200, overlap=40).awaitTermination()
     return J.read_chunks(spark, out).groupBy("doc_id").agg(F.count("*").alias("chunks"))

@@ -110,3 +110,13 @@ def test_metrics_keep_queries_without_results(spark):
     r = spark.createDataFrame([(1, 0.5), (1, 0.7)], "query_id bigint, score double")
     got = {x.query_id: (x.total_results, round(x.avg_score, 6), x.max_score, x.tokens_used) for x in EV.query_metrics(q, r).collect()}
     assert got == {1: (2, 0.6, 0.7, 4), 2: (0, 0.0, 0.0, 2)}
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, folder, tmp_path):
+    from passagework.plans.catalog import QUERIES
+
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{folder}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("stream_ingest", "stream_running_stats"):
+        one, many = (sorted(map(str, QUERIES[query](spark, at).collect())) for at in (folder, str(tmp_path)))
+        assert one == many and one
