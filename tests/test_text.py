@@ -121,3 +121,10 @@ def test_personnel_and_field_case(spark):
     assert one(spark, R.personnel_answer(F.col("t"), F.lit("who is the senior dev?")), t=text) == "Ann is the Senior Dev in the IT department."
     assert one(spark, R.personnel_answer(F.col("t"), F.lit("who is the clerk?")), t=text) == "Based on the available data, Ann works as a Senior Dev."
     assert one(spark, R.field_value(F.col("t"), ["role"]), t="ROLE: chief | x") == "chief"
+
+
+def test_entities_are_decoded_once_and_whole(spark):
+    texts = ["a &amp; b&quot;", "x &&&amp", "&amp;quot; &#38;amp; &#x41;&#66;", "&copy &nosuch; &;", "", None, "no entity", "&middot;&notit; end&amp"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.u for r in frame.select("k", T.html_unescape(F.col("t")).alias("u")).collect()}
+    assert [got[k] for k in range(len(texts))] == ['a & b"', "x &&&amp", "&quot; &amp; AB", "&copy &nosuch; &;", "", None, "no entity", "\u00b7&notit; end&amp"]
