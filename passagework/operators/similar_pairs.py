@@ -26,6 +26,7 @@ from passagework.session import written
 
 PIVOTS = 4
 ROWS = 2048
+CELLS = 1 << 18  # scores held at a time, at most
 BANDS = 8  # of the reach
 BLOCK = "length int, block bigint, band int, low array<double>, high array<double>, labels array<bigint>, weights array<bigint>, v array<double>"
 
@@ -83,16 +84,22 @@ def _counts(levels: tuple[float, ...]):
                 get = lambda c: batch.column(c)[row].values.to_numpy(zero_copy_only=False)
                 la, lb, wa, wb = get("labels"), get("labels2"), get("weights"), get("weights2")
                 a, b = get("v").reshape(len(la), -1), get("v2").reshape(len(lb), -1)
-                scores = np.round(a @ b.T, 12)
                 same = batch.column("block")[row].as_py() == batch.column("other")[row].as_py()
-                weight = np.outer(wa, wb)
-                if same:
-                    weight = np.triu(weight, 1)
-                    np.fill_diagonal(weight, wa * (wa - 1) // 2)
                 kinds, at = np.unique(np.concatenate([la, lb]), return_inverse=True)
                 ia, ib = at[: len(la)], at[len(la) :]
-                cell = np.minimum.outer(ia, ib) * len(kinds) + np.maximum.outer(ia, ib)
-                found = [np.bincount(cell.ravel(), np.where(scores >= t, weight, 0).ravel(), len(kinds) ** 2).astype(np.int64) for t in levels]
+                found = np.zeros((len(levels), len(kinds) ** 2), np.int64)
+                step = max(1, CELLS // len(lb))
+                for first in range(0, len(la), step):
+                    part = slice(first, first + step)
+                    scores = np.round(a[part] @ b.T, 12)
+                    weight = np.outer(wa[part], wb)
+                    if same:  # each pair once; of a row's copies all pairs
+                        weight = np.triu(weight, first + 1)
+                        here = np.arange(len(weight))
+                        weight[here, first + here] = wa[part] * (wa[part] - 1) // 2
+                    cell = np.minimum.outer(ia[part], ib) * len(kinds) + np.maximum.outer(ia[part], ib)
+                    for n, t in enumerate(levels):
+                        found[n] += np.bincount(cell.ravel(), np.where(scores >= t, weight, 0).ravel(), len(kinds) ** 2).astype(np.int64)
                 held = np.flatnonzero(np.sum(found, axis=0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kinds[held // len(kinds)]), pa.array(kinds[held % len(kinds)]), *(pa.array(f[held]) for f in found)],

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +264,18 @@ def test_searches_leave_out_unusable_vectors(spark, limit):
     assert sorted(r.doc_id for r in B.visual_topk(short, patches, 9, limit).collect()) == [*range(6), 11]
     asked = spark.createDataFrame([(1, d) for d in (*range(6), 10, 12)], "query_id long, doc_id long")
     assert sorted(r.doc_id for r in B.maxsim_pages(asked, short, patches).collect()) == list(range(6))
+
+
+def test_scores_are_held_a_slice_at_a_time():
+    """5,000 queries and 4,000 equal vectors: all scores would be 160 MB, and all of them tie."""
+    rng = np.random.default_rng(2)
+    queries, vectors = B._unit(rng.normal(size=(5000, 8))), np.ones((4000, 8)) / np.sqrt(8)
+    tracemalloc.start()
+    running = B._Running(queries, 3)
+    running.add(np.arange(4000)[::-1], vectors)
+    table = pa.table({"doc_id": np.arange(4000) // 400, "page": np.arange(4000) % 5, "embedding": pa.FixedSizeListArray.from_arrays(vectors.ravel(), 8).cast(pa.list_(pa.float64()))})
+    pages = sum(len(names) for names, docs, _, best in B._page_scores(np.arange(5000), queries, table) if best.shape == (len(names), 50) and len(docs) == 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert running.found[1].reshape(5000, 3).tolist() == [[0, 1, 2]] * 5000 and pages == 5000
+    assert peak < 150 << 20
