@@ -55,7 +55,8 @@ def stream_ingest(
         once = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
         _put(once.join(seen.select("key"), "key", "left_anti"), f"{out}/keys", batch_id)
         fresh = batch.sparkSession.read.schema(KEY).parquet(f"{out}/keys/batch={batch_id}")
-        new = keyed.select("key", "doc_id", "text").join(fresh, ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
+        new = keyed.select("key", "doc_id", "text").join(fresh, ["key", "doc_id"], "left_semi")
+        new = new.dropDuplicates(["key", "doc_id"])  # one of each key; the join's keys, so texts are not dealt out again
         kept = new.withColumn("text", clean_content(F.col("text")))
         chunks = chunk(kept, strategy=strategy, size=size, overlap=overlap)
         _put(chunks, f"{out}/chunks", batch_id)
