@@ -107,3 +107,11 @@ def test_wrong_arguments():
             C.chunk_expression(F.lit("x"), "fixed", **kwargs)
     with pytest.raises(ValueError):
         C.chunk_expression(F.lit("x"), "other")
+
+
+def test_texts_of_fixed_windows_alone(spark):
+    texts = [None, "", " \n ", "one", " a  b\tc ", " ".join(f"w{i}" for i in range(23))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    alone = frame.select("doc_id", F.posexplode(C.fixed_texts(F.col("text"), 7, 2)))
+    whole = C.chunk(frame.where("text is not null"), strategy="fixed", size=7, overlap=2).select("doc_id", "chunk_number", "content")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.collect()))
