@@ -290,3 +290,14 @@ def test_embedding_cache_counts_each_text_once_and_null_as_empty(spark, tmp_path
     got = {r.doc_id: (r.was_cached, r.total) for r in embedding_cache(spark, str(tmp_path)).collect()}
     assert {i: c for i, (c, _) in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: True}
     assert got[1] == got[5] == (True, 0.0) and got[2] == got[3] and got[2][1] > 0 and got[4][1] > 0
+
+
+def test_copies_of_a_patch_make_no_large_group(spark):
+    """Shards are dealt by content, so copies would all lie in one."""
+    rows = [(1, 1, [1.0, 0.0])] * 500 + [(1, 2, [1.0, 0.0])] * 500 + [(2, 1, [0.6, 0.8])]
+    patches = spark.createDataFrame(rows, "doc_id long, page int, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>")
+    parts = B.visual_topk(asked, patches, 2, broadcast_limit=0)
+    found = lambda df: sorted((r.query_id, r.doc_id, r.page, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert found(parts) == found(B.visual_topk(asked, patches, 2)) == [(7, 1, 1, 1.0, 1), (7, 2, 1, 0.6, 2)]
+    assert "Aggregate [doc_id" in parts._jdf.queryExecution().optimizedPlan().toString()
