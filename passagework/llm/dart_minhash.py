@@ -238,7 +238,8 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     spread = texts.where("bands is not null").select("id", F.explode("bands").alias("band"))
     leads = spread.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
     #: A text and the leads it meets hang on the least of them: as many links as texts and different leads, not as bands.
-    met = spread.join(leads, "band").where("id != lead").groupBy("id").agg(F.min("lead").alias("b"), F.collect_set("lead").alias("leads"))
+    #: Spark takes an exploded list for one entry a row, so either side might be broadcast at any number of texts: sorted and merged instead.
+    met = spread.join(leads.hint("merge"), "band").where("id != lead").groupBy("id").agg(F.min("lead").alias("b"), F.collect_set("lead").alias("leads"))
     hung = met.select(F.explode(F.array_append("leads", F.col("id"))).alias("a"), "b").where("a != b")
     stars = written(hung.distinct(), "dart-stars")
     groups = components(stars).withColumnRenamed("node", "id")
