@@ -2,9 +2,10 @@
 
 Two vectors whose cosine is at least t lie at most sqrt(2 - 2t) apart on the unit sphere, and then their distances to
 any third point, a pivot, differ by no more than that. Rows are ordered by their distances to a few pivots and packed
-into blocks of bounded size; a block meets the blocks whose distances to the first pivot lie in reach (an equi-join
-on bands of that distance) unless another pivot rules the two blocks out. Each pair of blocks is one product, of
-which only counts for each pair of labels leave the task. All other pairs are counted from the sizes of the labels.
+into blocks of bounded size, and blocks that lie together make shards of about ``SHARD`` values. Two shards in reach of
+each other by every pivot are one task's work, so a row is copied once for each shard that its own one meets, and not once
+for each block. There each pair of blocks in reach is one product, of which only counts for each pair of labels leave
+the task. All other pairs are counted from the sizes of the labels.
 
 Equal rows are one row with a weight, so very many copies make no work. Defined cases: rows without label or usable
 vector take no part; only vectors of one length meet; zero vectors are alike with nothing.
@@ -12,6 +13,7 @@ vector take no part; only vectors of one length meet; zero vectors are alike wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,17 @@ PIVOTS = 4
 ROWS = 2048
 CELLS = 1 << 18  # scores held at a time, at most
 BANDS = 8  # of the reach
-BLOCK = "length int, block bigint, band int, low array<double>, high array<double>, labels array<bigint>, weights array<bigint>, v array<double>"
+SLACK = 1e-11  # scores are compared with the least level before they are rounded
+SHARD = 1 << 23  # values of a shard's vectors, about; twice as many at most
+BLOCK = "shard bigint, length int, block bigint, low array<double>, high array<double>, labels array<bigint>, weights array<bigint>, v array<double>"
 
 
 def _packed(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
-    """Blocks of up to ``ROWS`` rows of one length and one band of the first pivot."""
+    """Blocks of up to ``ROWS`` rows of one length and one band of the first pivot, in shards of blocks that lie together."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    count, values = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v").cast("bigint")), F.lit(0))).first()
+    # so many shards that their pairs keep every core at work, but none of less than a block
+    shards = max(1, -(-values // SHARD), min(math.isqrt(4 * cores) + 1, -(-count // ROWS)))
     schema = f"{rows.select('label', 'n', 'v').schema.simpleString()[7:-1].replace(':', ' ')}, d array<double>, band int"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +54,7 @@ def _packed(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array((d[:, 0] / reach * BANDS).astype(np.int32))], names=["label", "n", "v", "d", "band"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made = TaskContext.get().partitionId() << 33, 0
+        first, made, held = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
             lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             bands = batch.column("band").to_numpy(zero_copy_only=False)
@@ -56,55 +64,78 @@ def _packed(rows: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
                 d = part.column("d").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
                 one = lambda x: pa.array([x])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lengths[a]], pa.int32()), pa.array([first + made]), pa.array([bands[a]], pa.int32()), one(d.min(axis=0)), one(d.max(axis=0)),
+                    pa.array([first + held // (2 * SHARD)]), pa.array([lengths[a]], pa.int32()), pa.array([first + made]), one(d.min(axis=0)), one(d.max(axis=0)),
                     one(part.column("label").to_numpy(zero_copy_only=False)), one(part.column("n").to_numpy(zero_copy_only=False)), one(part.column("v").flatten().to_numpy(zero_copy_only=False)),
-                ], names=["length", "block", "band", "low", "high", "labels", "weights", "v"])
-                made += 1
+                ], names=["shard", "length", "block", "low", "high", "labels", "weights", "v"])
+                made, held = made + 1, held + (b - a) * int(lengths[a])
 
     measured = rows.select("label", "n", "v").mapInArrow(measure, schema).withColumn("length", F.size("v"))
     keys = ["length", "band", *(F.floor(F.get("d", F.lit(k)) / reach * BANDS) for k in range(1, PIVOTS))]
-    dealt = measured.repartitionByRange(*keys, F.xxhash64("label", "v")).sortWithinPartitions(*keys)
+    dealt = measured.repartitionByRange(shards, *keys, F.xxhash64("label", "v")).sortWithinPartitions(*keys)
     return written(dealt.select("label", "n", "v", "d", "band").mapInArrow(pack, BLOCK), "pair-blocks")
 
 
-def _met(blocks: DataFrame, reach: float) -> DataFrame:
-    """(block, other) of blocks in reach of each other by every pivot; each pair once, a block with itself too."""
-    facts = blocks.select("length", "block", "band", "low", "high")
-    here = facts.withColumn("meets", F.explode(F.sequence(F.col("band"), F.col("band") + BANDS + 1)))
-    there = facts.select("length", F.col("block").alias("other"), F.col("band").alias("meets"), F.col("low").alias("l"), F.col("high").alias("h"))
-    near = F.forall(F.arrays_zip("low", "high", "l", "h"), lambda x: (x["low"] - x["h"] <= reach + 1e-9) & (x["l"] - x["high"] <= reach + 1e-9))
-    once = (F.col("meets") > F.col("band")) | (F.col("block") <= F.col("other"))
-    return here.join(there, ["length", "meets"]).where(once & near).select("block", "other")
-
-
-def _counts(levels: tuple[float, ...]):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].values.to_numpy(zero_copy_only=False)
-                la, lb, wa, wb = get("labels"), get("labels2"), get("weights"), get("weights2")
-                a, b = get("v").reshape(len(la), -1), get("v2").reshape(len(lb), -1)
-                same = batch.column("block")[row].as_py() == batch.column("other")[row].as_py()
-                kinds, at = np.unique(np.concatenate([la, lb]), return_inverse=True)
-                ia, ib = at[: len(la)], at[len(la) :]
-                found = np.zeros((len(levels), len(kinds) ** 2), np.int64)
-                step = max(1, CELLS // len(lb))
-                for first in range(0, len(la), step):
-                    part = slice(first, first + step)
-                    scores = np.round(a[part] @ b.T, 12)
-                    weight = np.outer(wa[part], wb)
-                    if same:  # each pair once; of a row's copies all pairs
-                        weight = np.triu(weight, first + 1)
-                        here = np.arange(len(weight))
-                        weight[here, first + here] = wa[part] * (wa[part] - 1) // 2
-                    cell = np.minimum.outer(ia[part], ib) * len(kinds) + np.maximum.outer(ia[part], ib)
-                    for n, t in enumerate(levels):
-                        found[n] += np.bincount(cell.ravel(), np.where(scores >= t, weight, 0).ravel(), len(kinds) ** 2).astype(np.int64)
-                held = np.flatnonzero(np.sum(found, axis=0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds[held // len(kinds)]), pa.array(kinds[held % len(kinds)]), *(pa.array(f[held]) for f in found)],
-                    names=["label", "other_label", *(f"n{k}" for k in range(len(levels)))],
-                )
+def _tiles(blocks: DataFrame, reach: float) -> DataFrame:
+    """shard, with: the shards that may hold something in reach of it by every pivot, and itself; one row for each shard."""
+    least, most = (F.array(*(f(F.get(c, F.lit(k))) for k in range(PIVOTS))) for f, c in ((F.min, "low"), (F.max, "high")))
+    facts = written(blocks.groupBy("shard").agg(F.min("length").alias("short"), F.max("length").alias("long"), least.alias("low"), most.alias("high")), "pair-shards")
+    other = facts.select(F.col("shard").alias("with"), F.col("short").alias("s"), F.col("long").alias("l"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+    near = F.forall(F.arrays_zip("low", "high", "lo", "hi"), lambda x: (x["low"] - x["hi"] <= reach + 1e-9) & (x["lo"] - x["high"] <= reach + 1e-9))
+    met = facts.crossJoin(F.broadcast(other)).where((F.col("short") <= F.col("l")) & (F.col("s") <= F.col("long")) & near)
+    return met.groupBy("shard").agg(F.collect_list("with").alias("with"))
+
+
+def _met(table: pa.Table, low: int, high: int, reach: float) -> Iterator[tuple[int, int]]:
+    """Rows of two blocks, one of each of the two shards, in reach of each other by every pivot; each pair once, a block with itself too."""
+    shard, block, length = (table.column(c).to_numpy() for c in ("shard", "block", "length"))
+    least, most = (np.array(table.column(c).to_pylist()) for c in ("low", "high"))
+    right = np.flatnonzero(shard == high)
+    for i in np.flatnonzero(shard == low):
+        others = right[block[right] >= block[i]] if low == high else right
+        near = (least[i] - most[others] <= reach + 1e-9).all(axis=1) & (least[others] - most[i] <= reach + 1e-9).all(axis=1)
+        for j in others[near & (length[others] == length[i])]:
+            yield int(i), int(j)
+
+
+def _counts(levels: tuple[float, ...], reach: float):
+    def pair(first: tuple, second: tuple, same: bool) -> pa.Table:
+        (la, wa, a), (lb, wb, b) = first, second
+        kinds, at = np.unique(np.concatenate([la, lb]), return_inverse=True)
+        ia, ib = at[: len(la)], at[len(la) :]
+        found = np.zeros((len(levels), len(kinds) ** 2), np.int64)
+        step = max(1, CELLS // len(lb))
+        for start in range(0, len(la), step):
+            part = slice(start, start + step)
+            scores = a[part] @ b.T
+            row, col = np.nonzero(scores >= min(levels) - SLACK)
+            weight = wa[part][row] * wb[col]
+            if same:  # each pair once; of a row's copies all pairs
+                weight = np.where(col == row + start, weight - wb[col], np.where(col > row + start, 2 * weight, 0)) // 2
+            score, one, two = np.round(scores[row, col], 12), ia[part][row], ib[col]
+            cell = np.minimum(one, two) * len(kinds) + np.maximum(one, two)
+            for n, t in enumerate(levels):
+                found[n] += np.bincount(cell[score >= t], weight[score >= t], len(kinds) ** 2).astype(np.int64)
+        held = np.flatnonzero(np.sum(found, axis=0))
+        return pa.table([pa.array(kinds[held // len(kinds)]), pa.array(kinds[held % len(kinds)]), *(pa.array(f[held]) for f in found)], names=names)
+
+    names = ["label", "other_label", *(f"n{k}" for k in range(len(levels)))]
+    kinds_of = pa.schema([(n, pa.int64()) for n in names])
+
+    def each(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = (x.as_py() for x in key)
+        lists = {c: table.column(c).combine_chunks() for c in ("labels", "weights", "v")}
+        take = lambda c, n: lists[c][n].values.to_numpy(zero_copy_only=False)
+        part = lambda n: (take("labels", n), take("weights", n), take("v", n).reshape(-1, table.column("length")[n].as_py()))
+        total, held = kinds_of.empty_table(), []
+        for i, j in _met(table, low, high, reach):
+            held.append(pair(part(i), part(j), i == j))
+            if sum(map(len, held)) >= CELLS:
+                total, held = _summed([total, *held]), []
+        return _summed([total, *held])
+
+    def _summed(tables: list[pa.Table]) -> pa.Table:
+        grouped = pa.concat_tables(tables).group_by(names[:2]).aggregate([(n, "sum") for n in names[2:]])
+        return grouped.rename_columns({f"{n}_sum": n for n in names[2:]}).select(names)
 
     return each
 
@@ -133,11 +164,11 @@ def count_pairs(vectors: DataFrame, levels: tuple[float, ...]) -> DataFrame:
         v = vectors_[k % len(vectors_)]
         pivots[k, : len(v)] = v
     blocks = _packed(rows, pivots, reach)
-    met = written(_met(blocks, reach), "pair-met")
-    other = blocks.select(F.col("block").alias("other"), F.col("labels").alias("labels2"), F.col("weights").alias("weights2"), F.col("v").alias("v2"))
-    both = met.join(blocks.select("block", "labels", "weights", "v"), "block").join(other, "other")
     schema = "label bigint, other_label bigint, " + ", ".join(f"{n} bigint" for n in names)
-    counts = both.select("block", "other", "labels", "weights", "v", "labels2", "weights2", "v2").mapInArrow(_counts(levels), schema)
+    # one row for each shard
+    held = blocks.join(F.broadcast(_tiles(blocks, reach)), "shard").withColumn("with", F.explode("with"))
+    tiles = held.select(F.least("shard", "with").alias("low_shard"), F.greatest("shard", "with").alias("high_shard"), *blocks.columns)
+    counts = tiles.groupBy("low_shard", "high_shard").applyInArrow(_counts(levels, reach), schema)
     counts = counts.groupBy("label", "other_label").agg(*(F.sum(n).alias(n) for n in names))
     return pairs.join(counts, ["label", "other_label"], "left").select("label", "other_label", "pairs", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
