@@ -329,7 +329,7 @@ def stream_sync(spark, folder):
 def stream_to_index(spark, folder):
     """Documents stream in, their chunks are appended to an index, and the index is searched: as one built from all."""
     out, source = scratch_path(spark, "ingest"), scratch_path(spark, "arriving")
-    table(spark, folder, "documents").select("doc_id", "text").repartition(3, "text").write.parquet(source)
+    table(spark, folder, "documents").select("doc_id", "text").repartition(3, "text").write.option("compression", "zstd").parquet(source)
     docs = J.read_folder(spark, source, table(spark, folder, "documents").select("doc_id", "text").schema, files=1)
 
     def append(chunks, batch):

@@ -31,7 +31,7 @@ def read_folder(spark: SparkSession, folder: str, schema: StructType, glob: str
 
 
 def _put(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch}")
 
 
 def stream_ingest(
